@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE_BYT
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         start, held = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(texts).fill_null(0).to_pylist()):
+        for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
             if i > start and held + n > size:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import packing, pair_bpe, quality_rules, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_token_store": token_store.query,
+        "op3_pair_bpe": pair_bpe.query,
+        "op7_token_counts": token_counts.query,
+        "op8_packing": packing.query,
     }
 
 
