@@ -9,13 +9,16 @@ contain a special token's string are left to the library as they are.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Units that a Python worker remembers before it starts anew.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 700_000
+#: A mark after letters only is a pre-token of its own.
+MARKS = frozenset(",.;:!?")
 
 
 def vocabulary_path(name: str) -> str:
@@ -47,22 +50,60 @@ class Encoder:
         self.library = library(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {} if prefixed else self.memo
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, units: list[str]) -> None:
-        blank = " " if self.prefixed else ""
-        found = self.library.encode_batch_fast([blank + u for u in units], add_special_tokens=False)
-        for u, e in zip(units, found):
-            self.memo[u] = np.array(e.ids, dtype="<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, units: set[str]) -> None:
+        """Remembers new units; the library sees only what cannot be put
+        together from known parts."""
+        memo, blank = self.memo, " " if self.prefixed else ""
+        marked, folded, stems, rest = [], [], set(), []
+        for u in units:
+            stem = u[:-1] if u[-1:] in MARKS else u
+            if not stem.isalpha():
+                rest.append(u)
+                continue
+            if not self.prefixed and stem.isascii() and not stem.islower():
+                folded.append((stem, low := stem.lower()))
+                if low not in memo:
+                    stems.add(low)
+            elif stem not in memo:
+                stems.add(stem)
+            if stem is not u:
+                marked.append((u, stem))
+        if self.prefixed:
+            words = list(stems)
+            for u, e in zip(words, self.library.encode_batch_fast([" " + u for u in words], add_special_tokens=False)):
+                memo[u] = array("I", e.ids).tobytes()
+        elif stems:
+            words = list(stems)
+            found = self.library.encode(" ".join(words), add_special_tokens=False)
+            ids, at = array("I", found.ids), found.word_ids
+            cuts = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1]), len(at)]
+            if len(cuts) - 1 == len(words):
+                memo.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, cuts[:-1], cuts[1:]))
+            else:  # some word is more than one pre-token
+                rest += words
+        for u, e in zip(rest, self.library.encode_batch_fast([blank + u for u in rest], add_special_tokens=False)):
+            memo[u] = array("I", e.ids).tobytes()
+        for u, low in folded:
+            memo[u] = memo[low]
+        for u, stem in marked:
+            memo[u] = memo[stem] + self._mark(u[-1])
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self._whole(mark)
+        return self.marks[mark]
 
     def _safe(self, unit: str) -> bool:
         return not self.prefixed or not (unit == "" or unit[0].isspace())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) + len(self.first) > MEMO_UNITS:
+        if len(self.memo) > MEMO_UNITS or len(self.first) > MEMO_UNITS:
             self.memo.clear()
             self.first.clear()
         memo, cut, new = self.memo, [], set()
@@ -73,7 +114,7 @@ class Encoder:
             units = text.split(" ")
             cut.append(units)
             new.update(u for u in (units[1:] if self.prefixed else units) if u not in memo)
-        self._learn([u for u in new if self._safe(u)])
+        self._learn({u for u in new if self._safe(u)})
         out = []
         for text, units in zip(texts, cut):
             if units is None:
