@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, packing, pair_bpe, quality_rules, token_counts, token_store
+from . import fingerprints, language_id, minhash, packing, pair_bpe, quality_rules, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": language_id.query,
         "op7_token_counts": token_counts.query,
         "op8_packing": packing.query,
+        "op9_minhash": minhash.query,
         "op10_fingerprints": fingerprints.query,
         "language_id_pages": language_id.pages_query,
     }
