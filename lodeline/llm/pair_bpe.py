@@ -23,20 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batch_of, documents, slices, texts_of
-from .tokens import BYTE_BPE, MEMO_UNITS, vocabulary_path
+from .tokens import BYTE_BPE, MEMO_UNITS, byte_letters, vocabulary_path
 
 #: Fixed value: how the vocabulary's pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: itself where it prints, else the
-    next code point from 256 on."""
-    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
-
-
 class PairIndexBpe:
     def __init__(self, path: str):
         import regex

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, minhash, packing, pair_bpe, quality_rules, suffix_dedup, token_counts, token_store
+from . import fingerprints, language_id, maxent_lm, minhash, packing, pair_bpe, quality_rules, suffix_dedup, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pair_bpe": pair_bpe.query,
         "op4_suffix_dedup": suffix_dedup.query,
         "op5_language_id": language_id.query,
+        "op6_maxent_lm": maxent_lm.query,
         "op7_token_counts": token_counts.query,
         "op8_packing": packing.query,
         "op9_minhash": minhash.query,

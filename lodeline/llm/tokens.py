@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from array import array
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -19,6 +20,16 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 MEMO_UNITS = 700_000
 #: A mark after letters only is a pre-token of its own.
 MARKS = frozenset(",.;:!?")
+#: Letters below this have simple lower case and are letters in every Unicode version.
+LATIN_END = "\u0250"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself
+    where it prints, else the next code point from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
 def vocabulary_path(name: str) -> str:
@@ -50,6 +61,7 @@ class Encoder:
         self.library = library(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.letters = byte_letters()
         self.marks: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {} if prefixed else self.memo
 
@@ -63,30 +75,24 @@ class Encoder:
         marked, folded, stems, rest = [], [], set(), []
         for u in units:
             stem = u[:-1] if u[-1:] in MARKS else u
-            if not stem.isalpha():
+            if not stem.isalpha() or max(stem) >= LATIN_END or not self.prefixed and not is_normalized("NFC", stem):
+                rest.append(u)
+                continue
+            low = stem if self.prefixed else stem.lower()
+            if not low.isalpha():
                 rest.append(u)
                 continue
-            if not self.prefixed and stem.isascii() and not stem.islower():
-                folded.append((stem, low := stem.lower()))
-                if low not in memo:
-                    stems.add(low)
-            elif stem not in memo:
-                stems.add(stem)
+            if low not in memo:
+                stems.add(low)
+            if low != stem:
+                folded.append((stem, low))
             if stem is not u:
                 marked.append((u, stem))
-        if self.prefixed:
-            words = list(stems)
-            for u, e in zip(words, self.library.encode_batch_fast([" " + u for u in words], add_special_tokens=False)):
-                memo[u] = array("I", e.ids).tobytes()
-        elif stems:
-            words = list(stems)
-            found = self.library.encode(" ".join(words), add_special_tokens=False)
-            ids, at = array("I", found.ids), found.word_ids
-            cuts = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1]), len(at)]
-            if len(cuts) - 1 == len(words):
-                memo.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, cuts[:-1], cuts[1:]))
-            else:  # some word is more than one pre-token
-                rest += words
+        tokenize, letters = self.library.model.tokenize, self.letters
+        for stem in stems:  # one pre-token each: straight to the library's model
+            word = blank + stem
+            spelt = "".join([letters[b] for b in word.encode()])
+            memo[stem] = array("I", [t.id for t in tokenize(spelt)]).tobytes()
         for u, e in zip(rest, self.library.encode_batch_fast([blank + u for u in rest], add_special_tokens=False)):
             memo[u] = array("I", e.ids).tobytes()
         for u, low in folded:
