@@ -17,9 +17,9 @@ bytes occur more than once:
    with another one is repeated. No pair of occurrences is ever listed.
 4. Repeated windows go back to their documents as intervals.
 
-Grams that occur in more than ``HOT`` different contexts are salted: their
-windows are counted one by one by grouped aggregation of digests, which collapse
-before the shuffle where they repeat and spread evenly where they do not.
+Grams that occur more than ``HOT`` times are salted: their windows go by the
+digest of all their bytes instead, in the same exchange. Where they repeat in a
+task, one stands for all; where they do not, they spread evenly.
 
 Defined results: a null text is empty; texts shorter than a window stay as they
 are; equal rows repeat each other; an empty table gives none. Rows are known by
@@ -48,11 +48,11 @@ RUN, HOT = 4096, 20_000
 _ANCHOR = pa.schema([("k", pa.int64()), ("gram", pa.int64()), ("place", pa.int64())])
 _GRAM = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 _RUN = pa.schema(
-    [("target", pa.int32()), ("n", pa.int32()), ("shared", pa.binary()), ("rests", pa.binary()), ("left", pa.binary()), ("shape", pa.binary()), ("owner", pa.binary()), ("place", pa.binary())]
+    [("target", pa.int32()), ("n", pa.int32()), ("shared", pa.binary()), ("rests", pa.binary()), ("left", pa.binary()), ("shape", pa.binary()), ("owner", pa.binary()), ("place", pa.binary()), ("digests", pa.binary())]
 )
-RUNS = "target int, n int, shared binary, rests binary, left binary, shape binary, owner binary, place binary"
+#: A row with digests holds salted windows: owner and place are one for each, then those already known to repeat.
+RUNS = "target int, n int, shared binary, rests binary, left binary, shape binary, owner binary, place binary, digests binary"
 _SPAN = pa.schema([("k", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-_WINDOWS = pa.schema([("digest", pa.binary()), ("k", pa.int64()), ("lo", pa.int64())])
 
 
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,18 +93,34 @@ def _runs(window: int, targets: int):
         shared, rests = front_coded(rows[order])
         to = np.empty(len(order), np.int64)
         to[order] = np.arange(len(order))
-        return {"target": target, "n": len(order), "shared": shared.astype(np.uint8).tobytes(), "rests": rests, "left": left[order].tobytes(), "shape": shape[order].tobytes(), "owner": owner.tobytes(), "place": np.stack((to[place[:, 0]], place[:, 1]), axis=1).tobytes()}
+        return {"target": target, "n": len(order), "shared": shared.astype(np.uint8).tobytes(), "rests": rests, "left": left[order].tobytes(), "shape": shape[order].tobytes(), "owner": owner.tobytes(), "place": np.stack((to[place[:, 0]], place[:, 1]), axis=1).tobytes(), "digests": None}
+
+    def salted(digests, owner, at):
+        """Rows of distinct windows by target; a window found twice here is sure to repeat."""
+        raw = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        owner, at = np.array(owner, np.int64), np.array(at, np.int64)
+        _, first, which, many = np.unique(np.ascontiguousarray(raw).view("V16").ravel(), return_index=True, return_inverse=True, return_counts=True)
+        sure = many[which.ravel()] > 1
+        target = (raw[first, 0] % np.uint64(targets)).astype(np.int64)
+        for t in np.unique(target).tolist():
+            mine = first[target == t]
+            yield {"target": t, "n": len(mine), "shared": None, "rests": None, "left": None, "shape": (many[target == t] > 1).tobytes(), "owner": owner[mine].tobytes(), "place": at[mine].tobytes(), "digests": raw[mine].tobytes()}
+        if sure.any():
+            yield {"target": int(target[0]), "n": 0, "shared": None, "rests": None, "left": None, "shape": b"", "owner": owner[sure].tobytes(), "place": at[sure].tobytes(), "digests": b""}
 
     def run(batches):
         reach = window - GRAM
-        held, n_held = [], 0
+        held, n_held, hot = [], 0, ([], [], [])
 
         def flush():
-            nonlocal held, n_held
+            nonlocal held, n_held, hot
+            out = list(salted(*hot)) if hot[0] else []
+            hot = ([], [], [])
+            if not n_held:
+                return batch_of(_RUN, {c: [o[c] for o in out] for c in _RUN.names})
             rows, left, shape, owner, gram, at = (np.concatenate([h[i] for h in held]) for i in range(6))
             held, n_held = [], 0
             target = (gram.view(np.uint64) % np.uint64(targets)).astype(np.int64)
-            out = []
             for t in np.unique(target).tolist():
                 mine = np.flatnonzero(target == t)
                 whole = np.ascontiguousarray(np.concatenate((rows[mine], left[mine], shape[mine].view(np.uint8).reshape(len(mine), -1)), axis=1))
@@ -117,6 +133,16 @@ def _runs(window: int, targets: int):
         for batch in slices(batches, "text"):
             texts = _raw(batch.column(1))
             for k, text, found in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+                for f in found:
+                    if f["hot"]:
+                        p = f["place"]
+                        for s in range((p >> 16) - (p & 255), (p >> 16) - ((p >> 8) & 255) + 1):
+                            hot[0].append(hashlib.blake2b(text[s : s + window], digest_size=16).digest())
+                            hot[1].append(k)
+                            hot[2].append(s)
+                found = [f for f in found if not f["hot"]]
+                if not found:
+                    continue
                 buf = np.frombuffer(bytes(reach) + text + bytes(window), np.uint8)
                 place = np.array([f["place"] for f in found], np.int64)
                 at = place >> 16
@@ -128,9 +154,9 @@ def _runs(window: int, targets: int):
                 left = np.where(np.arange(reach)[None, :] < shape[:, 1:], left, 0)
                 held.append((rows, left, shape, np.full(len(at), k), np.array([f["gram"] for f in found], np.int64), at))
                 n_held += len(at)
-            if n_held >= RUN * 8:
+            if n_held >= RUN * 8 or len(hot[0]) >= RUN * 100:
                 yield flush()
-        if n_held:
+        if n_held or hot[0]:
             yield flush()
 
     return run
@@ -161,7 +187,20 @@ def repeated_offsets(rows: np.ndarray, agree: np.ndarray, left: np.ndarray, shap
 def _merged(window: int):
     reach = window - GRAM
 
+    def salted(runs: list[dict]):
+        raw = np.concatenate([np.frombuffer(r["digests"], np.uint64) for r in runs]).reshape(-1, 2)
+        owner, at = (np.concatenate([np.frombuffer(r[c], np.int64)[: r["n"]] for r in runs]) for c in ("owner", "place"))
+        sure = np.concatenate([np.frombuffer(r["shape"], bool) for r in runs])
+        _, which = np.unique(np.ascontiguousarray(raw).view("V16").ravel(), return_inverse=True)
+        again = np.bincount(which.ravel(), weights=1 + sure)[which.ravel()] > 1
+        known = [[np.frombuffer(r[c], np.int64)[r["n"] :] for r in runs] for c in ("owner", "place")]
+        owner, at = np.concatenate([owner[again], *known[0]]), np.concatenate([at[again], *known[1]])
+        yield batch_of(_SPAN, {"k": owner, "lo": at, "hi": at + window})
+
     def spans(runs: list[dict]):
+        if hot := [r for r in runs if r["digests"] is not None]:
+            yield from salted(hot)
+        runs = [r for r in runs if r["digests"] is None]
         if not runs:
             return
         parts = []
@@ -201,18 +240,6 @@ def _merged(window: int):
     return run
 
 
-def _windows(window: int):
-    """Each window of hot anchors by its digest."""
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            for k, text, found in zip(batch.column(0).to_pylist(), _raw(batch.column(1)), batch.column(2).to_pylist()):
-                at = [s for f in found for p in [f["place"]] for s in range((p >> 16) - (p & 255), (p >> 16) - ((p >> 8) & 255) + 1)]
-                yield batch_of(_WINDOWS, {"digest": [hashlib.blake2b(text[s : s + window], digest_size=16).digest() for s in at], "k": [k] * len(at), "lo": at})
-
-    return run
-
-
 def spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """k (a row's key) and the list of its intervals of repeated bytes, for
     rows that have any. ``docs``: k, text."""
@@ -220,19 +247,10 @@ def spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     counts = texts.mapInArrow(_grams(window), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
     counts = stored(counts, "grams")
     light = docs.select("k", "text").mapInArrow(_anchored(window), "k bigint, gram bigint, place bigint")
-    wanted = light.join(counts, "gram").groupBy("k", (F.col("n") > hot).alias("hot")).agg(F.collect_list(F.struct("gram", "place")).alias("found"))
-    wanted = stored(wanted, "anchors")
-    spark = docs.sparkSession
-    targets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    unique = docs.join(wanted.select("k", "hot", "found"), "k").select("k", "text", "found", "hot")
-    runs = unique.filter("NOT hot").select("k", "text", "found").mapInArrow(_runs(window, targets), RUNS)
-    dealt = runs.repartition(targets, "target").sortWithinPartitions("target")
-    found = dealt.mapInArrow(_merged(window), "k bigint, lo bigint, hi bigint")
-    salted = unique.filter("hot").select("k", "text", "found").mapInArrow(_windows(window), "digest binary, k bigint, lo bigint")
-    if not wanted.filter("hot").isEmpty():
-        salted = stored(salted, "hot-windows")
-        again = salted.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-        found = found.unionByName(salted.join(again, "digest", "left_semi").select("k", "lo", (F.col("lo") + window).alias("hi")))
+    wanted = light.join(counts, "gram").groupBy("k").agg(F.collect_list(F.struct("gram", "place", (F.col("n") > hot).alias("hot"))).alias("found"))
+    targets = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    runs = docs.join(wanted, "k").select("k", "text", "found").mapInArrow(_runs(window, targets), RUNS)
+    found = runs.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(_merged(window), "k bigint, lo bigint, hi bigint")
     return found.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
