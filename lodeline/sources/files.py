@@ -151,9 +151,9 @@ def paged(marked: DataFrame, key: str) -> DataFrame:
     cut = cut.mapInArrow(_reflow, cut.schema).filter("body <> '' OR number IS NOT NULL")
     order = Window.partitionBy(key).orderBy("i")
     full = cut.filter("body <> ''")
-    place = full.withColumn("k", F.row_number().over(order)).withColumn("size", F.length("body") + F.when(F.col("k") > 1, 2).otherwise(0))
+    place = full.withColumn("_nth", F.row_number().over(order)).withColumn("size", F.length("body") + F.when(F.col("_nth") > 1, 2).otherwise(0))
     place = place.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    entry = F.struct(F.coalesce("number", "k").cast("int").alias("page"), (F.col("end") - F.col("size")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    entry = F.struct(F.coalesce("number", "_nth").cast("int").alias("page"), (F.col("end") - F.col("size")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     rows = F.array_sort(F.collect_list(F.struct("i", "body", entry.alias("p"))))
     has_marks = cut.groupBy(key).agg(F.max(F.col("number").isNotNull()).alias("marks"))
     whole = place.groupBy(key).agg(rows.alias("rows")).join(has_marks, key)

@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.library import Library
 
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def percent(done: Column, total: Column) -> Column:
     """How far a document is while its passages are embedded."""
@@ -24,7 +26,7 @@ def watch(library: Library, folder: str, checkpoint: str, collection: str = "")
     that is run again after a failure finds its files' hashes in the library, so
     nothing is added twice."""
     spark = library.spark
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(folder).select("path", "content")
     add = lambda batch, _: None if batch.isEmpty() else library.add(batch, collection)
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
