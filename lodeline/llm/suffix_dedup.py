@@ -63,6 +63,26 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_PACK = pa.Codec("zstd", compression_level=1)
+
+
+def _pack(batches):
+    """Texts compressed one by one, as they are shuffled twice: a text's size, then its bytes."""
+    for batch in batches:
+        i = batch.schema.get_field_index("text")
+        found = [len(t).to_bytes(8, "little") + _PACK.compress(t, asbytes=True) for t in _raw(batch.column(i))]
+        yield batch.set_column(i, "text", pa.array(found, pa.binary()))
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    return [_PACK.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in column.to_pylist()]
+
+
+def packed(df: DataFrame) -> DataFrame:
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(_pack, schema)
+
+
 def _grams(window: int):
     def run(batches):
         for batch in slices(batches, "text"):
@@ -131,8 +151,7 @@ def _runs(window: int, targets: int):
             return batch_of(_RUN, {c: [o[c] for o in out] for c in _RUN.names})
 
         for batch in slices(batches, "text"):
-            texts = _raw(batch.column(1))
-            for k, text, found in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+            for k, text, found in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist()):
                 for f in found:
                     if f["hot"]:
                         p = f["place"]
@@ -249,7 +268,7 @@ def spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     light = docs.select("k", "text").mapInArrow(_anchored(window), "k bigint, gram bigint, place bigint")
     wanted = light.join(counts, "gram").groupBy("k").agg(F.collect_list(F.struct("gram", "place", (F.col("n") > hot).alias("hot"))).alias("found"))
     targets = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = docs.join(wanted, "k").select("k", "text", "found").mapInArrow(_runs(window, targets), RUNS)
+    runs = packed(docs.select("k", "text")).join(wanted, "k").select("k", "text", "found").mapInArrow(_runs(window, targets), RUNS)
     found = runs.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(_merged(window), "k bigint, lo bigint, hi bigint")
     return found.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -272,7 +291,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 def _digests(batches):
     for batch in slices(batches, "text"):
         out = {c: [] for c in _OUT.names[1:]}
-        for text, found in zip(_raw(batch.column(1)), batch.column(2).to_pylist()):
+        for text, found in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist()):
             left, removed, runs = kept_bytes(text, found)
             for c, v in zip(_OUT.names[1:], (len(text), removed, runs, hashlib.sha256(left).hexdigest())):
                 out[c].append(v)
@@ -281,7 +300,7 @@ def _digests(batches):
 
 def _cut(batches):
     for batch in slices(batches, "text"):
-        text = [kept_bytes(t, found)[0].decode("utf-8", "ignore") for t, found in zip(_raw(batch.column(batch.schema.get_field_index("text"))), batch.column(batch.schema.get_field_index("_spans")).to_pylist())]
+        text = [kept_bytes(t, found)[0].decode("utf-8", "ignore") for t, found in zip(_unpacked(batch.column(batch.schema.get_field_index("text"))), batch.column(batch.schema.get_field_index("_spans")).to_pylist())]
         keep = [c for c in batch.schema.names if c not in ("_spans",)]
         yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in keep], names=keep)
 
@@ -294,7 +313,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _with_spans(docs: DataFrame, window: int, hot: int) -> DataFrame:
     keyed = _keyed(docs)
     found = spans(keyed.select(F.col("_k").alias("k"), F.coalesce("text", F.lit("")).alias("text")), window, hot).select(F.col("k").alias("_k"), F.col("spans").alias("_spans"))
-    return keyed.join(found, "_k", "left")
+    return packed(keyed).join(found, "_k", "left")
 
 
 def removed(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
