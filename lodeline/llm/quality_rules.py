@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from .common import NO_GAP, WORD_GAP
 
 #: Fixed values of the line rules.
-TERMINAL = r"""[.!?:;"')\]\x{2026}\x{201d}\x{00bb}\x{3002}]$"""
+TERMINAL = r"""[.!?:;"')\]\x{2026}\x{201d}\x{00bb}\x{3002}][\x20\x09-\x0D]*\z"""
 SYMBOLS = r"[#*$%&|<>]"
-MARKED = r"[^\x20\x09-\x0D#*$%&|<>]*[#*$%&|<>][^\x20\x09-\x0D]*"
+MARKED = r"[#*$%&|<>][^\x20\x09-\x0D]*"
 SHOUTS = r"[!?]{2,}"
 SEPARATORS = r"[|\x{00bb}\x{203a}\x{2022}\x{00b7}>]"
 NAVIGATION = (
-    r"(?i)^(home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|back|back to top|skip to content"
-    r"|read more|more|share|print|contact|contact us|about|about us|site ?map|categories|tags|archive)[.:!]?$"
+    r"(?i)^[\x20\x09-\x0D]*(home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|back|back to top|skip to content"
+    r"|read more|more|share|print|contact|contact us|about|about us|site ?map|categories|tags|archive)[.:!]?[\x20\x09-\x0D]*\z"
 )
 BOILERPLATE = (
     r"(?i)(all rights reserved|copyright|privacy policy|terms of (use|service)|use of cookies|accept (all )?cookies"
@@ -35,8 +35,8 @@ BOILERPLATE = (
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-#: A boilerplate phrase only condemns a line of up to so many characters.
-BOILERPLATE_CHARS = 200
+#: A boilerplate phrase only condemns a line of up to so many characters; no navigation phrase is longer.
+BOILERPLATE_CHARS, NAVIGATION_CHARS = 200, 60
 #: Percent of a line's words that may carry symbols, and words from which a line needs closing punctuation.
 SYMBOL_PERCENT, OPEN_WORDS = 30, 4
 #: Separators that make a line a list of links.
@@ -54,13 +54,12 @@ def word_chars(text: Column) -> Column:
 
 
 def line_fails(line: Column) -> dict[str, Column]:
-    """For each rule, whether a line fails it."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    words = n_words(line)
+    """For each rule, whether a line fails it. Cheap tests come first: what
+    follows ``&`` is only evaluated where they hold."""
     marked = F.greatest(F.regexp_count(line, F.lit(MARKED)), F.regexp_count(line, F.lit(SHOUTS)))
     return {
-        "punctuation": (100 * marked > SYMBOL_PERCENT * words) | ((words >= OPEN_WORDS) & ~bare.rlike(TERMINAL)),
-        "navigation": (F.regexp_count(line, F.lit(SEPARATORS)) >= LINKS) | bare.rlike(NAVIGATION),
+        "punctuation": (line.rlike(f"{SYMBOLS}|{SHOUTS}") & (100 * marked > SYMBOL_PERCENT * n_words(line))) | (~line.rlike(TERMINAL) & (n_words(line) >= OPEN_WORDS)),
+        "navigation": (F.regexp_count(line, F.lit(SEPARATORS)) >= LINKS) | ((F.length(line) <= NAVIGATION_CHARS) & line.rlike(NAVIGATION)),
         "boilerplate": (F.length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE),
     }
 
@@ -98,21 +97,21 @@ def judged(docs: DataFrame) -> DataFrame:
     df = df.select(
         "doc_id", "text",
         F.size("_w").cast("long").alias("n_words"),
-        word_chars(F.col("text")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS + "+", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.filter("_lines", lambda x: x.rlike(NO_GAP)).alias("_full"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.filter("_lines", lambda x: ~fails(x)).alias("_good"),
-        F.size("_lines").alias("_n_lines"),
+        F.filter("_lines", fails).alias("_bad"),
+        F.filter("_lines", lambda x: ~fails(x)).alias("_good"),  # pruned where the cleaned text is not asked for
     )
     df = df.select("*", F.array_join("_good", "\n").alias("clean_text"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    lost = (F.col("word_chars") - word_chars(F.col("clean_text"))).cast("long")
+    lost = word_chars(F.array_join("_bad", "\n")).cast("long")
     df = df.select(
         "doc_id", "n_words", "word_chars", "n_symbols",
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words", base_failed.alias("base_failed"),
-        (F.col("_n_lines") - F.size("_good")).cast("long").alias("lines_lost"), lost.alias("chars_lost"), "clean_text",
+        F.size("_bad").cast("long").alias("lines_lost"), lost.alias("chars_lost"), "clean_text",
     )
     kept = ~F.col("base_failed") & (100 * F.col("chars_lost") <= LOSS_PERCENT * F.col("word_chars"))
     return df.withColumn("kept", kept)
@@ -148,7 +147,6 @@ def _duck(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_BARE = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 _COUNT = "len(regexp_extract_all(line, {}))"
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -162,8 +160,8 @@ dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE r
 bad AS (
   SELECT r, count(*) AS lines_lost, sum(length(regexp_replace(line, {_duck(WORD_GAP)}, '', 'g'))) AS chars_lost FROM ln
   WHERE 100 * greatest({_COUNT.format(_duck(MARKED))}, {_COUNT.format(_duck(SHOUTS))}) > {SYMBOL_PERCENT} * {_COUNT.format(_duck(NO_GAP))}
-     OR ({_COUNT.format(_duck(NO_GAP))} >= {OPEN_WORDS} AND NOT regexp_matches({_BARE}, {_duck(TERMINAL)}))
-     OR {_COUNT.format(_duck(SEPARATORS))} >= {LINKS} OR regexp_matches({_BARE}, {_duck(NAVIGATION)})
+     OR ({_COUNT.format(_duck(NO_GAP))} >= {OPEN_WORDS} AND NOT regexp_matches(line, {_duck(TERMINAL)}))
+     OR {_COUNT.format(_duck(SEPARATORS))} >= {LINKS} OR regexp_matches(line, {_duck(NAVIGATION)})
      OR (length(line) <= {BOILERPLATE_CHARS} AND regexp_matches(line, {_duck(BOILERPLATE)}))
   GROUP BY r),
 s AS (

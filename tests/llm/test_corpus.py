@@ -40,7 +40,7 @@ def brute_line_fails(line):
     bare = line.strip(" \t\n\x0b\x0c\r")
     marked = max(sum(any(c in "#*$%&|<>" for c in x) for x in w), len(re.findall(r"[!?]{2,}", line)))
     punctuation = 100 * marked > 30 * len(w) or len(w) >= 4 and not re.search(r"""[.!?:;"')\]…”»。]\Z""", bare)
-    navigation = len(re.findall("[|»›•·>]", line)) >= 3 or bool(re.search(quality_rules.NAVIGATION, bare))
+    navigation = len(re.findall("[|»›•·>]", line)) >= 3 or bool(re.search(quality_rules.NAVIGATION.replace(r"\z", r"\Z"), bare))
     return punctuation or navigation or len(line) <= 200 and bool(re.search(quality_rules.BOILERPLATE, line))
 
 
