@@ -18,69 +18,62 @@ BLOCK = 4096
 _ESCAPE, _RAW = 14, 15
 
 
-def _choices(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place, the selector that packs most ids from there on."""
+def _choices(ids: np.ndarray, block: int) -> np.ndarray:
+    """For each place, the selector that packs most ids from there on, up to
+    the end of its block."""
     n = len(ids)
-    bits = np.zeros(n, np.uint8)
-    for b in range(64):
-        over = ids >= np.uint64(1 << b)
-        if not over.any():
-            break
-        bits[over] = b + 1
-    pick = np.full(n, _RAW, np.uint8)
-    pick[bits <= 60] = _ESCAPE
-    runs = {}  # widest id among the next 2**k
-    k, wide = 0, bits
-    while (1 << k) <= 60:
-        runs[k] = wide
-        if (1 << (k + 1)) <= 64:
-            nxt = wide.copy()
-            step = 1 << k
-            if n > step:
-                nxt[:-step] = np.maximum(wide[:-step], wide[step:])
-            wide = nxt
-        k += 1
+    if ids.max() < np.uint64(1 << 53):  # exact as floats, whose exponents are the bits
+        bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    else:
+        bits = np.array([int(x).bit_length() for x in ids.tolist()], np.uint8)
+    pick = np.where(bits <= 60, np.uint8(_ESCAPE), np.uint8(_RAW))
+    widest = {1: bits}  # widest id among the next so many
+    step = 1
+    while step < 32:
+        wide = widest[step].copy()
+        if n > step:
+            np.maximum(wide[:-step], widest[step][step:], out=wide[:-step])
+        widest[2 * step] = wide
+        step *= 2
+    left = np.minimum(block - np.arange(n) % block, n - np.arange(n))
     for sel in range(_ESCAPE - 1, -1, -1):
         count, width = PACKS[sel]
-        if count > n:
+        half = 1 << (count.bit_length() - 1)
+        if count > n or widest[half].min() > width:
             continue
-        k = count.bit_length() - 1
-        most = runs[k][: n - count + 1].copy()
-        if count > (1 << k):
-            np.maximum(most, runs[k][count - (1 << k) : count - (1 << k) + n - count + 1], out=most)
-        fits = most <= width
-        pick[: n - count + 1][fits] = sel
-    return pick, np.array([c for c, _ in PACKS], np.int64)[pick]
+        most = widest[half][: n - count + 1]
+        if count > half:
+            most = np.maximum(most, widest[half][count - half : n - half + 1])
+        pick[: n - count + 1][(most <= width) & (left[: n - count + 1] >= count)] = sel
+    return pick
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """The words, and for each block the word at which it starts."""
     ids = np.asarray(ids, dtype=np.uint64)
-    words, starts, at = [], [], 0
-    for lo in range(0, len(ids), block):
-        part = ids[lo : lo + block]
-        pick, step = _choices(part)
-        jumps, places, i, n = step.tolist(), [], 0, len(part)
-        while i < n:
-            places.append(i)
-            i += jumps[i]
-        place = np.array(places)
-        sel = pick[place]
-        out = np.zeros(len(place) + int((sel == _RAW).sum()), np.uint64)
-        to = np.arange(len(place)) + np.concatenate(([0], np.cumsum(sel == _RAW)[:-1]))
-        word = sel.astype(np.uint64) << np.uint64(60)
-        for s in np.unique(sel):
-            mine, (count, width) = sel == s, PACKS[s]
-            if s == _RAW:
-                out[to[mine] + 1] = part[place[mine]]
-                continue
-            values = part[place[mine][:, None] + np.arange(count)]
-            word[mine] |= np.bitwise_or.reduce(values << (np.arange(count, dtype=np.uint64) * np.uint64(width)), axis=1)
-        out[to] = word
-        starts.append(at)
-        words.append(out)
-        at += len(out)
-    return (np.concatenate(words) if words else np.zeros(0, np.uint64)), np.array(starts, np.int64)
+    n = len(ids)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    pick = _choices(ids, block)
+    jumps, places, i = np.array([c for c, _ in PACKS], np.int64)[pick].tolist(), [], 0
+    while i < n:
+        places.append(i)
+        i += jumps[i]
+    place = np.array(places)
+    sel = pick[place]
+    raw = sel == _RAW
+    to = np.arange(len(place)) + np.cumsum(raw) - raw
+    out = np.zeros(len(place) + int(raw.sum()), np.uint64)
+    word = sel.astype(np.uint64) << np.uint64(60)
+    for s in np.flatnonzero(np.bincount(sel)).tolist():
+        mine, (count, width) = np.flatnonzero(sel == s), PACKS[s]
+        if s == _RAW:
+            out[to[mine] + 1] = ids[place[mine]]
+            continue
+        for k in range(count):
+            word[mine] |= ids[place[mine] + k] << np.uint64(k * width)
+    out[to] = word
+    return out, to[np.searchsorted(place, np.arange(0, n, block))]
 
 
 def decode(words: np.ndarray, starts: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
