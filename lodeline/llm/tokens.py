@@ -112,31 +112,33 @@ class Encoder:
         if len(self.memo) > MEMO_UNITS or len(self.first) > MEMO_UNITS:
             self.memo.clear()
             self.first.clear()
-        memo, cut, new = self.memo, [], set()
+        get, cut, new = self.memo.get, [], set()
         for text in texts:
             if any(s in text for s in self.special):
                 cut.append(None)
                 continue
             units = text.split(" ")
-            cut.append(units)
-            new.update(u for u in (units[1:] if self.prefixed else units) if u not in memo)
+            head = units.pop(0) if self.prefixed else ""
+            known = list(map(get, units))
+            if None in known:
+                new.update([u for u, v in zip(units, known) if v is None])
+            cut.append((head, units, known))
         self._learn({u for u in new if self._safe(u)})
         out = []
-        for text, units in zip(texts, cut):
-            if units is None:
+        for text, parts in zip(texts, cut):
+            if parts is not None:
+                head, units, known = parts
+                if None in known:
+                    known = [v if v is not None else get(u) for u, v in zip(units, known)]
+                parts = None if None in known else known
+            if parts is None:
                 ids = self._whole(text)
             else:
-                head = units[0]
                 if self.prefixed:
                     if (start := self.first.get(head)) is None:
                         start = self.first[head] = self._whole(head)
-                    units = units[1:]
-                else:
-                    start = b""
-                try:
-                    ids = start + b"".join(map(memo.__getitem__, units))
-                except KeyError:
-                    ids = self._whole(text)
+                    parts.insert(0, start)
+                ids = b"".join(parts)
             out.append(np.frombuffer(ids, dtype="<u4"))
         return out
 
