@@ -196,6 +196,14 @@ def highlight_bounds(spark, sf_dir):
     return pair.select("question_id", "doc_id", T.excerpt_bounds(F.col("text"), F.col("question")).alias("b")).select("question_id", "doc_id", "b.start", "b.end")
 
 
+@query()
+def highlight_marks(spark, sf_dir):
+    """Marked excerpts of the document that a question's conversation number names."""
+    q = questions(spark, sf_dir).withColumn("doc_id", F.floor(F.col("question_id") / 1000).cast("long"))
+    pair = q.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return pair.select("question_id", "doc_id", T.highlighted(F.col("text"), F.col("question")).alias("html"))
+
+
 @query("SELECT doc_id, 'doc-' || doc_id || ' › ' || source || chr(10) || chr(10) || text AS embeddable FROM documents")
 def embeddable_text(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("id").alias("doc_id"), T.embeddable(F.col("title"), F.col("collection"), F.col("text")).alias("embeddable"))
