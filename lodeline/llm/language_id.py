@@ -32,6 +32,9 @@ TRAIN_ROWS, MAX_LANGUAGES = 4000, 64
 #: Trigrams beyond which more text adds little evidence; weight of the parent in a prior; least posterior.
 ENOUGH, PRIOR_ROWS, MIN_POSTERIOR = 60, 20, 0.5
 
+#: Rows of evidence (a host, a suffix, a declaration) up to which a counted table is broadcast, 64 languages at most in each.
+BROADCAST_ROWS = 20_000
+
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -123,6 +126,14 @@ def _tally(languages: list[str]) -> Column:
 
 
 
+def _counted(evidence: DataFrame, label: str) -> DataFrame:
+    """Stored and, if counted to be small, marked for broadcast: then a host
+    with very many documents is no hot group. A larger one is joined by its
+    key, and Spark splits skewed partitions of such joins."""
+    evidence = stored(evidence, label)
+    return F.broadcast(evidence) if evidence.count() <= BROADCAST_ROWS else evidence
+
+
 def identified(rows: DataFrame, model: Model, prior_rows: float = PRIOR_ROWS, least: float = MIN_POSTERIOR) -> DataFrame:
     """``rows``: doc_id, text, host, suffix, declared. Returns doc_id, rk (the
     text's hash), lang, text_lang, confidence and kept."""
@@ -152,7 +163,9 @@ def identified(rows: DataFrame, model: Model, prior_rows: float = PRIOR_ROWS, le
     signal = lambda c: told.filter(F.col(c).isNotNull()).groupBy(c).agg(_tally(languages).alias("counts")).select(
         c, F.zip_with("counts", size, lambda n, t: F.log((n + 0.5) / (t + 1.0))).alias(f"{c}_log")
     )
-    joined = scored.join(hosts, "host", "left").join(signal("suffix"), "suffix", "left").join(signal("declared"), "declared", "left")
+    joined = scored
+    for c, evidence in (("host", hosts), ("suffix", signal("suffix")), ("declared", signal("declared"))):
+        joined = joined.join(_counted(evidence, f"language-{c}"), c, "left")
     zero = F.array(*[F.lit(0.0)] * len(languages))
     total = F.zip_with("ll", F.transform(F.coalesce("host_prior", flat), lambda p: F.log(p)), lambda a, b: a + b)
     for c in ("suffix_log", "declared_log"):
