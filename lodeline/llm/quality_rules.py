@@ -122,7 +122,10 @@ def cleaned(docs: DataFrame) -> DataFrame:
     columns as ``docs``, with n_chars (if present) counted anew."""
     extra = F.struct(*[F.col(c) for c in docs.columns])
     verdict = judged(docs.select(F.struct(F.col("doc_id").alias("id"), extra.alias("row")).alias("doc_id"), "text"))
-    out = verdict.filter("kept").select(
+    # The row number keeps the filter above the projection: pushed below it, the
+    # whole expression of ``kept`` would be written out again and again.
+    verdict = verdict.withColumn("_row", F.monotonically_increasing_id())
+    out = verdict.filter(F.col("kept") & (F.col("_row") >= 0)).select(
         *[
             (
                 F.col("clean_text") if c == "text" else F.length("clean_text").cast("long") if c == "n_chars" else F.col("doc_id.row")[c]
