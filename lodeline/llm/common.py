@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 NO_GAP = r"[^\x20\x09-\x0D]+"
 #: Texts are handed to numpy in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,8 +105,10 @@ def _scored(table: np.ndarray):
             found, upto = trigrams(_raw(batch))
             before = np.concatenate(([0], upto[:-1]))
             n = upto - before
-            sums = [np.concatenate(([0.0], np.cumsum(row[found], dtype=np.float64))) for row in table]
-            ll = np.array([s[upto] - s[before] for s in sums]).T if len(table) else np.zeros((len(n), 0))
+            ll = np.zeros((len(n), len(table)))
+            for k, row in enumerate(table):  # one language at a time: small arrays
+                sums = np.concatenate(([0.0], np.cumsum(row[found], dtype=np.float64)))
+                ll[:, k] = sums[upto] - sums[before]
             weight = (ENOUGH / (ENOUGH + n))
             ll = ll * weight[:, None]
             keep = [c for c in batch.schema.names if c != "text"]
