@@ -3,8 +3,9 @@
 Every text's set of word shingles is hashed once; the least hash in each of 128
 bins, empty bins filled by optimal densification, is its signature. Equal sets
 are one from then on. Bands of the signature are buckets; in each, a star of
-candidate edges leads from the least id to the others. Edges that length and a
-one-bit sketch do not rule out are confirmed on the full sets, and connected.
+candidate edges leads from the least id to the others. Edges that length and,
+between large sets, a one-bit sketch do not rule out are confirmed on the full
+sets, and connected.
 
 A star tests its centre only. So that no link between two others of a bucket is
 lost, buckets whose members are not all in one component are gone through
@@ -13,7 +14,9 @@ first bucket that it shares, pass the same filters and are confirmed on full
 sets inside the block's task; only confirmed links leave it.
 
 A pair at exactly the threshold shares no bucket with probability
-(1 - s**4)**32, 5e-8 at 0.8; the sketch rules it out with about 1e-6.
+(1 - s**4)**32, 5e-8 at 0.8; the sketch rules it out with about 1e-6 where both
+sets have ``SKETCH_LEAST`` shingles. Smaller sets fill many bins with few hashes,
+so their sketches say too little: they are always confirmed in full.
 
 Defined results: a null text or one without words has an empty set and is linked
 with nothing; a text with fewer words than a shingle is one shingle. A row with a
@@ -38,6 +41,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 BAND_ROWS = 4
 #: Sketch bits that may differ: at similarity 0.8, 12.8 do on average, with a deviation of 3.4.
 SKETCH_DIFFERS = 30
+#: Shingles that both sets need before the sketch may rule a pair out.
+SKETCH_LEAST = 512
 #: Members in a block of a mixed bucket; ids up to which a set of ids is broadcast.
 BLOCK, BROADCAST_IDS = 1024, 1_000_000
 
@@ -104,9 +109,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def plausible(a1, a2, an, b1, b2, bn, percent: int):
-    """Whether length and sketch leave the threshold possible."""
+    """Whether length and, between large sets, sketch leave the threshold possible."""
     apart = F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))
-    return (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & (apart <= SKETCH_DIFFERS)
+    return (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & ((F.least(an, bn) < SKETCH_LEAST) | (apart <= SKETCH_DIFFERS))
 
 
 def _in_blocks(percent: int):
@@ -130,7 +135,7 @@ def _in_blocks(percent: int):
                 continue
             ys = ys[100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])]
             apart = np.bitwise_count((s1[ys] ^ s1[x]).view(np.uint64)) + np.bitwise_count((s2[ys] ^ s2[x]).view(np.uint64))
-            ys = ys[apart <= SKETCH_DIFFERS]
+            ys = ys[(np.minimum(n[ys], n[x]) < SKETCH_LEAST) | (apart <= SKETCH_DIFFERS)]
             if not len(ys):
                 continue
             ys = ys[(bands[ys] == bands[x]).argmax(axis=1) == band]  # the first band they share

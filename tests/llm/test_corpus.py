@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -123,6 +125,31 @@ def test_minhash_groups(spark, words):
     assert all(r.kept == (i == want[i]) for i, r in got.items())
 
 
+def test_minhash_links_short_copies_at_the_threshold(spark):
+    random.seed(11)
+    many = []
+    for shared, of, pairs in ((4, 5, 300), (8, 10, 150), (12, 15, 100), (16, 20, 100), (24, 30, 100)):
+        for k in range(pairs):
+            w = [f"w{of}x{k}x{random.randrange(10**6)}y{j}" for j in range(of + 1)]
+            many += [" ".join(w[: shared + 1]), " ".join(w)]
+    got = {r.doc_id: r.component_id for r in minhash.grouped(rows(spark, many), words=2).collect()}
+    assert [got[i] for i in range(len(many))] == [i - i % 2 for i in range(len(many))]
+
+
+def test_minhash_sketch_rules_out_large_sets_only(spark):
+    def links(n):
+        x, y = np.arange(n, dtype=np.uint64), np.arange(n * 4 // 5, dtype=np.uint64)
+        members = [("key", 0, 0, 0, i, i, len(s), bits, bits, [7], s.tobytes(), 0) for i, s, bits in ((1, x, 0), (2, y, -1))]
+        columns = [pa.array(list(c)) for c in zip(*members)]
+        batch = pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
+        found = [b.to_pylist() for b in minhash._in_blocks(80)(iter([batch]))]
+        near = spark.range(1).select(minhash.plausible(*map(F.lit, (0, 0, len(x), -1, -1, len(y))), 80).alias("near")).first().near
+        return [p for b in found for p in b], near
+
+    assert links(30) == ([{"a": 1, "b": 2}], True)
+    assert links(5 * minhash.SKETCH_LEAST) == ([], False)
+
+
 def test_minhash_edges(spark):
     assert minhash.grouped(rows(spark, [])).count() == 0
     df = rows(spark, ["same text in both", "same text in both", "other"])
