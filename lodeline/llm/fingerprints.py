@@ -5,7 +5,14 @@ give the hash of any span by one subtraction and one multiplication. A
 fingerprint keeps the hashes of the text's prefixes and suffixes at multiples of
 a power of two, at most ``MARKS`` of each, with its length and whole hash. Two
 fingerprints have their longest common extensions from the front and from the
-back found by binary search; likeness is the part of the longer text these cover.
+back found by binary search; likeness is the part of the longer text these cover,
+in units of the marks' distance. Marks keep all 62 bits.
+
+Where both texts are at hand, nothing is rounded to marks: any two spans are
+compared by ``equal_spans``, ``forward`` and ``backward`` give the longest common
+extension of any two places to the character, and ``shared`` goes on after
+mismatches: it is the part of both texts' characters that lie in a span of
+``SPAN`` characters (or of the shorter text's length) found in the other text.
 
 The edited text of a document is not hashed anew: its prefixes come from the
 document's prefix sums and those of the next document.
@@ -33,12 +40,15 @@ BASES = (911382323, 972663749)
 MARKS = 32
 #: Code points hashed in one go, and documents in a bucket of the order, on average.
 PIECE, BUCKET_DOCS = 1 << 16, 4000
+#: Code points of the least span that two texts can share.
+SPAN = 16
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, ...]:
+@lru_cache(maxsize=2)
+def _powers(sign: int = 1) -> tuple[np.ndarray, ...]:
     out = []
     for p, b in zip(PRIMES, BASES):
+        b = pow(b, sign, p)
         row, have = np.ones(PIECE, np.uint64), 1
         while have < PIECE:  # doubling: powers of the second half from the first
             row[have : 2 * have] = row[:have] * np.uint64(pow(b, have, p)) % np.uint64(p)
@@ -54,6 +64,7 @@ class Prefixes:
         self.codes, self.n = codes, len(codes)
         self.sums = [[0], [0]]  # at the start of each piece
         self.now, self.local = -1, None
+        self.full = self.keys = None
         for i in range(0, max(1, self.n), PIECE):
             local = self._piece(i // PIECE)
             for m, p in enumerate(PRIMES):
@@ -77,6 +88,72 @@ class Prefixes:
                 out[m, mine] = (local[m][places[mine] - k * PIECE] * np.uint64(scale) + np.uint64(self.sums[m][k])) % np.uint64(p)
         return out
 
+    def all(self) -> np.ndarray:
+        """The sums before every place."""
+        if self.full is None:
+            self.full = self.at(np.arange(self.n + 1))
+        return self.full
+
+    def spans(self, width: int) -> np.ndarray:
+        """The hash of every span of ``width`` code points, in order."""
+        if width == SPAN and self.keys is not None:
+            return self.keys
+        sums, count = self.all(), self.n - width + 1
+        out = np.zeros(count, np.uint64)
+        for m, p in enumerate(PRIMES):
+            span = (np.uint64(p) + sums[m, width:] - sums[m, :count]) % np.uint64(p)
+            for i in range(0, count, PIECE):
+                part = span[i : i + PIECE]
+                part[:] = part * _powers(-1)[m][: len(part)] % np.uint64(p) * np.uint64(pow(BASES[m], -i, p)) % np.uint64(p)
+            out = (out << np.uint64(32)) | span
+        if width == SPAN:
+            self.keys = out
+        return out
+
+
+def equal_spans(a: Prefixes, i: int, b: Prefixes, j: int, length: int) -> bool:
+    """Whether ``length`` code points are the same from place i of a and j of b."""
+    x, y = a.all(), b.all()
+    for m, p in enumerate(PRIMES):
+        u, v = int(x[m, i + length]) - int(x[m, i]), int(y[m, j + length]) - int(y[m, j])
+        if (u - v if i == j else u * pow(BASES[m], j, p) - v * pow(BASES[m], i, p)) % p:
+            return False
+    return True
+
+
+def _longest(most: int, equal) -> int:
+    lo, hi = 0, most
+    while lo < hi:
+        k = (lo + hi + 1) // 2
+        lo, hi = (k, hi) if equal(k) else (lo, k - 1)
+    return lo
+
+
+def forward(a: Prefixes, i: int, b: Prefixes, j: int, most: int | None = None) -> int:
+    """The longest common extension from place i of a and j of b on."""
+    limit = min(a.n - i, b.n - j)
+    return _longest(limit if most is None else min(limit, most), lambda k: equal_spans(a, i, b, j, k))
+
+
+def backward(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
+    """The longest common extension that ends before place i of a and j of b."""
+    return _longest(min(i, j), lambda k: equal_spans(a, i - k, b, j - k, k))
+
+
+def _covered(keys: np.ndarray, among: np.ndarray, width: int) -> int:
+    """Places in a span whose key is ``among`` the sorted ones."""
+    at = np.flatnonzero(among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys)
+    return int(np.minimum(np.diff(at), width).sum()) + width if len(at) else 0
+
+
+def shared(a: Prefixes, b: Prefixes) -> float:
+    """0 to 1: the part of both texts in spans that the other one has too."""
+    width = min(SPAN, a.n, b.n)
+    if not width:
+        return float(a.n == b.n)
+    x, y = a.spans(width), b.spans(width)
+    return (_covered(x, np.sort(y), width) + _covered(y, np.sort(x), width)) / (a.n + b.n)
+
 
 def _joined(head: Prefixes, cut: int, tail: Prefixes, places: np.ndarray) -> np.ndarray:
     """Sums of head[:cut] followed by a prefix of ``tail``."""
@@ -114,18 +191,18 @@ def fingerprint(n: int, at) -> str:
     sums, whole = at(front), at(np.array([n]))
     prefix = (sums[0] << np.uint64(32)) | sums[1]
     suffix = _spans(at(behind[::-1])[:, ::-1], behind, whole, n, step)
-    fold = lambda x: "".join(f"{v:08x}" for v in ((x ^ (x >> np.uint64(29))) & np.uint64(0xFFFFFFFF)).tolist())
-    return f"{n}:{int(whole[0, 0]):08x}{int(whole[1, 0]):08x}:{fold(prefix)}:{fold(suffix)}"
+    marks = lambda x: "".join(f"{v:016x}" for v in x.tolist())
+    return f"{n}:{int(whole[0, 0]):08x}{int(whole[1, 0]):08x}:{marks(prefix)}:{marks(suffix)}"
 
 
 def _common(a: str, b: str, step_a: int, step_b: int) -> int:
     """The longest common extension in marks' units of the wider step."""
     step = max(step_a, step_b)
-    lo, hi = 0, min(len(a) // 8 * step_a, len(b) // 8 * step_b) // step
+    lo, hi = 0, min(len(a) // 16 * step_a, len(b) // 16 * step_b) // step
     while lo < hi:
         k = (lo + hi + 1) // 2
         i, j = k * step // step_a, k * step // step_b
-        if a[8 * i - 8 : 8 * i] == b[8 * j - 8 : 8 * j]:
+        if a[16 * i - 16 : 16 * i] == b[16 * j - 16 : 16 * j]:
             lo = k
         else:
             hi = k - 1
@@ -145,8 +222,8 @@ def likeness(a: str, b: str) -> float:
     return min(1.0, (_common(fa, fb, sa, sb) + _common(ba, bb, sa, sb)) / max(n, m))
 
 
-OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, front_edited bigint, back_edited bigint, front_next bigint, back_next bigint, shared_next double"
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), *((c, pa.int64()) for c in ("front_edited", "back_edited", "front_next", "back_next")), ("shared_next", pa.float64())])
 
 
 class Document:
@@ -161,7 +238,13 @@ class Document:
         cut = n - n // 3
         edited = fingerprint(cut + taken, lambda places: _joined(self.prefixes, cut, nxt.prefixes, places))
         sha = hashlib.sha256((self.text[:cut] + nxt.text[:taken]).encode()).hexdigest()
-        return self.doc_id, n, sha, self.fingerprint, edited, likeness(self.fingerprint, edited), likeness(self.fingerprint, nxt.fingerprint)
+        a, b = self.prefixes, nxt.prefixes
+        front = cut + forward(a, cut, b, 0, taken)
+        back = backward(a, n, b, taken)
+        if back == taken:
+            back += backward(a, n - taken, a, cut)
+        exact = front, back, forward(a, 0, b, 0), backward(a, n, b, b.n), shared(a, b)
+        return self.doc_id, n, sha, self.fingerprint, edited, likeness(self.fingerprint, edited), likeness(self.fingerprint, nxt.fingerprint), *exact
 
 
 def _bucket(batches, splits, to):

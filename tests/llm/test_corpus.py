@@ -199,6 +199,52 @@ def test_likeness_is_bounded_and_symmetric(a, b):
         assert near <= (front + back) / max(len(a), len(b), 1) + 1e-9
 
 
+def common(a, b):
+    return next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+
+
+def brute_shared(a, b):
+    w = min(16, len(a), len(b))
+    if not w:
+        return float(a == b)
+    cover = lambda s, t: len({i + k for i in range(len(s) - w + 1) if s[i : i + w] in t for k in range(w)})
+    return (cover(a, b) + cover(b, a)) / (len(a) + len(b))
+
+
+def prefixes(t):
+    return fingerprints.Document(0, t).prefixes
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab", max_size=90), st.text(alphabet="ab", max_size=90), st.data())
+def test_spans_and_extensions_are_exact(a, b, data):
+    x, y = prefixes(a), prefixes(b)
+    i, j = data.draw(st.integers(0, len(a))), data.draw(st.integers(0, len(b)))
+    assert fingerprints.forward(x, i, y, j) == common(a[i:], b[j:])
+    assert fingerprints.backward(x, i, y, j) == common(a[:i][::-1], b[:j][::-1])
+    k = data.draw(st.integers(0, min(len(a) - i, len(b) - j)))
+    assert fingerprints.equal_spans(x, i, y, j, k) == (a[i : i + k] == b[j : j + k])
+    assert abs(fingerprints.shared(x, y) - brute_shared(a, b)) < 1e-12
+
+
+def test_likeness_of_spans_goes_on_after_mismatches(spark):
+    random.seed(3)
+    a = "".join(random.choice("abcdefgh") for _ in range(140_000))
+    b = a[:4000] + "-" + a[4000:70_000] + "+" + a[70_001:-3] + "?" + a[-2:]
+    many = ["", "tail", *texts()[:25], b, a]
+    got = {r.doc_id: r for r in fingerprints.fingerprinted(rows(spark, many)).collect()}
+    r = got[len(many) - 1]
+    assert (r.near_next, r.front_next, r.back_next) == (0.0, 4000, 2) and r.shared_next > 0.999
+    for i, t in enumerate(many):
+        nxt, r = many[i - 1], got[i]
+        third = len(t) // 3
+        edited = t[: len(t) - third] + nxt[:third]
+        assert (r.front_edited, r.back_edited) == (common(t, edited), common(t[::-1], edited[::-1])), i
+        assert (r.front_next, r.back_next) == (common(t, nxt), common(t[::-1], nxt[::-1])), i
+        if max(len(t), len(nxt)) < 5000:
+            assert abs(r.shared_next - brute_shared(t, nxt)) < 1e-12, i
+
+
 # ---- language ---------------------------------------------------------------
 
 def test_language_held_out_accuracy(spark):
