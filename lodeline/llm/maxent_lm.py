@@ -1,311 +1,393 @@
 """A hashed maximum-entropy language model, trained and applied to a corpus.
 
-The most frequent training words are symbols of their own; all others share a
-few hashed symbols. Features of a place are the symbol before it, the two before
-it together (n-grams) and the second before it alone (skip), each hashed to a
-row of weights. The softmax is factored by class: first the class of the next
-symbol, then the symbol within it. A word that shares its symbol gets that
-symbol's probability times its add-one share among such words; an unknown one
-the share of a word never seen.
-
-Training sees every training token: their (two symbols before, symbol) triples
-are counted by grouped aggregation, and each round the tasks turn their triples
-and the broadcast weights, whose size is a parameter, into a gradient; gradients
-are summed by row of weights. Scoring goes by block of documents: a block's
-distinct words fetch their counts by one equi-join, and its texts are scored in
-numpy by their distinct contexts.
-
-Defined results: a null or empty text is one end token; rows with equal doc_id
-are scored each for itself; an empty table gives none, and without training
-documents all counts are 0. Other columns are ignored.
+Words are symbols: the ``NAMED`` most frequent training words (the end of a text
+among them) have one each, all others are the outcome *rare*. The softmax is
+factored by class: a symbol is a path of three choices among ``BRANCH``, class,
+subclass and member, and each choice has its own softmax given the choices
+before it. Features of a choice are the word before, the two words before
+together (n-grams) and the second word before alone (skip); each, together with
+the choices made so far, is hashed to one of ``ROWS`` rows of weights, one weight
+for each outcome. As features, rare words are told apart by hash. A rare word has
+the probability of *rare* times its add-one share among rare words.
+
+1. Texts are coded in blocks: a block's distinct words with their number in
+   training texts, and every token's place among them.
+2. Words are counted over all blocks by one window; the counts go back by block
+   and place, without the words.
+3. Weights are trained by distributed gradient updates. Every training token is
+   used once, in one of ``ROUNDS`` rounds. A round's tasks start from the broadcast
+   weights, whose size is a parameter, take sparse steps over their blocks and
+   return the rows they touched; a row becomes the mean of what the tasks made
+   of it, weighted by how often each met it.
+4. Blocks are scored in numpy batches.
+
+Defined results: a null or empty text is one end token; rows with equal or null
+doc_id are scored each for itself (a null id counts as the empty text where
+training texts are chosen); an empty table gives none, and without training
+documents all counts are 0. A very long text is a block of its own and is scored
+in batches. Ties between equally frequent words go to the lesser word. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import batch_of, documents, row_key, slices, stored
+from .common import batch_of, documents, slices, stored
 
 FOLDS, HELD_OUT = 7, 2
-#: Symbols of their own, hashed symbols for the rest, classes.
-FREQUENT, SHARED, CLASSES = 223, 32, 16
-ROWS = 1 << 11
-ROUNDS, RATE = 8, 0.35
-#: Expected occurrences added to each weight's, so that rare features move little.
-CAUTION = 3.0
-#: Gradient tasks: triples are at most SYMBOLS ** 3, whatever the corpus.
-GRADIENT_TASKS = 8
-#: Documents in a block, on average.
-BLOCK_DOCS = 2500
+#: Outcomes of a choice; symbols with a path of their own; the class that stands for all others.
+BRANCH = 32
+RARE_CLASS = BRANCH - 1
+NAMED = RARE_CLASS * BRANCH * BRANCH
+#: Context symbols are 16 bits: those above ``NAMED`` are shared by rare words.
+CONTEXTS = 1 << 16
+START = CONTEXTS  # before a text
+ROW_BITS = 18
+ROWS = 1 << ROW_BITS
+ROUNDS, RATE = 2, 0.6
+#: Tokens in a step, in a block, and in a training task (on average).
+STEP, BLOCK_TOKENS, TASK_TOKENS = 8192, 1 << 22, 5_000_000
+#: Rows of weights that travel together.
+GROUP = 1024
 END = "\n"  # no word contains it
-_WORD = pa.schema([("block", pa.int64()), ("word", pa.string()), ("c", pa.int64())])
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_GAP = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+_FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b"     ")
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_KINDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased words and the end."""
-    if not text:
-        return [END]
-    found = text.encode().translate(_LOWER).translate(_GAP).decode().split(" ")
-    return [w for w in found if w] + [END]
+# ---- coding -----------------------------------------------------------------
 
+def tokens(texts: list[bytes]) -> pa.DictionaryArray:
+    """The lower-cased words of texts and an end after each, coded."""
+    joined = b"".join([t.translate(_FOLD) + b" \n " for t in texts])
+    whole = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(joined)], np.int64)), pa.py_buffer(joined))
+    found = pc.split_pattern(whole, " ").flatten()
+    return found.filter(pc.not_equal(found, "")).cast(pa.string()).dictionary_encode()
 
-def shared_symbol(word: str) -> int:
-    return FREQUENT + 1 + zlib.crc32(word.encode()) % SHARED
 
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
 
-SYMBOLS = FREQUENT + 1 + SHARED
-START = SYMBOLS  # before a text
-WIDTH = -(-SYMBOLS // CLASSES)
 
+def _from_planes(raw: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(raw, n * size, "zstd"), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).view(kind).ravel()
 
-def class_of(symbol):
-    """Symbols are dealt to classes in turn, so that each has frequent ones."""
-    return symbol % CLASSES, symbol // CLASSES
 
+CODED = "block bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, codes binary, words array<string>, counts array<bigint>"
+_CODED = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
-def feature_rows(p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
-    """The weight rows of contexts: bias, before, both before, second before."""
-    h = lambda x, kind: ((x.astype(np.uint64) * np.uint64(2654435761) + np.uint64(kind * 40503)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % ROWS
-    return np.stack((np.zeros(len(p1), np.int64), h(p1, 1), h(p2 * (START + 1) + p1, 2), h(p2, 3)), axis=1)
 
+def _coded(block_tokens: int):
+    def close(number: int, ids: list, parts: list):
+        parts = pa.chunked_array(parts).unify_dictionaries()
+        words = parts.chunk(0).dictionary
+        codes = np.concatenate([p.indices.to_numpy() for p in parts.chunks])
+        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        codes, words = place[codes], words.take(pa.array(order))
+        last = np.flatnonzero(codes == pc.index(words, END).as_py())
+        sizes = np.diff(last, prepend=-1)
+        held = np.array([held_out(d) for d in ids])
+        counts = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(words))
+        block = TaskContext.get().partitionId() << 24 | number
+        return batch_of(_CODED, {"block": [block], "doc_ids": [ids], "held": [held.tolist()], "sizes": [sizes], "codes": [_planes(codes)], "words": [words], "counts": [counts]})
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
-
-
-class Weights:
-    """``to_class``: row by class. ``in_class``: row by class by member; a
-    class's last members may not exist."""
-
-    def __init__(self):
-        self.to_class = np.zeros((ROWS, CLASSES), np.float32)
-        self.in_class = np.zeros((ROWS, CLASSES, WIDTH), np.float32)
-        c, m = np.meshgrid(np.arange(CLASSES), np.arange(WIDTH), indexing="ij")
-        self.missing = np.where(m * CLASSES + c >= SYMBOLS, np.float32(-1e9), np.float32(0))
+    def run(batches):
+        ids, parts, size, number = [], [], 0, 0
+        for batch in slices(batches, "text"):
+            found = tokens([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            if parts and size + len(found) > block_tokens:
+                yield close(number, ids, parts)
+                ids, parts, size, number = [], [], 0, number + 1
+            ids += batch.column(0).to_pylist()
+            parts.append(found)
+            size += len(found)
+        if parts:
+            yield close(number, ids, parts)
 
-    def class_logs(self, rows: np.ndarray) -> np.ndarray:
-        return _log_softmax(self.to_class[rows].sum(axis=1))
+    return run
 
-    def member_logs(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        return _log_softmax(self.in_class[rows, classes[:, None]].sum(axis=1) + self.missing[classes])
 
+TALLIED = "doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, known array<bigint>, base array<double>, share array<double>, symbols binary"
+_TALLIED = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("share", pa.list_(pa.float64())), ("symbols", pa.binary())])
 
-def gradients(w: Weights, p2, p1, symbol, n) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Touched weight rows, the log-likelihood's gradient in each, to class and
-    in class, and the tokens that each takes part in, for counted triples."""
-    context, which = np.unique(p2 * (START + 1) + p1, return_inverse=True)
-    rows = feature_rows(context // (START + 1), context % (START + 1))
-    cls, member = class_of(symbol)
-    seen = np.zeros((len(context), CLASSES))
-    np.add.at(seen, (which, cls), n)
-    outer = seen - seen.sum(axis=1, keepdims=True) * np.exp(w.class_logs(rows))
-    pair, at = np.unique(which * CLASSES + cls, return_inverse=True)
-    inner_seen = np.zeros((len(pair), WIDTH))
-    np.add.at(inner_seen, (at, member), n)
-    inner = inner_seen - inner_seen.sum(axis=1, keepdims=True) * np.exp(w.member_logs(rows[pair // CLASSES], pair % CLASSES))
-    touched, to = np.unique(rows, return_inverse=True)
-    to = to.reshape(rows.shape)
-    g1, g2 = np.zeros((len(touched), CLASSES)), np.zeros((len(touched), CLASSES, WIDTH))
-    tokens = np.zeros(len(touched))
-    for f in range(rows.shape[1]):
-        np.add.at(tokens, to[:, f], seen.sum(axis=1))
-        np.add.at(g1, to[:, f], outer)
-        np.add.at(g2, (to[pair // CLASSES, f], pair % CLASSES), inner)
-    return touched, g1, g2, tokens
 
+def context_symbol(word: bytes) -> int:
+    """What a rare word is as a feature."""
+    return NAMED + zlib.crc32(word) % (CONTEXTS - NAMED)
 
-def _block_words(batches):
-    """Each block's distinct words with their number in training documents."""
-    held: dict[int, Counter] = {}
-    size = 0
 
-    def flush():
-        for block, counts in held.items():
-            yield batch_of(_WORD, {"block": [block] * len(counts), "word": list(counts), "c": list(counts.values())})
-        held.clear()
+def _tallied(named: list[str], n: int, v: int, rare: int):
+    """Per block: symbols of all tokens, and of each text what counts alone tell.
+    ``n`` tokens and ``v`` words are known, ``rare`` is the denominator of rare words' shares."""
 
-    for batch in slices(batches, "text"):
-        for block, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            counts = held.setdefault(block, Counter())
-            words = words_of(text)
-            if held_out(doc_id):
-                for w in words:
-                    counts[w] += 0
-            else:
-                counts.update(words)
-            size += len(words)
-        if size > 4_000_000:
-            yield from flush()
-            size = 0
-    yield from flush()
+    def run(key, left, right):
+        if not left.num_rows:
+            return _TALLIED.empty_table()
+        row = {c: left[c][0] for c in ("doc_ids", "held", "sizes")}
+        sizes = row["sizes"].values.to_numpy()
+        words = left["words"][0].values
+        codes = _from_planes(left["codes"][0].as_py(), int(sizes.sum()), np.int32)
+        c = np.zeros(len(words), np.int64)
+        c[right["pos"].to_numpy()] = right["total"].to_numpy()
+        at = pc.index_in(words, value_set=pa.array(named, pa.string()))
+        symbol = at.fill_null(-1).to_numpy().astype(np.int64)
+        others = np.flatnonzero(symbol < 0)
+        symbol[others] = [context_symbol(w) for w in words.take(pa.array(others)).cast(pa.binary()).to_pylist()]
+        share = np.where(symbol >= NAMED, np.log10((c + 1) / rare), 0.0)
+        first = np.cumsum(sizes) - sizes
+        each = lambda x: np.add.reduceat(x[codes], first)
+        out = {"known": each((c > 0).astype(np.int64)), "base": each(np.log10((c + 1) / (n + v + 1))), "share": each(share)}
+        return pa.table({k: [x.as_py()] for k, x in row.items()} | {k: [x] for k, x in out.items()} | {"symbols": [_planes(symbol.astype(np.uint16)[codes])]}, schema=_TALLIED)
 
+    return run
 
-def _triples(symbol: dict[str, int]):
-    schema = pa.schema([("p2", pa.int32()), ("p1", pa.int32()), ("symbol", pa.int32()), ("n", pa.int64())])
 
+# ---- the model --------------------------------------------------------------
+
+def contexts(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The second symbol before each token, and the one before; texts lie end to end."""
+    s = symbols.astype(np.int64)
+    before = np.concatenate(([START], s[:-1]))
+    second = np.concatenate(([START, START], s[:-2]))[: len(s)]
+    first = np.cumsum(sizes) - sizes
+    before[first] = second[first] = START
+    second[(first + 1)[sizes > 1]] = START
+    return second, before
+
+
+def choices(symbols: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For class, subclass and member: which tokens choose, at which node, and what."""
+    s = symbols.astype(np.int64)
+    cls = np.minimum(s // (BRANCH * BRANCH), RARE_CLASS)
+    named = np.flatnonzero(cls < RARE_CLASS)
+    t = s[named]
+    return [(np.arange(len(s)), np.zeros(len(s), np.int64), cls), (named, 1 + cls[named], t // BRANCH % BRANCH), (named, 1 + BRANCH + t // BRANCH, t % BRANCH)]
+
+
+def hashed_features(second: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    a, b = before.astype(np.uint64), second.astype(np.uint64)
+    return [a * _KINDS[0] + np.uint64(1), (b * np.uint64(CONTEXTS + 1) + a) * _KINDS[1] + np.uint64(2), b * _KINDS[2] + np.uint64(3)]
+
+
+def weight_rows(feature: np.ndarray, node: np.ndarray) -> np.ndarray:
+    x = feature ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return (x >> np.uint64(64 - ROW_BITS)).astype(np.int64)
+
+
+def biases(counts: np.ndarray) -> np.ndarray:
+    """Log shares of outcomes at each node, from the symbols' training counts;
+    the last count is that of all rare words."""
+    full = np.concatenate((counts[:NAMED] + 0.5, np.full(BRANCH * BRANCH, (counts[NAMED] + 0.5) / (BRANCH * BRANCH)))).reshape(BRANCH, BRANCH, BRANCH)
+    share = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
+    return np.concatenate((share(full.sum(axis=(1, 2)))[None], share(full.sum(axis=2)), share(full).reshape(-1, BRANCH))).astype(np.float32)
+
+
+def outcomes(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+    """Scores of all outcomes, the largest of a choice at 0."""
+    z = bias[node]
+    for r in rows:
+        z += weights[r]
+    z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def log_probabilities(weights: np.ndarray, bias: np.ndarray, symbols: np.ndarray, second: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """log10 of each token's symbol after its context."""
+    out = np.zeros(len(symbols))
+    features = hashed_features(second, before)
+    for who, node, made in choices(symbols):
+        z = outcomes(weights, bias, [weight_rows(f[who], node) for f in features], node)
+        chosen = z[np.arange(len(who)), made].astype(np.float64)
+        out[who] += chosen - np.log(np.exp(z, out=z).sum(axis=1))
+    return out / np.log(10)
+
+
+def gradients(weights: np.ndarray, bias: np.ndarray, symbols: np.ndarray, second: np.ndarray, before: np.ndarray):
+    """For each kind of choice: the rows that these tokens' features touch, how
+    often, and the log-likelihood's gradient in each."""
+    features = hashed_features(second, before)
+    for who, node, made in choices(symbols):
+        if not len(who):
+            continue
+        rows = [weight_rows(f[who], node) for f in features]
+        g = outcomes(weights, bias, rows, node)
+        np.exp(g, out=g)
+        g /= -g.sum(axis=1, keepdims=True)
+        g[np.arange(len(who)), made] += 1
+        flat = np.concatenate(rows)
+        order = np.argsort(flat)
+        flat = flat[order]
+        start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        token, times = order % len(who), np.diff(start, append=len(flat))
+        total = g[token[start]]
+        more = np.flatnonzero(times > 1)
+        if len(more):  # rows met more than once are summed
+            n = times[more]
+            begin = np.cumsum(n) - n
+            at = np.repeat(start[more] - begin, n) + np.arange(int(n.sum()))
+            total[more] = np.add.reduceat(g[token[at]], begin, axis=0)
+        yield flat[start], times, total
+
+
+def step(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, bias: np.ndarray, symbols: np.ndarray, second: np.ndarray, before: np.ndarray, rate: float) -> None:
+    """A sparse update in place: a touched row moves by its gradient over the
+    root of its squared gradients so far."""
+    for touched, times, total in gradients(weights, bias, symbols, second, before):
+        squares[touched] += np.einsum("ij,ij->i", total, total)
+        met[touched] += times
+        total *= (rate / np.sqrt(squares[touched] + 1))[:, None]
+        weights[touched] += total
+
+
+_MOVED = pa.schema([("part", pa.int32()), ("met", pa.binary()), ("squares", pa.binary()), ("moved", pa.binary())])
+MOVED = "part int, met binary, squares binary, moved binary"
+
+
+def _updates(model, bias, turn: int, rounds: int, rate: float):
     def run(batches):
-        get, memo = symbol.get, {}
-        total: Counter = Counter()
-        base = START + 1
-        for batch in slices(batches, "text"):
-            keys = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held_out(doc_id):
+        start, squares0 = model.value
+        weights = None
+        for batch in batches:
+            for held, sizes, symbols in zip(*(batch.column(i) for i in range(3))):
+                sizes = sizes.values.to_numpy()
+                mine = ~np.array(held.as_py(), bool) & (np.arange(len(sizes)) % rounds == turn)
+                if not mine.any():
                     continue
-                s = np.array([START, START, *symbols_of(words_of(text), get, memo)], np.int64)
-                keys.append((s[:-2] * base + s[1:-1]) * base + s[2:])
-            if keys:
-                found, n = np.unique(np.concatenate(keys), return_counts=True)
-                for k, c in zip(found.tolist(), n.tolist()):
-                    total[k] += c
-        keys = np.array(list(total), np.int64)
-        yield batch_of(schema, {"p2": (keys // base // base).astype(np.int32), "p1": (keys // base % base).astype(np.int32), "symbol": (keys % base).astype(np.int32), "n": np.array(list(total.values()), np.int64)})
+                if weights is None:
+                    weights, squares, met = start.copy(), squares0.copy(), np.zeros(ROWS, np.float32)
+                s = _from_planes(symbols.as_py(), int(sizes.sum()), np.uint16)[np.repeat(mine, sizes)]
+                second, before = contexts(s, sizes[mine])
+                for i in range(0, len(s), STEP):
+                    part = slice(i, i + STEP)
+                    step(weights, squares, met, bias, s[part], second[part], before[part], rate)
+        if weights is None:
+            return
+        weights -= start
+        squares -= squares0
+        for k in np.unique(np.flatnonzero(met) // GROUP).tolist():
+            g = slice(k * GROUP, (k + 1) * GROUP)
+            yield batch_of(_MOVED, {"part": [k], "met": [met[g].tobytes()], "squares": [squares[g].astype(np.float32).tobytes()], "moved": [weights[g].astype(np.float16).tobytes()]})
 
     return run
 
 
-def symbols_of(words: list[str], get, memo: dict) -> list[int]:
-    out = []
-    for w in words:
-        s = get(w)
-        if s is None:
-            s = memo.get(w)
-            if s is None:
-                if len(memo) > 500_000:
-                    memo.clear()
-                s = memo[w] = shared_symbol(w)
-        out.append(s)
-    return out
+def _mean(batches):
+    """Groups of rows, sorted by group: summed squares, and moves weighted by meetings."""
+
+    def done(part, met, squares, moved):
+        moved /= np.maximum(met, 1)[:, None]
+        return batch_of(_MOVED, {"part": [part], "met": [met.tobytes()], "squares": [squares.tobytes()], "moved": [moved.tobytes()]})
 
+    now = None
+    for batch in batches:
+        for part, met, squares, moved in zip(*(c.to_pylist() for c in batch.columns)):
+            n = np.frombuffer(met, np.float32)
+            move = np.frombuffer(moved, np.float16).reshape(-1, BRANCH).astype(np.float32) * n[:, None]
+            if part != now:
+                if now is not None:
+                    yield done(now, *total)  # noqa: F821
+                now, total = part, [n.copy(), np.frombuffer(squares, np.float32).copy(), move]
+            else:
+                for have, new in zip(total, (n, np.frombuffer(squares, np.float32), move)):
+                    have += new
+    if now is not None:
+        yield done(now, *total)
+
+
+def trained(blocks: DataFrame, bias: np.ndarray, train_tokens: int, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
+    """The weights, row by outcome, after all rounds over tallied blocks."""
+    spark = blocks.sparkSession
+    weights, squares = np.zeros((ROWS, BRANCH), np.float32), np.zeros(ROWS, np.float32)
+    if not train_tokens:
+        return weights
+    tasks = max(1, -(-train_tokens // (rounds * TASK_TOKENS)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    data = blocks.select("held", "sizes", "symbols").coalesce(tasks)
+    for turn in range(rounds):
+        model = spark.sparkContext.broadcast((weights, squares))
+        moved = data.mapInArrow(_updates(model, bias, turn, rounds, rate), MOVED)
+        mean = moved.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_mean, MOVED)
+        weights, squares = weights.copy(), squares.copy()
+        for r in mean.collect():  # as many rows as the model has, whatever the corpus
+            g = slice(r.part * GROUP, (r.part + 1) * GROUP)
+            weights[g] += np.frombuffer(r.moved, np.float32).reshape(-1, BRANCH)
+            squares[g] += np.frombuffer(r.squares, np.float32)
+        model.unpersist()
+    return weights
+
+
+# ---- the corpus -------------------------------------------------------------
 
-_SUMMED = pa.schema([("row", pa.int32()), ("g", pa.binary())])
+OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _gradient_rows(w: Weights):
+def _scores(model, bias, n: int):
     def run(batches):
-        held = [[batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)] for batch in batches]
-        if held:
-            p2, p1, symbol, n = (np.concatenate([h[i] for h in held]) for i in range(4))
-            rows, g1, g2, tokens = gradients(w, p2, p1, symbol, n.astype(float))
-            g = np.concatenate((tokens[:, None], g1, g2.reshape(len(rows), -1)), axis=1).astype(np.float32)
-            yield batch_of(_SUMMED, {"row": rows.astype(np.int32), "g": [x.tobytes() for x in g]})
+        weights = model.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = np.array(row["sizes"])
+                s = _from_planes(row["symbols"], int(sizes.sum()), np.uint16)
+                second, before = contexts(s, sizes)
+                logs = np.concatenate([log_probabilities(weights, bias, s[i : i + STEP], second[i : i + STEP], before[i : i + STEP]) for i in range(0, len(s), STEP)])
+                score = np.add.reduceat(logs, np.cumsum(sizes) - sizes) + np.array(row["share"])
+                yield batch_of(_OUT, {"doc_id": row["doc_ids"], "held_out": row["held"], "n_tokens": sizes, "n_known": row["known"], "train_tokens": [n] * len(sizes), "base_score": row["base"], "score": score})
 
     return run
 
 
-def _summed(key, table):
-    g = np.sum([np.frombuffer(x, np.float32) for x in table["g"].to_pylist()], axis=0)
-    return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "g": pa.array([g.astype(np.float32).tobytes()], pa.binary())})
-
-
-def trained(triples: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Weights:
-    """Gradient rounds over counted triples. The bias starts at the symbols'
-    shares; a weight's step is its gradient over its expected occurrences."""
-    w = Weights()
-    counts = np.full(CLASSES * WIDTH, 0.0)
-    for r in triples.groupBy("symbol").agg(F.sum("n").alias("n")).collect():  # at most SYMBOLS rows
-        counts[r.symbol] = r.n
-    if not counts.sum():
-        return w
-    share = (counts.reshape(WIDTH, CLASSES).T + 0.5) / (counts.sum() + 0.5 * counts.size)
-    w.to_class[0], w.in_class[0] = np.log(share.sum(axis=1)), np.log(share / share.sum(axis=1, keepdims=True))
-    dealt = stored(triples.repartition(GRADIENT_TASKS, "p1", "p2"), "triples-dealt").coalesce(GRADIENT_TASKS)
-    for _ in range(rounds):
-        tasks = dealt.mapInArrow(_gradient_rows(w), "row int, g binary")
-        # As many rows as the model has, whatever the corpus.
-        for r in tasks.groupBy("row").applyInArrow(_summed, "row int, g binary").collect():
-            n, g = np.split(np.frombuffer(r.g, np.float32), [1])
-            w.to_class[r.row] += np.clip(rate * g[:CLASSES] / (n * share.sum(axis=1) + CAUTION), -1, 1)
-            w.in_class[r.row] += np.clip(rate * g[CLASSES:].reshape(CLASSES, WIDTH) / (n * share + CAUTION), -1, 1)
-    return w
-
-
-OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
-def scores(doc_ids: list, texts: list, counts: dict[str, int], symbol: dict[str, int], w: Weights, tokens: int, distinct: int, rare: dict[int, tuple[int, int]]) -> pa.Table:
-    """Scores of a block's texts; ``counts`` has its words' training counts,
-    ``rare`` each shared symbol's tokens and distinct words."""
-    index: dict[str, int] = {}
-    words = [words_of(t) for t in texts]
-    place = np.array([index.setdefault(x, len(index)) for t in words for x in t], np.int64)
-    sizes = np.array([0, *map(len, words)])
-    vocab = list(index)
-    c = np.array([counts.get(x, 0) for x in vocab], np.int64)
-    s = np.array(symbols_of(vocab, symbol.get, {}), np.int64)
-    base = np.log10((c + 1) / (tokens + distinct + 1))
-    share = np.zeros(len(vocab))
-    for i in np.flatnonzero(s > FREQUENT).tolist():
-        n, v = rare.get(int(s[i]), (0, 0))
-        share[i] = np.log((c[i] + 1) / (n + v + 1))
-    ends = np.cumsum(sizes)
-    at = s[place]
-    p1 = np.concatenate(([START], at[:-1]))
-    p2 = np.concatenate(([START, START], at[:-2]))[: len(at)]
-    first = ends[:-1]
-    p1[first], p2[first] = START, START
-    second = first + 1
-    second = second[(second < len(at)) & (np.diff(ends) > 1)]
-    p2[second] = START
-    cls, member = class_of(at)
-    contexts, which = np.unique(p2 * (START + 1) + p1, return_inverse=True)
-    rows = feature_rows(contexts // (START + 1), contexts % (START + 1))
-    outer = np.concatenate([w.class_logs(rows[i : i + 20_000]) for i in range(0, len(rows), 20_000)])
-    pair, back = np.unique(which * CLASSES + cls, return_inverse=True)
-    inner = np.empty(len(at))
-    order = np.argsort(back, kind="stable")
-    bounds = np.searchsorted(back[order], np.arange(0, len(pair) + 20_000, 20_000))
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        mine, pairs = order[a:b], pair[k * 20_000 : (k + 1) * 20_000]
-        if len(pairs):
-            logs = w.member_logs(rows[pairs // CLASSES], pairs % CLASSES)
-            inner[mine] = logs[back[mine] - k * 20_000, member[mine]]
-    logs = (outer[which, cls] + inner + share[place]) / np.log(10)
-    add = lambda x: np.add.reduceat(x, first)
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "held_out": pa.array([held_out(d) for d in doc_ids]), "n_tokens": pa.array(np.diff(ends)), "n_known": pa.array(add((c > 0)[place].astype(np.int64))), "train_tokens": pa.array([tokens] * len(doc_ids), pa.int64()), "base_score": pa.array(add(base[place])), "score": pa.array(add(logs))}, schema=_OUT)
-
-
-def scored(docs: DataFrame, block_docs: int = BLOCK_DOCS, rounds: int = ROUNDS) -> DataFrame:
+class Corpus:
+    """Tallied blocks of a corpus, the named words and the counts."""
+
+    def __init__(self, docs: DataFrame, block_tokens: int = BLOCK_TOKENS):
+        coded = stored(docs.select("doc_id", "text").mapInArrow(_coded(block_tokens), CODED), "lm-coded")
+        entry = F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "e")
+        every = Window.partitionBy("word")
+        lexicon = coded.select("block", entry).select("block", "pos", F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
+        # A word's count goes to each block that has it; the word itself is kept once.
+        total, first = F.sum("c").over(every), F.min("block").over(every) == F.col("block")
+        lexicon = stored(lexicon.select("block", "pos", total.alias("total"), F.when(first, F.col("word")).alias("word")), "lm-lexicon")
+        known = lexicon.filter("word IS NOT NULL AND total > 0")
+        sums = known.agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == END, F.col("total"))).alias("ends")).first()
+        self.n, self.v = int(sums["n"] or 0), int(sums["v"])
+        top = known.filter(F.col("word") != END).orderBy(F.col("total").desc(), "word").limit(NAMED - 1).select("word", "total").collect()
+        self.named = [END, *[r.word for r in top]]
+        counts = np.zeros(NAMED + 1)
+        counts[: len(self.named)] = [int(sums["ends"] or 0), *[r.total for r in top]]
+        counts[NAMED] = self.n - counts.sum()
+        self.bias = biases(counts)
+        unseen = max(0, self.v - len(self.named)) + 1
+        self.rare = int(counts[NAMED]) + unseen
+        tally = _tallied(self.named, self.n, self.v, self.rare)
+        self.blocks = stored(coded.groupBy("block").cogroup(lexicon.select("block", "pos", "total").groupBy("block")).applyInArrow(tally, TALLIED), "lm-blocks")
+
+
+def scored(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    blocks = max(1, docs.select(F.lit(1)).count() // block_docs)
-    rows = docs.select(F.pmod(row_key(F.coalesce("text", F.lit("")), F.col("doc_id")), F.lit(blocks)).alias("block"), "doc_id", "text")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
-    lexicon = rows.repartition(parts, "block").mapInArrow(_block_words, "block bigint, word string, c bigint")
-    lexicon = stored(lexicon, "block-words")
-    counts = stored(lexicon.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
-    known = counts.filter("c > 0")
-    total = known.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, distinct = int(total["n"] or 0), int(total["v"])
-    top = [r.word for r in known.filter(F.col("word") != END).orderBy(F.col("c").desc(), "word").limit(FREQUENT).collect()]
-    symbol = {END: 0} | {x: i + 1 for i, x in enumerate(top)}
-    rarely = known.filter(~F.col("word").isin([END, *top])).groupBy((F.crc32(F.col("word").cast("binary")) % SHARED + FREQUENT + 1).alias("s")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
-    rare = {int(r.s): (int(r.n), int(r.v)) for r in rarely.collect()}
-    triples = stored(docs.select("doc_id", "text").mapInArrow(_triples(symbol), "p2 int, p1 int, symbol int, n bigint").groupBy("p2", "p1", "symbol").agg(F.sum("n").alias("n")), "triples")
-    w = trained(triples, rounds)
-    mine = lexicon.select("block", "word").distinct().join(known, "word").select("block", "word", "c")
-
-    def score(key, left, right):
-        if not left.num_rows:
-            return _OUT.empty_table()
-        left = left.sort_by("doc_id")
-        return scores(left["doc_id"].to_pylist(), left["text"].to_pylist(), dict(zip(right["word"].to_pylist(), right["c"].to_pylist())), symbol, w, tokens, distinct, rare)
-
-    return rows.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(score, OUT)
+    corpus = Corpus(docs, block_tokens)
+    weights = trained(corpus.blocks, corpus.bias, corpus.n, rounds)
+    model = docs.sparkSession.sparkContext.broadcast(weights)
+    return corpus.blocks.mapInArrow(_scores(model, corpus.bias, corpus.n), OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
