@@ -2,22 +2,24 @@
 
 A text is cut at single blanks. For the two kinds of vocabulary here such a cut
 is a boundary of the pre-tokenizer, so a unit's ids do not depend on its
-neighbours and can be remembered. Units for which that does not hold (empty, or
-starting with white space: a run of white space spans the cut) and texts that
-contain a special token's string are left to the library as they are.
+neighbours and can be remembered; so is a single line end between text. Units for
+which that does not hold (empty, or starting with white space: a run of white
+space spans the cut) and texts that contain a special token's string are left to
+the library as they are.
 """
 
 from __future__ import annotations
 
 from array import array
 from functools import lru_cache
+from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Units that a Python worker remembers before it starts anew.
-MEMO_UNITS = 400_000
+#: Units that a Python worker remembers, and how many of them, those met first, it keeps when there are more.
+MEMO_UNITS, MEMO_KEPT = 400_000, 150_000
 #: A mark after letters only is a pre-token of its own.
 MARKS = frozenset(",.;:!?")
 #: Letters below this have simple lower case and are letters in every Unicode version.
@@ -51,12 +53,37 @@ def library(path: str):
     return found
 
 
+def trim(memo: dict) -> None:
+    """Frequent units are met early: a full memo keeps its oldest ones."""
+    if len(memo) > MEMO_UNITS:
+        kept = list(islice(memo.items(), MEMO_KEPT))
+        memo.clear()
+        memo.update(kept)
+
+
+def missing(known: list) -> list[int]:
+    """The places of None."""
+    out, at = [], -1
+    for _ in range(known.count(None)):
+        at = known.index(None, at + 1)
+        out.append(at)
+    return out
+
+
+def lines_of(unit: str) -> list[str] | None:
+    """The lines of a unit between single line ends, where each is text; a
+    single line end between text is always a pre-token of its own."""
+    parts = unit.split("\n")
+    return parts if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts) else None
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit arrays."""
 
     def __init__(self, path: str, prefixed: bool):
         """prefixed: a unit carries the blank before it (byte-level BPE);
-        otherwise blanks are dropped (BPE with word ends)."""
+        otherwise white space is dropped (BPE with word ends). The memo's keys
+        are units, or lines without a blank before them after a line end."""
         self.path, self.prefixed = path, prefixed
         self.library = library(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -71,29 +98,54 @@ class Encoder:
     def _learn(self, units: set[str]) -> None:
         """Remembers new units; the library sees only what cannot be put
         together from known parts."""
-        memo, blank = self.memo, " " if self.prefixed else ""
+        memo, joined = self.memo, []
+        if self.prefixed:
+            atoms = set()
+            for u in units:
+                if "\n" in u and (parts := lines_of(u)):
+                    keys = [parts[0], *["\n" + p for p in parts[1:]]]
+                    joined.append((u, keys))
+                    atoms.update(keys)
+                else:
+                    atoms.add(u)
+            units = atoms
+        self._learn_atoms([u for u in units if u not in memo])
+        for u, keys in joined:
+            memo[u] = self._mark("\n").join([memo[k] for k in keys])
+
+    def _learn_atoms(self, atoms: list[str]) -> None:
+        memo, prefixed = self.memo, self.prefixed
         marked, folded, stems, rest = [], [], set(), []
-        for u in units:
+        for u in atoms:
             stem = u[:-1] if u[-1:] in MARKS else u
-            if not stem.isalpha() or max(stem) >= LATIN_END or not self.prefixed and not is_normalized("NFC", stem):
-                rest.append(u)
-                continue
-            low = stem if self.prefixed else stem.lower()
-            if not low.isalpha():
+            body = stem[1:] if stem[:1] == "\n" else stem
+            if not body.isalpha() or not body.isascii() and (max(body) >= LATIN_END or not prefixed and not is_normalized("NFC", body)):
                 rest.append(u)
                 continue
-            if low not in memo:
-                stems.add(low)
-            if low != stem:
-                folded.append((stem, low))
+            if not prefixed:
+                low = stem.lower()
+                if not low.isalpha():
+                    rest.append(u)
+                    continue
+                if low != stem:
+                    folded.append((stem, low))
+                    if low not in memo:
+                        stems.add(low)
+                elif stem not in memo:
+                    stems.add(stem)
+            elif stem not in memo:
+                stems.add(stem)
             if stem is not u:
                 marked.append((u, stem))
-        tokenize, letters = self.library.model.tokenize, self.letters
+        tokenize, letters, blank = self.library.model.tokenize, self.letters, self.letters[32] if prefixed else ""
         for stem in stems:  # one pre-token each: straight to the library's model
-            word = blank + stem
-            spelt = "".join([letters[b] for b in word.encode()])
-            memo[stem] = array("I", [t.id for t in tokenize(spelt)]).tobytes()
-        for u, e in zip(rest, self.library.encode_batch_fast([blank + u for u in rest], add_special_tokens=False)):
+            bare = stem[0] == "\n"
+            word = stem[1:] if bare else stem
+            if not word.isascii():
+                word = "".join([letters[b] for b in word.encode()])
+            memo[stem] = array("I", [t.id for t in tokenize(word if bare else blank + word)]).tobytes()
+        texts = [u[1:] if u[:1] == "\n" else (" " if prefixed else "") + u for u in rest]
+        for u, e in zip(rest, self.library.encode_batch_fast(texts, add_special_tokens=False)):
             memo[u] = array("I", e.ids).tobytes()
         for u, low in folded:
             memo[u] = memo[low]
@@ -109,28 +161,27 @@ class Encoder:
         return not self.prefixed or not (unit == "" or unit[0].isspace())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO_UNITS or len(self.first) > MEMO_UNITS:
-            self.memo.clear()
-            self.first.clear()
+        trim(self.memo)
+        trim(self.first)
         get, cut, new = self.memo.get, [], set()
         for text in texts:
             if any(s in text for s in self.special):
                 cut.append(None)
                 continue
-            units = text.split(" ")
+            units = text.split(" ") if self.prefixed else text.replace("\n", " ").split(" ")
             head = units.pop(0) if self.prefixed else ""
             known = list(map(get, units))
-            if None in known:
-                new.update([u for u, v in zip(units, known) if v is None])
-            cut.append((head, units, known))
+            unknown = [(i, units[i]) for i in missing(known)]
+            new.update([u for _, u in unknown])
+            cut.append((head, known, unknown))
         self._learn({u for u in new if self._safe(u)})
         out = []
         for text, parts in zip(texts, cut):
             if parts is not None:
-                head, units, known = parts
-                if None in known:
-                    known = [v if v is not None else get(u) for u, v in zip(units, known)]
-                parts = None if None in known else known
+                head, known, unknown = parts
+                for i, u in unknown:
+                    known[i] = get(u)
+                parts = None if unknown and None in known else known
             if parts is None:
                 ids = self._whole(text)
             else:
