@@ -1,32 +1,90 @@
 """Byte-level BPE by an index of pair occurrences.
 
 The words that a partition has not met before are laid out as one array of
-symbols. An index maps each adjacent pair that the vocabulary merges to all its
-places. Active ranks are applied in ascending order: a rank's places are merged
-from left to right, and the pairs that a merge makes go into the index, while
-places whose pair has gone are recognised and passed over. Only the file's
-vocabulary and merges are used; the library itself encodes nothing here.
+symbols. An index holds, for each pair that the vocabulary merges, all its
+places in that array; pairs lie in order of rank, a band of ranks at a time.
+Active ranks are applied in ascending order in every word: of a band's places,
+those of each word's least rank are merged together, which makes new pairs;
+these go to the lists of their ranks, and places whose pair has gone leave theirs.
+Only the file's vocabulary and merges are used; the library itself encodes
+nothing here.
+
+A rule's rank is above those that make its parts, so a merge only adds places to
+lists that are still to come, or of the band at hand.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 a special token's string inside a text is that token; equal rows give equal
-rows; an empty table gives none. Other columns are ignored.
+rows; an empty table gives none. A very long text or word is merged whole: a
+word's places of one rank merge together. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections import defaultdict
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batch_of, documents, slices, texts_of
-from .tokens import BYTE_BPE, MEMO_UNITS, byte_letters, vocabulary_path
+from .tokens import BYTE_BPE, MARKS, byte_letters, lines_of, missing, trim, vocabulary_path
 
 #: Fixed value: how the vocabulary's pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Ranks in a band of the index.
+BAND = 2048
+#: The rank of a place whose pair is not merged.
+NEVER = 1 << 30
+_SLOTS = 1 << 19
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return ((pair.astype(np.uint64) * _SPREAD) >> np.uint64(64 - 19)).astype(np.int64)
+
+
+class Rules:
+    """Ranks of pairs of symbols in a hash table that many places look into at once."""
+
+    def __init__(self, pairs: list[int]):
+        pair = np.array(pairs, np.int64)
+        self.pair, self.rank = np.full(_SLOTS, -1, np.int64), np.full(_SLOTS, NEVER, np.int64)
+        at, todo, self.probes = _slot(pair), np.arange(len(pair)), 0
+        while len(todo):
+            self.probes += 1
+            free = todo[self.pair[at[todo]] < 0]
+            self.pair[at[free]] = pair[free]  # of several, one stays
+            self.rank[at[todo]] = np.where(self.pair[at[todo]] == pair[todo], todo, self.rank[at[todo]])
+            todo = todo[self.pair[at[todo]] != pair[todo]]
+            at[todo] = (at[todo] + 1) % _SLOTS
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << 20 | right
+        at, out = _slot(pair), np.full(len(pair), NEVER, np.int64)
+        todo = np.arange(len(pair))
+        for _ in range(self.probes):
+            have = self.pair[at[todo]]
+            hit = have == pair[todo]
+            out[todo[hit]] = self.rank[at[todo[hit]]]
+            todo = todo[~hit & (have >= 0)]
+            if not len(todo):
+                break
+            at[todo] = (at[todo] + 1) % _SLOTS
+        return out
+
+
+def _not_overlapping(places: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Of ascending places of a word's pair, those that merge from left to
+    right: in a run where each overlaps the next, every other one."""
+    touches = np.concatenate(([False], places[1:] == following[places[:-1]]))
+    if not touches.any():
+        return places
+    at = np.arange(len(places))
+    return places[(at - np.maximum.accumulate(np.where(touches, 0, at))) % 2 == 0]
 
 
 class PairIndexBpe:
@@ -40,10 +98,9 @@ class PairIndexBpe:
         byte_of = {c: b for b, c in enumerate(letters)}
         self.byte_ids = [vocab[c] for c in letters]
         self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
-        self.rules = {}
-        for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.rules.setdefault((vocab[a] << 20) | vocab[b], (rank, vocab[a + b]))
-        self.by_rank = {rank: (pair, new) for pair, (rank, new) in self.rules.items()}
+        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in spec["model"]["merges"]]
+        self.rules = Rules([(a << 20) | b for a, b, _ in merges])
+        self.made = np.array([new for *_, new in merges], np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.cut = regex.compile(PATTERN)
@@ -54,95 +111,120 @@ class PairIndexBpe:
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """The ids of pre-tokens, all merged together."""
-        symbols, prev, following, ends = [], [], [], []
-        for word in words:
-            raw = [self.byte_ids[b] for b in word.encode()]
-            at = len(symbols)
-            symbols += raw
-            prev += [-1, *range(at, at + len(raw) - 1)]
-            following += [*range(at + 1, at + len(raw)), -1]
-            ends.append(at)
-        rules, by_rank, places = self.rules, self.by_rank, {}
-        for i, j in enumerate(following):
-            if j >= 0:
-                rule = rules.get((symbols[i] << 20) | symbols[j])
-                if rule:
-                    places.setdefault(rule[0], []).append(i)
-        active = list(places)
-        heapify(active)
-        while active:
-            rank = heappop(active)
-            pair, new = by_rank[rank]
-            a, b = pair >> 20, pair & 0xFFFFF
-            for i in sorted(places.pop(rank)):
-                j = following[i]
-                if symbols[i] != a or j < 0 or symbols[j] != b:
-                    continue
-                k, h = following[j], prev[i]
-                symbols[i], symbols[j], following[i] = new, -1, k
-                if k >= 0:
-                    prev[k] = i
-                    rule = rules.get((new << 20) | symbols[k])
-                    if rule:
-                        if (at := places.get(rule[0])) is None:
-                            places[rule[0]] = [i]
-                            heappush(active, rule[0])
-                        else:
-                            at.append(i)
-                if h >= 0:
-                    rule = rules.get((symbols[h] << 20) | new)
-                    if rule:
-                        if (at := places.get(rule[0])) is None:
-                            places[rule[0]] = [h]
-                            heappush(active, rule[0])
-                        else:
-                            at.append(h)
-        ends.append(len(symbols))
-        return [[s for s in symbols[x:y] if s >= 0] for x, y in zip(ends[:-1], ends[1:])]
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(x) for x in raw])
+        symbols = np.array(self.byte_ids, np.int64)[np.frombuffer(b"".join(raw), np.uint8)]
+        n = len(symbols)
+        word = np.repeat(np.arange(len(words)), sizes)
+        following, before = np.arange(1, n + 1), np.arange(-1, n)
+        last = np.cumsum(sizes)[sizes > 0] - 1
+        following[last] = n  # no place
+        before[np.concatenate(([0], last + 1))[:-1]] = -1
+        rank = np.full(n, NEVER, np.int64)
+        inner = np.flatnonzero(following < n)
+        rank[inner] = self.rules.of(symbols[inner], symbols[inner + 1])
+        lists: dict[int, list[np.ndarray]] = defaultdict(list)
+
+        def listed(places: np.ndarray):
+            band = rank[places] // BAND
+            order = np.argsort(band, kind="stable")
+            edge = np.flatnonzero(np.diff(band[order])) + 1
+            for part in np.split(places[order], edge):
+                if len(part):
+                    lists[int(rank[part[0]]) // BAND].append(part)
+
+        listed(np.flatnonzero(rank < NEVER))
+        for band in range(len(self.made) // BAND + 1):
+            places = np.concatenate(found) if (found := lists.pop(band, None)) else inner[:0]
+            while len(places := np.sort(places[rank[places] // BAND == band])):
+                places = places[np.diff(places, prepend=-1) > 0]
+                mine = rank[places]
+                start = np.flatnonzero(np.diff(word[places], prepend=-1))
+                least = np.repeat(np.minimum.reduceat(mine, start), np.diff(start, append=len(places)))
+                now = _not_overlapping(places[mine == least], following)
+                gone = following[now]
+                after = following[gone]
+                symbols[now], symbols[gone] = self.made[rank[now]], -1
+                following[now], before[after], rank[gone] = after, now, NEVER
+                left = before[now]
+                changed = np.concatenate((now, left[left >= 0]))
+                right = following[changed]
+                paired = right < n
+                rank[changed[~paired]] = NEVER
+                changed, right = changed[paired], right[paired]
+                rank[changed] = self.rules.of(symbols[changed], symbols[right])
+                fresh = changed[rank[changed] < NEVER]
+                soon = rank[fresh] // BAND == band
+                listed(fresh[~soon])
+                places = np.concatenate((places, fresh[soon]))
+        stays = symbols >= 0
+        ids = symbols[stays].tolist()
+        ends = np.cumsum(np.bincount(word[stays], minlength=len(words))).tolist()
+        return [ids[x:y] for x, y in zip([0, *ends[:-1]], ends)]
 
     def _cut(self, text: str) -> list[str]:
         return self.cut.findall(text)
 
+    def _pieces(self, unit: str) -> list[str]:
+        """A unit's pre-tokens; most are letters with a mark or line ends between."""
+        if "\n" in unit and unit[0] == " " and (lines := lines_of(unit[1:])):
+            out = self._pieces(" " + lines[0])
+            for line in lines[1:]:
+                out += ["\n", *self._pieces(line)]
+            return out
+        bare = unit[1:] if unit[:1] == " " else unit
+        if bare.isascii():
+            if bare.isalpha():
+                return [unit]
+            if bare[-1:] in MARKS and bare[:-1].isalpha():
+                return [unit[:-1], unit[-1]]
+        return self._cut(unit)
+
+    def _special(self, text: str) -> list[list[str] | int]:
+        """Pre-tokens between special tokens, and those tokens' ids."""
+        return [self.special[s] if s in self.special else self._cut(s) for s in self.cut_special.split(text)]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of texts. A text is taken apart at single blanks, where the
         pattern always cuts; a unit that starts with white space, or is empty,
-        may belong to a longer run, and its text is cut by the pattern whole."""
-        if len(self.units) > MEMO_UNITS or len(self.words) > MEMO_UNITS:
-            self.units.clear()
-            self.words.clear()
-        units, words, parts, new, loose = self.units, self.words, [], {}, set()
-        for text in texts:
+        may belong to a longer run, and its text is cut by the pattern whole.
+        The memo of units has what follows a blank."""
+        trim(self.units)
+        trim(self.words)
+        units, words, get, parts, new, odd = self.units, self.words, self.units.get, [], set(), {}
+        for i, text in enumerate(texts):
             if self.cut_special and any(s in text for s in self.special):
+                odd[i] = self._special(text)
                 parts.append(None)
-                loose.update(w for s in self.cut_special.split(text) if s not in self.special for w in self._cut(s))
                 continue
             first, *rest = text.split(" ")
-            mine = [first, *[" " + u for u in rest]] if rest else [first]
-            if any(u == "" or u[0].isspace() for u in rest):
-                parts.append(False)
-                loose.update(self._cut(text))
+            known = list(map(get, rest))
+            unknown = [(k, rest[k]) for k in missing(known)]
+            if any(u == "" or u[0].isspace() for _, u in unknown):
+                odd[i] = [self._cut(text)]
+                parts.append(None)
                 continue
-            parts.append(mine)
-            for u in mine:
-                if u not in units and u not in new:
-                    new[u] = self._cut(u)
-        loose.update(w for v in new.values() for w in v)
-        missing = [w for w in loose if w not in words]
-        words.update(zip(missing, self.merge(missing)))
-        units.update((u, [i for w in v for i in words[w]]) for u, v in new.items())
+            new.update([u for _, u in unknown])
+            parts.append((self._pieces(first) if first else [], known, unknown))
+        pieces = {u: self._pieces(" " + u) for u in new}
+        loose = {w for v in pieces.values() for w in v}
+        loose.update(w for x in parts if x for w in x[0])
+        loose.update(w for v in odd.values() for x in v if not isinstance(x, int) for w in x)
+        lacking = [w for w in loose if w not in words]
+        words.update(zip(lacking, self.merge(lacking)))
+        together = lambda found: list(chain.from_iterable(map(words.__getitem__, found)))
+        units.update((u, words[v[0]] if len(v) == 1 else together(v)) for u, v in pieces.items())
         out = []
-        for text, mine in zip(texts, parts):
-            if mine is None:
-                ids = []
-                for s in self.cut_special.split(text):
-                    ids += [self.special[s]] if s in self.special else [i for w in self._cut(s) for i in words[w]]
-            elif mine is False:
-                ids = [i for w in self._cut(text) for i in words[w]]
-            else:
-                ids = []
-                for u in mine:
-                    ids += units[u]
-            out.append(ids)
+        for i, part in enumerate(parts):
+            if part is None:
+                out.append([t for x in odd[i] for t in ([x] if isinstance(x, int) else together(x))])
+                continue
+            head, known, unknown = part
+            for k, u in unknown:
+                known[k] = get(u)
+            out.append(together(head) + list(chain.from_iterable(known)))
         return out
 
     def decode(self, ids: list[int]) -> str:
