@@ -2,13 +2,13 @@
 
 Words are symbols: the ``NAMED`` most frequent training words (the end of a text
 among them) have one each, all others are the outcome *rare*. The softmax is
-factored by class: a symbol is a path of three choices among ``BRANCH``, class,
-subclass and member, and each choice has its own softmax given the choices
-before it. Features of a choice are the word before, the two words before
-together (n-grams) and the second word before alone (skip); each, together with
-the choices made so far, is hashed to one of ``ROWS`` rows of weights, one weight
-for each outcome. As features, rare words are told apart by hash. A rare word has
-the probability of *rare* times its add-one share among rare words.
+factored by class: a symbol is a path of ``DEPTH`` choices among ``BRANCH``, from
+class to member, and each choice has its own softmax given the choices before
+it. Features of a choice are the word before, the two words before together
+(n-grams) and, for the class, the second word before alone (skip); each, together
+with the choices made so far, is hashed to one of ``ROWS`` rows of weights, one
+weight for each outcome. As features, rare words are told apart by hash. A rare
+word has the probability of *rare* times its add-one share among rare words.
 
 1. Texts are coded in blocks: a block's distinct words with their number in
    training texts, and every token's place among them.
@@ -44,22 +44,25 @@ from pyspark.sql.window import Window
 from .common import batch_of, documents, slices, stored
 
 FOLDS, HELD_OUT = 7, 2
-#: Outcomes of a choice; symbols with a path of their own; the class that stands for all others.
-BRANCH = 32
+#: Outcomes of a choice, choices to a word; the class that stands for all rare words; symbols with a path of their own.
+BRANCH, DEPTH = 16, 4
 RARE_CLASS = BRANCH - 1
-NAMED = RARE_CLASS * BRANCH * BRANCH
+NAMED = RARE_CLASS * BRANCH ** (DEPTH - 1)
 #: Context symbols are 16 bits: those above ``NAMED`` are shared by rare words.
 CONTEXTS = 1 << 16
 START = CONTEXTS  # before a text
 ROW_BITS = 18
 ROWS = 1 << ROW_BITS
 ROUNDS, RATE = 2, 0.6
+#: No outcome's score is further from 0.
+LIMIT = 40.0
 #: Tokens in a step, in a block, and in a training task (on average).
-STEP, BLOCK_TOKENS, TASK_TOKENS = 8192, 1 << 22, 5_000_000
+STEP, BLOCK_TOKENS, TASK_TOKENS = 8192, 1 << 21, 5_000_000
 #: Rows of weights that travel together.
 GROUP = 1024
 END = "\n"  # no word contains it
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b"     ")
+_ONES = np.ones(BRANCH, np.float32)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _KINDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -174,12 +177,18 @@ def contexts(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def choices(symbols: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For class, subclass and member: which tokens choose, at which node, and what."""
-    s = symbols.astype(np.int64)
-    cls = np.minimum(s // (BRANCH * BRANCH), RARE_CLASS)
-    named = np.flatnonzero(cls < RARE_CLASS)
-    t = s[named]
-    return [(np.arange(len(s)), np.zeros(len(s), np.int64), cls), (named, 1 + cls[named], t // BRANCH % BRANCH), (named, 1 + BRANCH + t // BRANCH, t % BRANCH)]
+    """For each choice from the class on: which tokens make it, at which node, and what."""
+    s = np.minimum(symbols.astype(np.int64), NAMED)
+    who, out, node, size = np.arange(len(s)), [], np.zeros(len(s), np.int64), BRANCH ** (DEPTH - 1)
+    for level in range(DEPTH):
+        made = s // size % BRANCH
+        out.append((who, node, made))
+        if not level:
+            keep = made < RARE_CLASS
+            who, node, made, s = who[keep], node[keep], made[keep], s[keep]
+        node = node * BRANCH + 1 + made
+        size //= BRANCH
+    return out
 
 
 def hashed_features(second: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
@@ -187,6 +196,11 @@ def hashed_features(second: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
     return [a * _KINDS[0] + np.uint64(1), (b * np.uint64(CONTEXTS + 1) + a) * _KINDS[1] + np.uint64(2), b * _KINDS[2] + np.uint64(3)]
 
 
+def rows_of(features: list[np.ndarray], who: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+    """The rows of weights of some tokens' choice; the skip feature is the class's alone."""
+    return [weight_rows(f[who], node) for f in (features if len(who) and not node[0] else features[:2])]
+
+
 def weight_rows(feature: np.ndarray, node: np.ndarray) -> np.ndarray:
     x = feature ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     x = (x ^ (x >> np.uint64(29))) * _MIX
@@ -196,18 +210,21 @@ def weight_rows(feature: np.ndarray, node: np.ndarray) -> np.ndarray:
 def biases(counts: np.ndarray) -> np.ndarray:
     """Log shares of outcomes at each node, from the symbols' training counts;
     the last count is that of all rare words."""
-    full = np.concatenate((counts[:NAMED] + 0.5, np.full(BRANCH * BRANCH, (counts[NAMED] + 0.5) / (BRANCH * BRANCH)))).reshape(BRANCH, BRANCH, BRANCH)
-    share = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return np.concatenate((share(full.sum(axis=(1, 2)))[None], share(full.sum(axis=2)), share(full).reshape(-1, BRANCH))).astype(np.float32)
+    rare = BRANCH ** (DEPTH - 1)
+    leaf, out = np.concatenate((counts[:NAMED] + 0.5, np.full(rare, (counts[NAMED] + 0.5) / rare))), []
+    while len(leaf) > 1:
+        leaf = leaf.reshape(-1, BRANCH)
+        out.insert(0, np.log(leaf / leaf.sum(axis=1, keepdims=True)))
+        leaf = leaf.sum(axis=1)
+    return np.concatenate(out).astype(np.float32)
 
 
 def outcomes(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-    """Scores of all outcomes, the largest of a choice at 0."""
-    z = bias[node]
+    """Scores of all outcomes, between plus and minus ``LIMIT``."""
+    z = bias.take(node, axis=0)
     for r in rows:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
-    return z
+        z += weights.take(r, axis=0)
+    return np.clip(z, -LIMIT, LIMIT, out=z)
 
 
 def log_probabilities(weights: np.ndarray, bias: np.ndarray, symbols: np.ndarray, second: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -215,9 +232,9 @@ def log_probabilities(weights: np.ndarray, bias: np.ndarray, symbols: np.ndarray
     out = np.zeros(len(symbols))
     features = hashed_features(second, before)
     for who, node, made in choices(symbols):
-        z = outcomes(weights, bias, [weight_rows(f[who], node) for f in features], node)
+        z = outcomes(weights, bias, rows_of(features, who, node), node)
         chosen = z[np.arange(len(who)), made].astype(np.float64)
-        out[who] += chosen - np.log(np.exp(z, out=z).sum(axis=1))
+        out[who] += chosen - np.log(np.exp(z, out=z) @ _ONES)
     return out / np.log(10)
 
 
@@ -228,23 +245,23 @@ def gradients(weights: np.ndarray, bias: np.ndarray, symbols: np.ndarray, second
     for who, node, made in choices(symbols):
         if not len(who):
             continue
-        rows = [weight_rows(f[who], node) for f in features]
+        rows = rows_of(features, who, node)
         g = outcomes(weights, bias, rows, node)
         np.exp(g, out=g)
-        g /= -g.sum(axis=1, keepdims=True)
+        g *= (-1 / (g @ _ONES))[:, None]
         g[np.arange(len(who)), made] += 1
         flat = np.concatenate(rows)
         order = np.argsort(flat)
         flat = flat[order]
         start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
         token, times = order % len(who), np.diff(start, append=len(flat))
-        total = g[token[start]]
+        total = g.take(token[start], axis=0)
         more = np.flatnonzero(times > 1)
         if len(more):  # rows met more than once are summed
             n = times[more]
             begin = np.cumsum(n) - n
             at = np.repeat(start[more] - begin, n) + np.arange(int(n.sum()))
-            total[more] = np.add.reduceat(g[token[at]], begin, axis=0)
+            total[more] = np.add.reduceat(g.take(token[at], axis=0), begin, axis=0)
         yield flat[start], times, total
 
 
@@ -255,7 +272,8 @@ def step(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, bias: np.nda
         squares[touched] += np.einsum("ij,ij->i", total, total)
         met[touched] += times
         total *= (rate / np.sqrt(squares[touched] + 1))[:, None]
-        weights[touched] += total
+        total += weights.take(touched, axis=0)
+        weights[touched] = total
 
 
 _MOVED = pa.schema([("part", pa.int32()), ("met", pa.binary()), ("squares", pa.binary()), ("moved", pa.binary())])

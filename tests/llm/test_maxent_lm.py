@@ -28,13 +28,14 @@ def slow_score(text, corpus, weights, counts):
     second = before = lm.START
     for w in split(text):
         s = index.get(w, lm.NAMED + zlib.crc32(w.encode()) % (lm.CONTEXTS - lm.NAMED))
-        cls = min(s // 1024, 31)
-        path = [(0, cls)] + ([(1 + cls, s // 32 % 32), (33 + s // 32, s % 32)] if cls < 31 else [])
+        cls = min(s // 4096, 15)
+        path = [(0, cls)] + ([(1 + cls, s // 256 % 16), (17 + s // 256, s // 16 % 16), (273 + s // 16, s % 16)] if cls < 15 else [])
         features = lm.hashed_features(np.array([second]), np.array([before]))
         for node, made in path:
-            z = [float(corpus.bias[node, k]) + sum(float(weights[int(lm.weight_rows(f, np.array([node]))[0]), k]) for f in features) for k in range(32)]
+            used = features if node == 0 else features[:2]
+            z = [float(corpus.bias[node, k]) + sum(float(weights[int(lm.weight_rows(f, np.array([node]))[0]), k]) for f in used) for k in range(16)]
             total += z[made] - math.log(sum(map(math.exp, z)))
-        if cls == 31:
+        if cls == 15:
             total += math.log((counts[w] + 1) / corpus.rare)
         second, before = before, s
     return total / math.log(10)
