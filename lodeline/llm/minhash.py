@@ -9,9 +9,9 @@ sets, and connected.
 
 A star tests its centre only. So that no link between two others of a bucket is
 lost, buckets whose members are not all in one component are gone through
-again, in blocks of bounded size: pairs of different components, each in the
-first bucket that it shares, pass the same filters and are confirmed on full
-sets inside the block's task; only confirmed links leave it.
+again, in blocks of bounded size. Only digests, sizes and sketches go through the
+blocks; pairs of different components that pass the same filters leave them, and
+only for these the full sets are fetched and compared.
 
 A pair at exactly the threshold shares no bucket with probability
 (1 - s**4)**32, 5e-8 at 0.8; the sketch rules it out with about 1e-6 where both
@@ -21,8 +21,10 @@ so their sketches say too little: they are always confirmed in full.
 Defined results: a null text or one without words has an empty set and is linked
 with nothing; a text with fewer words than a shingle is one shingle. A row with a
 null doc_id stands alone: its component is null and it is kept. Equal rows are
-linked. An empty table gives none; further columns are ignored, except by
-``one_of_each``, which returns them.
+linked. Rows with one doc_id and different texts are judged each by its own text;
+of those in one group ``one_of_each`` keeps the one of least text hash, and of
+equal rows one. A very long text has one set. An empty table gives none; further
+columns are ignored, except by ``one_of_each``, which returns them.
 """
 
 from __future__ import annotations
@@ -43,11 +45,11 @@ BAND_ROWS = 4
 SKETCH_DIFFERS = 30
 #: Shingles that both sets need before the sketch may rule a pair out.
 SKETCH_LEAST = 512
-#: Members in a block of a mixed bucket; ids up to which a set of ids is broadcast.
-BLOCK, BROADCAST_IDS = 1024, 1_000_000
+#: Members in a block of a mixed bucket; digests up to which a set of them is broadcast (16 bytes each).
+BLOCK, BROADCAST_IDS = 2048, 500_000
 
-SIGNED = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, s1 bigint, s2 bigint"
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("s1", pa.int64()), ("s2", pa.int64())])
+SIGNED = "doc_id bigint, th bigint, n_shingles bigint, digest binary, bands array<bigint>, s1 bigint, s2 bigint"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("s1", pa.int64()), ("s2", pa.int64())])
 
 
 def _bytes(batch: pa.RecordBatch, i: int) -> list[bytes]:
@@ -57,7 +59,7 @@ def _bytes(batch: pa.RecordBatch, i: int) -> list[bytes]:
 def _signed(words: int, rows: int):
     def run(batches):
         for batch in slices(batches, "text"):
-            out = {c: [] for c in _SIGNED.names[1:]}
+            out = {c: [] for c in _SIGNED.names[2:]}
             for s in shingle_sets(_bytes(batch, 1), words):
                 out["n_shingles"].append(len(s))
                 if not len(s):
@@ -68,13 +70,13 @@ def _signed(words: int, rows: int):
                 low, high = sketch(sig).tolist()
                 for c, v in (("digest", digest(s)), ("bands", band_keys(sig, rows).view(np.int64)), ("s1", low), ("s2", high)):
                     out[c].append(v)
-            yield batch_of(_SIGNED, {"doc_id": batch.column(0)} | out)
+            yield batch_of(_SIGNED, {"doc_id": batch.column(0), "th": batch.column(2)} | out)
 
     return run
 
 
 def _sets(words: int):
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("id", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -83,8 +85,10 @@ def _sets(words: int):
     return run
 
 
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
 def _confirmed(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -92,7 +96,7 @@ def _confirmed(percent: int):
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent):
                     out.append((a, b))
-            yield batch_of(schema, {"a": [a for a, _ in out], "b": [b for _, b in out]})
+            yield batch_of(_PAIR, {"a": [a for a, _ in out], "b": [b for _, b in out]})
 
     return run
 
@@ -102,10 +106,12 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """The shingle sets of the documents in ``ids`` (stored, column id)."""
-    mine = docs.select("doc_id", "text").join(_few(ids), docs["doc_id"] == ids["id"], "left_semi")
-    return mine.mapInArrow(_sets(words), "id bigint, shingles binary").dropDuplicates(["id"])
+def _sets_of(docs: DataFrame, named: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """The shingle sets whose digests are in ``ids`` (stored, column id), each
+    from one text. ``named``: a doc_id and text hash for each digest."""
+    wanted = _few(named.join(_few(ids), "id", "left_semi"))
+    mine = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(wanted, ["doc_id", "th"])
+    return mine.dropDuplicates(["doc_id", "th"]).select("id", "text").mapInArrow(_sets(words), "id binary, shingles binary")
 
 
 def plausible(a1, a2, an, b1, b2, bn, percent: int):
@@ -115,111 +121,105 @@ def plausible(a1, a2, an, b1, b2, bn, percent: int):
 
 
 def _in_blocks(percent: int):
-    """Confirms links between components inside blocks of mixed buckets; rows
-    come sorted by (key, i, j)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Pairs of different components that may be linked, inside blocks of mixed
+    buckets; rows (key, i, j, side, id, comp, n, s1, s2) come sorted by (key, i, j)."""
 
-    def links(rows: list[tuple]):
+    def pairs(rows: list[tuple]):
         _, i, j = rows[0][:3]
-        side, ids, comp, n, s1, s2 = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6, 7, 8))
-        bands = np.array([r[9] for r in rows], np.int64)
-        band = rows[0][11]
-        left = np.flatnonzero(side == i)
+        side, n, s1, s2 = (np.array([r[k] for r in rows], np.int64) for k in (3, 6, 7, 8))
+        ids = [r[4] for r in rows]
+        comp = np.unique(np.array([r[5] for r in rows], "V16"), return_inverse=True)[1].ravel()
         out = []
-        for x in left.tolist():
+        for x in np.flatnonzero(side == i).tolist():
             other = (side == j) & (comp != comp[x])
             if i == j:
-                other &= ids > ids[x]
+                other[: x + 1] = False
             ys = np.flatnonzero(other)
-            if not len(ys):
-                continue
             ys = ys[100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])]
             apart = np.bitwise_count((s1[ys] ^ s1[x]).view(np.uint64)) + np.bitwise_count((s2[ys] ^ s2[x]).view(np.uint64))
             ys = ys[(np.minimum(n[ys], n[x]) < SKETCH_LEAST) | (apart <= SKETCH_DIFFERS)]
-            if not len(ys):
-                continue
-            ys = ys[(bands[ys] == bands[x]).argmax(axis=1) == band]  # the first band they share
-            if not len(ys):
-                continue
-            mine = np.frombuffer(rows[x][10], np.uint64)
-            sets = [np.frombuffer(rows[y][10], np.uint64) for y in ys.tolist()]
-            joined = np.concatenate(sets)
-            at = np.searchsorted(mine, joined)
-            hit = mine[np.minimum(at, len(mine) - 1)] == joined
-            sizes = np.array([len(s) for s in sets])
-            both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
-            linked = ys[100 * both >= percent * (len(mine) + sizes - both)]
-            out += [(int(ids[x]), int(ids[y])) for y in linked.tolist()]
-        return out
+            out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in ys.tolist()]
+        return batch_of(_PAIR, {"a": [a for a, _ in out], "b": [b for _, b in out]})
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != now:
                     if len(held) > 1:
-                        out += links(held)
+                        yield pairs(held)
                     now, held = row[:3], []
                 held.append(row)
-            if out:
-                yield batch_of(schema, {"a": [a for a, _ in out], "b": [b for _, b in out]})
-        if len(held) > 1 and (out := links(held)):
-            yield batch_of(schema, {"a": [a for a, _ in out], "b": [b for _, b in out]})
+        if len(held) > 1:
+            yield pairs(held)
 
     return run
 
 
-def grouped(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, band_rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row."""
-    signed = stored(docs.select("doc_id", "text").mapInArrow(_signed(words, band_rows), SIGNED), "signatures")
+def _linked(docs: DataFrame, named: DataFrame, edges: DataFrame, words: int, percent: int, label: str) -> DataFrame:
+    """Those candidate edges (stored: a, b) whose full sets are alike enough."""
+    ids = stored(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), f"{label}-ids")
+    sets = stored(_sets_of(docs, named, ids, words), f"{label}-sets")
+    pairs = edges.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    return stored(pairs.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a binary, b binary"), f"{label}-links")
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, band_rows: int, block: int) -> DataFrame:
+    """doc_id, th (the text's hash), n_shingles, component (a digest, null for
+    rows in no group) and component_id for each row."""
+    signed = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_signed(words, band_rows), SIGNED), "signatures")
     full = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    # Equal sets are one, named by their least doc_id.
-    reps = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    reps = stored(reps, "representatives")
+    # Equal sets are one, named by their digest.
+    reps = full.groupBy(F.col("digest").alias("id")).agg(F.min(F.struct("doc_id", "th")).alias("at"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "s1", "s2")])
+    reps = stored(reps.select("id", "at", F.col("n_shingles").alias("n"), "bands", "s1", "s2"), "representatives")
+    named = reps.select("id", "at.doc_id", "at.th")
     banded = reps.select("id", "n", "s1", "s2", F.posexplode("bands").alias("band", "value")).withColumn("key", F.xxhash64("band", "value"))
     centres = banded.groupBy("key").agg(F.min(F.struct("id", "n", "s1", "s2")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     centres = stored(centres, "centres")
     star = banded.join(centres, "key").filter(F.col("id") != F.col("c.id"))
     near = plausible(F.col("s1"), F.col("s2"), F.col("n"), F.col("c.s1"), F.col("c.s2"), F.col("c.n"), percent)
     edges = stored(star.filter(near).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
-    ids = stored(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "candidate-ids")
-    sets = stored(_sets_of(docs, ids, words), "candidate-sets")
-    pairs = edges.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    links = stored(pairs.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
+    links = _linked(docs, named, edges, words, percent, "star")
     found = components(links)
     # Buckets whose members are not all in one component.
-    placed = reps.join(found, "id", "left").select("id", "n", "s1", "s2", "bands", F.coalesce("component", "id").alias("comp"))
-    placed = stored(placed, "placed")
-    by_band = placed.select("id", "comp", F.posexplode("bands").alias("band", "value")).withColumn("key", F.xxhash64("band", "value"))
-    mixed = by_band.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
-    mixed = stored(mixed, "mixed-buckets")
-    members = by_band.join(mixed, "key").select("id", "key", "band", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    placed = stored(reps.join(found, "id", "left").select("id", "n", "s1", "s2", "bands", F.coalesce("component", "id").alias("comp")), "placed")
+    by_band = placed.select("id", "comp", "n", "s1", "s2", F.posexplode("bands").alias("band", "value")).withColumn("key", F.xxhash64("band", "value"))
+    mixed = by_band.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
+    members = by_band.join(stored(mixed, "mixed-buckets"), "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     # Deal a bucket's members to blocks, and blocks to pairs of blocks.
-    own = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
-    members = members.select("id", "key", "band", "blocks", own.alias("side"))
-    members = members.select("id", "key", "band", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = stored(members.select("id", "key", "band", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")), "members")
-    more_ids = stored(members.select("id").distinct().join(ids, "id", "left_anti"), "more-ids")
-    more = sets.unionByName(_sets_of(docs, more_ids, words))
-    rows = members.join(placed, "id").join(more, "id").select("key", "i", "j", "side", "id", "comp", "n", "s1", "s2", "bands", "shingles", "band")
+    members = members.withColumn("side", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = members.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "comp", "n", "s1", "s2")
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    missed = stored(dealt.mapInArrow(_in_blocks(percent), "a bigint, b bigint"), "more-links")
-    if not missed.isEmpty():
-        found = components(links.unionByName(missed))
-    named = reps.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    joined = signed.join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
+    more = stored(dealt.mapInArrow(_in_blocks(percent), "a binary, b binary").distinct(), "more-candidates")
+    if not more.isEmpty():
+        more = _linked(docs, named, more, words, percent, "more")
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
+    grouped_ = reps.select("id", "at.doc_id").join(found, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
+    least = grouped_.groupBy("component").agg(F.min("doc_id").alias("least"))
+    names = grouped_.join(least, "component").select(F.col("id").alias("digest"), "component", "least")
+    joined = signed.join(names, "digest", "left")
+    known = F.col("doc_id").isNotNull()
+    return joined.select("doc_id", "th", "n_shingles", F.when(known, F.col("component")).alias("component"), F.when(known, F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def grouped(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, band_rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row."""
+    out = _labelled(docs, words, percent, band_rows, block).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, band_rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
     """The documents that are kept: one of each group."""
-    gone = grouped(docs, **how).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    label = _labelled(docs, words, percent, band_rows, block).filter("doc_id = component_id")
+    # Which text of a doc_id stays, without the texts; one in no group stands for itself.
+    stays = label.groupBy("doc_id", F.coalesce("component", F.encode(F.col("th").cast("string"), "UTF-8")).alias("c")).agg(F.min("th").alias("_th"))
+    stays = stays.select(F.col("doc_id").alias("_id"), "_th")
+    known = docs.filter("doc_id IS NOT NULL").withColumn("_row", F.xxhash64("text"))
+    left = known.join(stays, (known["doc_id"] == stays["_id"]) & (known["_row"] == stays["_th"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "_row"]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

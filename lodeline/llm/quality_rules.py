@@ -7,7 +7,8 @@ only combined with ``zip_with``, never indexed inside a lambda.
 
 Defined results: a null or empty text has no words, so it fails the base rules
 and is rejected; its cleaned text is empty. Repeated rows are judged alike and
-all returned. Other columns, whatever their names, are ignored by ``judged``.
+all returned. A very long text or line is judged whole; an empty table gives none.
+Other columns, whatever their names, are ignored by ``judged``.
 """
 
 from __future__ import annotations
@@ -35,8 +36,13 @@ BOILERPLATE = (
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-#: A boilerplate phrase only condemns a line of up to so many characters; no navigation phrase is longer.
-BOILERPLATE_CHARS, NAVIGATION_CHARS = 200, 60
+#: What a text in lower case holds if ``BOILERPLATE`` is found in any of its lines: how each phrase starts.
+BOILERPLATE_STARTS = (
+    "all rights reserved", "copyright", "privacy policy", "terms of ", "use of cookies", "accept ", "enable javascript", "lorem ipsum",
+    "subscribe to ", "powered by ", "click here", "licensed under", "released under the ",
+)
+#: Characters of the longest navigation phrase with its mark; white space around it does not count.
+NAVIGATION_CHARS = len("skip to content") + 1
 #: Percent of a line's words that may carry symbols, and words from which a line needs closing punctuation.
 SYMBOL_PERCENT, OPEN_WORDS = 30, 4
 #: Separators that make a line a list of links.
@@ -53,14 +59,24 @@ def word_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, WORD_GAP, ""))
 
 
-def line_fails(line: Column) -> dict[str, Column]:
-    """For each rule, whether a line fails it. Cheap tests come first: what
-    follows ``&`` is only evaluated where they hold."""
+def may_hold_boilerplate(text: Column) -> Column:
+    """False only where no line of the text has a boilerplate phrase."""
+    low, out = F.lower(text), F.lit(False)
+    for start in BOILERPLATE_STARTS:
+        out = out | F.contains(low, F.lit(start))
+    return out
+
+
+def line_fails(line: Column, suspect: Column | bool = True) -> dict[str, Column]:
+    """For each rule, whether a line fails it, however long it is. Cheap tests
+    come first: what follows ``&`` is only evaluated where they hold. ``suspect``:
+    ``may_hold_boilerplate`` of the text."""
+    suspect = F.lit(suspect) if isinstance(suspect, bool) else suspect
     marked = F.greatest(F.regexp_count(line, F.lit(MARKED)), F.regexp_count(line, F.lit(SHOUTS)))
     return {
         "punctuation": (line.rlike(f"{SYMBOLS}|{SHOUTS}") & (100 * marked > SYMBOL_PERCENT * n_words(line))) | (~line.rlike(TERMINAL) & (n_words(line) >= OPEN_WORDS)),
-        "navigation": (F.regexp_count(line, F.lit(SEPARATORS)) >= LINKS) | ((F.length(line) <= NAVIGATION_CHARS) & line.rlike(NAVIGATION)),
-        "boilerplate": (F.length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE),
+        "navigation": (F.regexp_count(line, F.lit(SEPARATORS)) >= LINKS) | ((F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) <= NAVIGATION_CHARS) & line.rlike(NAVIGATION)),
+        "boilerplate": suspect & line.rlike(BOILERPLATE),
     }
 
 
@@ -93,7 +109,11 @@ def judged(docs: DataFrame) -> DataFrame:
         F.zip_with("_at", _tail(F.col("_at"), 1), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))),
         F.lit(0).cast("long"), lambda total, n: total + n,
     )
-    fails = lambda x: (lambda f: f["punctuation"] | f["navigation"] | f["boilerplate"])(line_fails(x))
+    fails = lambda x: (lambda f: f["punctuation"] | f["navigation"] | f["boilerplate"])(line_fails(x, F.col("_suspect")))
+    # Every line is judged once; what is used twice below is not written out twice.
+    df = df.withColumn("_suspect", may_hold_boilerplate(F.col("text")))
+    df = df.withColumn("_judged", F.transform("_lines", lambda x: F.struct(x.alias("line"), fails(x).alias("bad"))))
+    lines = lambda bad: F.transform(F.filter("_judged", lambda j: j["bad"] == bad), lambda j: j["line"])
     df = df.select(
         "doc_id", "text",
         F.size("_w").cast("long").alias("n_words"),
@@ -101,8 +121,8 @@ def judged(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.filter("_lines", lambda x: x.rlike(NO_GAP)).alias("_full"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.filter("_lines", fails).alias("_bad"),
-        F.filter("_lines", lambda x: ~fails(x)).alias("_good"),  # pruned where the cleaned text is not asked for
+        lines(True).alias("_bad"),
+        lines(False).alias("_good"),  # pruned where the cleaned text is not asked for
     )
     df = df.select("*", F.array_join("_good", "\n").alias("clean_text"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
@@ -165,7 +185,7 @@ bad AS (
   WHERE 100 * greatest({_COUNT.format(_duck(MARKED))}, {_COUNT.format(_duck(SHOUTS))}) > {SYMBOL_PERCENT} * {_COUNT.format(_duck(NO_GAP))}
      OR ({_COUNT.format(_duck(NO_GAP))} >= {OPEN_WORDS} AND NOT regexp_matches(line, {_duck(TERMINAL)}))
      OR {_COUNT.format(_duck(SEPARATORS))} >= {LINKS} OR regexp_matches(line, {_duck(NAVIGATION)})
-     OR (length(line) <= {BOILERPLATE_CHARS} AND regexp_matches(line, {_duck(BOILERPLATE)}))
+     OR regexp_matches(line, {_duck(BOILERPLATE)})
   GROUP BY r),
 s AS (
   SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,

@@ -43,7 +43,7 @@ def brute_line_fails(line):
     marked = max(sum(any(c in "#*$%&|<>" for c in x) for x in w), len(re.findall(r"[!?]{2,}", line)))
     punctuation = 100 * marked > 30 * len(w) or len(w) >= 4 and not re.search(r"""[.!?:;"')\]…”»。]\Z""", bare)
     navigation = len(re.findall("[|»›•·>]", line)) >= 3 or bool(re.search(quality_rules.NAVIGATION.replace(r"\z", r"\Z"), bare))
-    return punctuation or navigation or len(line) <= 200 and bool(re.search(quality_rules.BOILERPLATE, line))
+    return punctuation or navigation or bool(re.search(quality_rules.BOILERPLATE, line))
 
 
 def brute_clean(text):
@@ -58,7 +58,9 @@ def brute_kept(text):
 
 def test_quality_rules(spark):
     nav = "Home | About | Contact | Shop\n" + "A sentence of words that ends well. " * 20 + "\nAll rights reserved."
-    many = [None, "", " \n\n ", "a b c " * 40, nav, nav, "x\n" * 500, *ODD, *texts()]
+    good = "A line of many words that ends as it should. " * 9
+    far = f"{good}\n{' ' * 80}Home\n{good} You should click here for more of it. {good}\n\tSkip to content.\x0b\n{good}" + "COPYRIGHT of the text, 2020.\n" + good * 300
+    many = [None, "", " \n\n ", "a b c " * 40, nav, nav, far, "x\n" * 500, *ODD, *texts()]
     got = {r.doc_id: r for r in quality_rules.judged(clashing(rows(spark, many))).collect()}
     for i, t in enumerate(many):
         r = got[i]
@@ -137,17 +139,30 @@ def test_minhash_links_short_copies_at_the_threshold(spark):
 
 
 def test_minhash_sketch_rules_out_large_sets_only(spark):
-    def links(n):
-        x, y = np.arange(n, dtype=np.uint64), np.arange(n * 4 // 5, dtype=np.uint64)
-        members = [("key", 0, 0, 0, i, i, len(s), bits, bits, [7], s.tobytes(), 0) for i, s, bits in ((1, x, 0), (2, y, -1))]
+    def candidates(n):
+        members = [(1, 0, 0, 0, bytes(15) + bytes([i]), bytes(15) + bytes([i]), size, bits, bits) for i, size, bits in ((1, n, 0), (2, n * 4 // 5, -1))]
         columns = [pa.array(list(c)) for c in zip(*members)]
         batch = pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
-        found = [b.to_pylist() for b in minhash._in_blocks(80)(iter([batch]))]
-        near = spark.range(1).select(minhash.plausible(*map(F.lit, (0, 0, len(x), -1, -1, len(y))), 80).alias("near")).first().near
-        return [p for b in found for p in b], near
+        found = [p for b in minhash._in_blocks(80)(iter([batch])) for p in b.to_pylist()]
+        near = spark.range(1).select(minhash.plausible(*map(F.lit, (0, 0, n, -1, -1, n * 4 // 5)), 80).alias("near")).first().near
+        return len(found), near
 
-    assert links(30) == ([{"a": 1, "b": 2}], True)
-    assert links(5 * minhash.SKETCH_LEAST) == ([], False)
+    assert candidates(30) == (1, True)
+    assert candidates(5 * minhash.SKETCH_LEAST) == (0, False)
+
+
+def test_minhash_finds_every_link_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    many = [r.text for r in docs.orderBy("doc_id").collect()]
+    want, _ = brute_components(many, 2)
+    got = {r.doc_id: r.component_id for r in minhash.grouped(docs, words=2).collect()}
+    assert [got[i] for i in range(len(many))] == want
+
+
+def test_one_of_each_keeps_other_texts_of_a_doc_id(spark):
+    data = [(1, "alpha beta gamma delta one two three"), (1, "quite another text that has its own words"), (2, "alpha beta gamma delta one two three"), (1, "alpha beta gamma delta one two three"), (3, None), (3, " "), (3, None), (None, "x"), (None, "x")]
+    got = minhash.one_of_each(spark.createDataFrame(data, "doc_id bigint, text string"))
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, [data[0], data[1], (3, None), (3, " "), (None, "x"), (None, "x")]))
 
 
 def test_minhash_edges(spark):
