@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import chunking, citations, library, retrieval
+from ..operators.staging import stored
 from ..sources import files
 
 REGISTRY: dict = {}
@@ -223,13 +224,19 @@ _QA = lambda x: f"""CASE WHEN length({x}.nq) < 8 THEN false WHEN contains({x}.nt
   len(list_filter(string_split({x}.nq, ' '), lambda w: length(w) > 2)) >= 3 AND len(list_filter(string_split({x}.nq, ' '), lambda w: length(w) > 2 AND contains({x}.nt, w))) >= 0.85 * len(list_filter(string_split({x}.nq, ' '), lambda w: length(w) > 2)) END"""
 
 
-@query(f"""WITH a AS (SELECT item_id, doc_id, {_n('b.text')} AS nq, {_n('d.text')} AS nt FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
-SELECT item_id, doc_id, {_QA('a')} AS found FROM a""")
+@query(f"""WITH a AS (SELECT item_id, doc_id, {_n('b.text')} AS nq, {_n('d.text')} AS nt FROM benchmark b, documents d)
+SELECT item_id, doc_id, contains(nt, nq) AS whole FROM a WHERE {_QA('a')}""")
 def quote_verify(spark, sf_dir):
-    """Every document against the benchmark item that its id falls on."""
+    """Every benchmark item that appears in a document. The items, a stated and
+    counted set, go to every document as one array; no pair is made a row
+    before it is found."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % items.count()).alias("item_id"))
-    return docs.join(items, "item_id").select("item_id", "doc_id", T.quote_appears(F.col("quote"), F.col("text")).alias("found"))
+    asked = items.agg(F.collect_list(F.struct("item_id", T.quote_parts(F.col("quote")).alias("q"))).alias("items"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("t"))
+    docs = stored(docs, "normal-texts").join(F.broadcast(asked))
+    found = F.filter("items", lambda i: T.parts_appear(i["q"], F.col("t")))
+    out = docs.select("doc_id", "t", F.explode(found).alias("i"))
+    return out.select("i.item_id", "doc_id", F.contains("t", F.col("i.q.quote")).alias("whole"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 1 + doc_id % 60 END AS pages FROM documents)
@@ -311,16 +318,20 @@ def knn_topk(spark, sf_dir):
 
 # ---- search -----------------------------------------------------------------
 
+def _index(spark, sf_dir) -> DataFrame:
+    return stored(retrieval.indexed(whole(spark, sf_dir).select(F.col("id").alias("chunk_id"), "text", "heading")), "index")
+
+
 @query(f"WITH {_BM25_CTE} SELECT question_id, chunk_id, score, rank FROM kw")
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25(whole(spark, sf_dir).select(F.col("id").alias("chunk_id"), "text", "heading"), questions(spark, sf_dir))
+    return retrieval.bm25(_index(spark, sf_dir), questions(spark, sf_dir))
 
 
 @query(f"WITH {_BM25_CTE}, {_VEC_CTE}, {_FUSE_CTE} SELECT question_id, chunk_id, keyword_rank, vector_rank, rrf, rank FROM fr")
 def rrf_fuse(spark, sf_dir):
     chunks, asked = whole(spark, sf_dir).select(F.col("id").alias("chunk_id"), "text", "heading"), questions(spark, sf_dir)
     near = retrieval.nearest(retrieval.hash_vectors(chunks, "chunk_id", "text"), retrieval.hash_vectors(asked, "question_id", "question"))
-    return retrieval.fuse(retrieval.bm25(chunks, asked), near).select("question_id", "chunk_id", "keyword_rank", "vector_rank", "rrf", "rank")
+    return retrieval.fuse(retrieval.bm25(_index(spark, sf_dir), asked), near).select("question_id", "chunk_id", "keyword_rank", "vector_rank", "rrf", "rank")
 
 
 def _search(spark, sf_dir, **how):
@@ -339,7 +350,8 @@ def search_collection(spark, sf_dir):
 
 @query(f"WITH {_BM25_CTE}, {_VEC_CTE}, {_FUSE_CTE} {_FINAL('chunk_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)')}")
 def search_docset(spark, sf_dir):
-    return _search(spark, sf_dir, document_ids=[1, 2, 3, 5, 8, 13, 21, 34, 55, 89])
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)], "document_id bigint")
+    return _search(spark, sf_dir, document_ids=ids)
 
 
 @query("WITH h AS (SELECT item_id AS question_id, item_id * 7 % (SELECT count(*) FROM documents) AS chunk_id FROM benchmark) SELECT question_id, chunk_id, 'doc-' || chunk_id AS document_title, source AS collection, length(text) AS n FROM h JOIN documents ON doc_id = chunk_id")
@@ -351,11 +363,11 @@ def hydrate(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id AS document_id, turn AS ordinal, text FROM conversations)
-SELECT a.id AS chunk_id, b.id AS neighbour_id, b.ordinal, b.text FROM c a JOIN c b ON a.document_id = b.document_id AND b.ordinal BETWEEN a.ordinal - 1 AND a.ordinal + 1 WHERE a.ordinal % 2 = 0""")
+SELECT a.id AS chunk_id, b.id AS neighbour_id, b.ordinal, b.text FROM c a JOIN c b ON a.document_id = b.document_id AND b.ordinal BETWEEN a.ordinal - 1 AND a.ordinal + 1""")
 def neighbours(spark, sf_dir):
-    """Turns as passages of conversations; around every other turn."""
+    """Turns as passages of conversations; around every turn."""
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("ordinal"), "text", F.lit("").alias("heading"), F.lit(None).cast("int").alias("page"))
-    return retrieval.neighbours(turns, turns.filter("ordinal % 2 = 0").select(F.col("id").alias("chunk_id")), 1).select("chunk_id", "neighbour_id", "ordinal", "text")
+    return retrieval.neighbours(turns, turns.select(F.col("id").alias("chunk_id")), 1).select("chunk_id", "neighbour_id", "ordinal", "text")
 
 
 # ---- passages ---------------------------------------------------------------
