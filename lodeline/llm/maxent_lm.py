@@ -25,8 +25,8 @@ Defined results: a null or empty text is one end token; rows with equal or null
 doc_id are scored each for itself (a null id counts as the empty text where
 training texts are chosen); an empty table gives none, and without training
 documents all counts are 0. A very long text is a block of its own and is scored
-in batches. Ties between equally frequent words go to the lesser word. Other
-columns are ignored.
+in batches. Of words about as frequent as the last that has a path, those of
+least hash have one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -374,6 +374,26 @@ def _scores(model, bias, n: int):
     return run
 
 
+def frequent(words: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The ``most`` most frequent words (word, total), with their totals, in
+    order. What comes to the driver is bounded by ``most``: a histogram of totals,
+    32 steps to a doubling, tells the step where they end; of the words in it
+    those of least hash are taken."""
+    level, share = F.floor(F.log2("total") * 32), F.xxhash64("word") / float(1 << 64) + 0.5
+    steps = sorted(((r.level, r.n) for r in words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    above, last, part = 0, None, 1.0
+    for at, n in steps:
+        if above + n > most:
+            last, part = at, (1.1 * (most - above) + 100) / n
+            break
+        above += n
+    wanted = words.select("word", "total", level.alias("level"), share.alias("share"))
+    if last is not None:
+        wanted = wanted.filter((F.col("level") > last) | ((F.col("level") == last) & (F.col("share") < part)))
+    found = sorted(wanted.collect(), key=lambda r: (r.level == last, r.share if r.level == last else 0))[:most]
+    return sorted(((r.word, r.total) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 class Corpus:
     """Tallied blocks of a corpus, the named words and the counts."""
 
@@ -388,10 +408,10 @@ class Corpus:
         known = lexicon.filter("word IS NOT NULL AND total > 0")
         sums = known.agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == END, F.col("total"))).alias("ends")).first()
         self.n, self.v = int(sums["n"] or 0), int(sums["v"])
-        top = known.filter(F.col("word") != END).orderBy(F.col("total").desc(), "word").limit(NAMED - 1).select("word", "total").collect()
-        self.named = [END, *[r.word for r in top]]
+        top = frequent(known.filter(F.col("word") != END), NAMED - 1)
+        self.named = [END, *[w for w, _ in top]]
         counts = np.zeros(NAMED + 1)
-        counts[: len(self.named)] = [int(sums["ends"] or 0), *[r.total for r in top]]
+        counts[: len(self.named)] = [int(sums["ends"] or 0), *[n for _, n in top]]
         counts[NAMED] = self.n - counts.sum()
         self.bias = biases(counts)
         unseen = max(0, self.v - len(self.named)) + 1
