@@ -10,16 +10,20 @@ the library as they are.
 
 from __future__ import annotations
 
+import gc
 from array import array
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Units that a Python worker remembers, and how many of them, those met first, it keeps when there are more.
-MEMO_UNITS, MEMO_KEPT = 400_000, 150_000
+MEMO_UNITS, MEMO_KEPT = 600_000, 250_000
 #: A mark after letters only is a pre-token of its own.
 MARKS = frozenset(",.;:!?")
 #: Letters below this have simple lower case and are letters in every Unicode version.
@@ -53,6 +57,19 @@ def library(path: str):
     return found
 
 
+@contextmanager
+def no_cycles():
+    """Many small objects are made here and none that refer to each other in a
+    circle: the search for such circles waits."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def trim(memo: dict) -> None:
     """Frequent units are met early: a full memo keeps its oldest ones."""
     if len(memo) > MEMO_UNITS:
@@ -117,26 +134,31 @@ class Encoder:
         memo, prefixed = self.memo, self.prefixed
         marked, folded, stems, rest = [], [], set(), []
         for u in atoms:
-            stem = u[:-1] if u[-1:] in MARKS else u
-            body = stem[1:] if stem[:1] == "\n" else stem
-            if not body.isalpha() or not body.isascii() and (max(body) >= LATIN_END or not prefixed and not is_normalized("NFC", body)):
+            body = u[1:] if u[:1] == "\n" else u
+            if body.isalpha():
+                stem = u
+            elif body[-1:] in MARKS and (body := body[:-1]).isalpha():
+                stem = u[:-1]
+                marked.append((u, stem))
+            else:
                 rest.append(u)
                 continue
-            if not prefixed:
+            plain = body.isascii()
+            if not plain and (max(body) >= LATIN_END or not prefixed and not is_normalized("NFC", body)):
+                stem = None
+            elif not prefixed:
                 low = stem.lower()
-                if not low.isalpha():
-                    rest.append(u)
-                    continue
-                if low != stem:
+                if not plain and not low.isalpha():
+                    stem = None
+                elif low != stem:
                     folded.append((stem, low))
-                    if low not in memo:
-                        stems.add(low)
-                elif stem not in memo:
-                    stems.add(stem)
+                    stem = low
+            if stem is None:
+                if marked and marked[-1][0] is u:
+                    marked.pop()
+                rest.append(u)
             elif stem not in memo:
                 stems.add(stem)
-            if stem is not u:
-                marked.append((u, stem))
         tokenize, letters, blank = self.library.model.tokenize, self.letters, self.letters[32] if prefixed else ""
         for stem in stems:  # one pre-token each: straight to the library's model
             bare = stem[0] == "\n"
@@ -157,40 +179,60 @@ class Encoder:
             self.marks[mark] = self._whole(mark)
         return self.marks[mark]
 
-    def _safe(self, unit: str) -> bool:
-        return not self.prefixed or not (unit == "" or unit[0].isspace())
-
+    def _found(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units, learnt where they are new."""
+        get = self.memo.get
+        found = list(map(get, units))
+        unknown = missing(found)
+        self._learn({units[i] for i in unknown})
+        for i in unknown:
+            found[i] = get(units[i])
+        return found
+
+    @no_cycles()
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts are taken apart by Arrow, which also finds their distinct
+        units; only these are looked up, and the ids are laid out by numpy."""
         trim(self.memo)
         trim(self.first)
-        get, cut, new = self.memo.get, [], set()
-        for text in texts:
-            if any(s in text for s in self.special):
-                cut.append(None)
-                continue
-            units = text.split(" ") if self.prefixed else text.replace("\n", " ").split(" ")
-            head = units.pop(0) if self.prefixed else ""
-            known = list(map(get, units))
-            unknown = [(i, units[i]) for i in missing(known)]
-            new.update([u for _, u in unknown])
-            cut.append((head, known, unknown))
-        self._learn({u for u in new if self._safe(u)})
-        out = []
-        for text, parts in zip(texts, cut):
-            if parts is not None:
-                head, known, unknown = parts
-                for i, u in unknown:
-                    known[i] = get(u)
-                parts = None if unknown and None in known else known
-            if parts is None:
-                ids = self._whole(text)
-            else:
-                if self.prefixed:
-                    if (start := self.first.get(head)) is None:
-                        start = self.first[head] = self._whole(head)
-                    parts.insert(0, start)
-                ids = b"".join(parts)
-            out.append(np.frombuffer(ids, dtype="<u4"))
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        column = pa.array([None if i in whole else t if self.prefixed else t.replace("\n", " ") for i, t in enumerate(texts)], pa.large_string())
+        split = pc.split_pattern(column.drop_null(), " ")
+        offsets, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        codes, units = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = [i for i in range(len(texts)) if i not in whole]
+        if self.prefixed:
+            # A unit that is empty or starts with white space is part of a longer run; the first of a text has no blank before it.
+            unsafe = np.array([not u or u[0].isspace() for u in units], bool)
+            flagged = unsafe[codes]
+            flagged[offsets[:-1]] = False
+            bad = np.flatnonzero(np.add.reduceat(flagged.astype(np.int64), offsets[:-1])) if len(rows) else ()
+            whole |= {rows[k]: self._whole(texts[rows[k]]) for k in bad}
+            found = self._found([u for u, x in zip(units, unsafe) if not x])
+            known = iter(found)
+            found = [b"" if x else next(known) for x in unsafe]
+            heads = []
+            for k, at in enumerate(codes[offsets[:-1]].tolist()):
+                head = units[at]
+                if (ids := self.first.get(head)) is None:
+                    ids = self.first[head] = self._whole(head)
+                heads.append(ids)
+            codes = codes.copy()
+            codes[offsets[:-1]] = np.arange(len(rows)) + len(units)
+            found += heads
+        else:
+            found = self._found(units)
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        pool, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        many = sizes[codes]
+        ends = np.cumsum(many)
+        ids = pool[np.repeat(begin[codes] - (ends - many), many) + np.arange(int(many.sum()))]
+        cuts = np.concatenate(([0], ends))[offsets]
+        out = [None] * len(texts)
+        for k, i in enumerate(rows):
+            out[i] = ids[cuts[k] : cuts[k + 1]]
+        for i, raw in whole.items():
+            out[i] = np.frombuffer(raw, "<u4")
         return out
 
 
