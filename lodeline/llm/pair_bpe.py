@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batch_of, documents, slices, texts_of
-from .tokens import BYTE_BPE, MARKS, byte_letters, lines_of, missing, trim, vocabulary_path
+from .tokens import BYTE_BPE, MARKS, byte_letters, lines_of, missing, no_cycles, trim, vocabulary_path
 
 #: Fixed value: how the vocabulary's pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -186,6 +186,7 @@ class PairIndexBpe:
         """Pre-tokens between special tokens, and those tokens' ids."""
         return [self.special[s] if s in self.special else self._cut(s) for s in self.cut_special.split(text)]
 
+    @no_cycles()
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of texts. A text is taken apart at single blanks, where the
         pattern always cuts; a unit that starts with white space, or is empty,
