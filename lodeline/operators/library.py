@@ -1,35 +1,61 @@
-"""A library of documents: tables on shared storage and what happens to them."""
+"""A library of documents: append-only tables and what happens to them.
+
+Every change appends its rows under a batch of its own; last of all it appends
+one row to ``commits``, in one file. Readers see the rows of committed batches
+only, and of each document the version committed last. So a change is seen whole
+or not at all, two changes at the same time both count, and adding a file writes
+that file's rows and no others.
+"""
 
 from __future__ import annotations
 
-import json
+import re
+import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import files as sources
 from . import chunking, citations, retrieval
+from .embedding import Embedder, HashEmbedder
+from .staging import stored
 
 WORKING = ("pending", "extracting", "chunking", "embedding")
-NO_TEXT = "No readable text could be extracted. If this is a scanned document, it needs OCR first."
-NO_CHUNKS = "The document produced no chunks."
-LOST = "Indexing was interrupted before any text was read. Add this document again."
-PROVIDER = {"provider": "hash", "model": "hash-256", "dims": retrieval.DIMS}
+NO_TEXT = "The file was read, but there is no text in it; a scan needs text recognition."
+NO_CHUNKS = "No passages could be made of the text."
+LOST = "The work on this document was broken off before its text was kept. Please add the file anew."
+NO_HITS = "No passage in the library has to do with this question. Other words may help, or a document that deals with it has to be added."
+NO_REPLY = "The model's reply could not be read, not even when asked again."
+#: Of the tables' layout.
+VERSION = 3
 DOCUMENT = (
     "id bigint, title string, source_type string, filename string, mime string, byte_size bigint, content_hash string, char_count bigint, page_count int, "
     "collection string, status string, error string, added_at timestamp, indexed_at timestamp, extracted_text string, pages array<struct<page:int,start:bigint,end:bigint>>"
 )
 PASSAGE = "id bigint, document_id bigint, ordinal int, text string, heading string, page int, char_start bigint, char_end bigint, token_est bigint, embedding array<float>"
 ASKED = "id bigint, question string, answer string, citations string, stats string, asked_at timestamp"
+COMMIT = "batch string, at bigint, change string, provider string, model string, dims int, version int"
+TABLES = {
+    "documents": f"{DOCUMENT}, gone boolean, batch string", "passages": f"{PASSAGE}, batch string", "terms": "chunk_id bigint, document_id bigint, text_terms array<string>, heading_terms array<string>, batch string",
+    "queries": ASKED, "commits": COMMIT, "progress": "document_id bigint, stage string, percent int, at bigint",
+}
 
 
 def content_hash(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+def document_id(hashed: Column) -> Column:
+    """A document's name from its content's hash, 60 bits of it: no counter that
+    all writers would have to share."""
+    return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
+
+
 def new_documents(added: DataFrame, known: DataFrame) -> DataFrame:
     """Of added rows (content_hash, ...), the first of each hash that no document
     has, failed ones aside (they may be added again)."""
@@ -61,141 +87,189 @@ def with_counts(documents: DataFrame, passages: DataFrame) -> DataFrame:
     return documents.join(n, "id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0))).orderBy(F.desc("added_at"), F.desc("id"))
 
 
-class Library:
-    """Tables ``documents``, ``passages``, ``queries`` and a ``config`` under one
-    folder. Every change writes a new version of the tables it touches and then
-    swaps one small pointer file, so readers see all of a change or none."""
+def reason(error: Exception) -> str:
+    """What went wrong, without the trace that a task's error comes with."""
+    lines = str(error).split("\n")
+    named = [x.strip() for x in lines if re.match(r"\s*\w*(Error|Exception): ", x)]
+    return (named[0] if named else lines[0])[:500]
 
-    def __init__(self, spark: SparkSession, path: str, provider: dict = PROVIDER):
-        self.spark, self.path, self.provider = spark, path.rstrip("/"), provider
+
+class Library:
+    """Documents, passages, their terms and vectors, asked questions and progress,
+    under one folder."""
+
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None):
+        self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder or HashEmbedder()
+        #: Why the last search had to do without vectors, or None.
+        self.vector_error: str | None = None
+        for name in TABLES:
+            try:
+                self._all(name)
+            except AnalysisException:
+                spark.createDataFrame([], TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+        newest = self._all("commits").agg(F.max("version").alias("v")).first()["v"]
+        if newest and newest > VERSION:
+            raise ValueError(f"The library's tables have layout {newest}; this program knows {VERSION} and older ones.")
 
     # -- storage ----------------------------------------------------------------
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def manifest(self) -> dict:
-        fs, p = self._fs(f"{self.path}/manifest")
-        if not fs.exists(p):
-            return {"tables": {}, "config": None, "version": 2}
-        newest = max(str(s.getPath().getName()) for s in fs.listStatus(p))
-        return json.loads(self.spark.read.text(f"{self.path}/manifest/{newest}", wholetext=True).first()[0])
-
-    def _commit(self, tables: dict[str, DataFrame], config: dict | None | bool = False) -> None:
-        now = self.manifest()
-        for name, df in tables.items():
-            at = f"{self.path}/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(at)
-            now["tables"][name] = at
-        if config is not False:
-            now["config"] = config
-        fs, folder = self._fs(f"{self.path}/manifest")
-        count = len(fs.listStatus(folder)) if fs.exists(folder) else 0
-        _, tmp = self._fs(f"{self.path}/.manifest-{uuid.uuid4().hex}")
-        out = fs.create(tmp)
-        out.write(json.dumps(now).encode())
-        out.close()
-        fs.mkdirs(folder)
-        _, to = self._fs(f"{self.path}/manifest/{count:08d}.json")
-        if not fs.rename(tmp, to):
-            raise RuntimeError("Another writer changed the library; try again.")
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        at = self.manifest()["tables"].get(name)
-        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
+    def _all(self, name: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        rows.select(*[c.strip().split()[0] for c in self._columns(name)]).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def _columns(self, name: str) -> list[str]:
+        return self.spark.createDataFrame([], TABLES[name]).columns
+
+    def _commit(self, batch: str, change: str, config: bool = False) -> None:
+        """Makes a batch's rows visible; ``config``: with the model that made them."""
+        e = self.embedder
+        row = (batch, time.time_ns(), change, *((e.provider, e.model, e.dims) if config else (None, None, None)), VERSION)
+        self._append("commits", self.spark.createDataFrame([row], COMMIT).coalesce(1))
+
+    def _versions(self) -> DataFrame:
+        """(id, batch) of the documents that there are: for each, its last
+        committed batch, unless that deleted it."""
+        light = self._all("documents").select("id", "batch", "gone").join(self._all("commits").select("batch", "at"), "batch")
+        last = light.groupBy("id").agg(F.max_by(F.struct("batch", "gone"), F.struct("at", "batch")).alias("v"))
+        return last.filter("NOT v.gone").select("id", "v.batch")
+
+    def _live(self, name: str, key: str) -> DataFrame:
+        return self._all(name).join(self._versions().withColumnRenamed("id", key), [key, "batch"], "left_semi").drop("batch")
 
     @property
     def documents(self) -> DataFrame:
-        return self._table("documents", DOCUMENT)
+        found = self._live("documents", "id").drop("gone")
+        return found.dropDuplicates(["id"]).select(*[c for c in self._columns("documents") if c not in ("gone", "batch")])
 
     @property
     def passages(self) -> DataFrame:
-        return self._table("passages", PASSAGE)
+        return self._live("passages", "document_id").select(*[c for c in self._columns("passages") if c != "batch"])
 
     @property
     def queries(self) -> DataFrame:
-        return self._table("queries", ASKED)
+        return self._all("queries")
+
+    @property
+    def progress(self) -> DataFrame:
+        """The last stage of each document: document_id, stage, percent, at."""
+        last = F.max_by(F.struct("stage", "percent", "at"), F.struct("at", "percent"))
+        return self._all("progress").groupBy("document_id").agg(last.alias("e")).select("document_id", "e.*")
+
+    def _tell(self, ids: DataFrame, stage: Column | str, percent: Column | int | None) -> None:
+        stage = F.lit(stage) if isinstance(stage, str) else stage
+        percent = percent if isinstance(percent, Column) else F.lit(percent)
+        self._append("progress", ids.select(F.col("id").alias("document_id"), stage.alias("stage"), percent.cast("int").alias("percent"), F.lit(time.time_ns()).alias("at")))
+
+    def config(self) -> dict | None:
+        """The model of the index, or None before the first and after a clearing."""
+        last = self._all("commits").filter("model IS NOT NULL OR change = 'clear'").orderBy(F.desc("at")).limit(1).collect()
+        return last[0].asDict() if last and last[0].model else None
 
     def check_config(self) -> None:
         """Vectors of two models cannot be compared: refused on writing and on asking."""
-        stored = self.manifest()["config"]
-        if stored and (stored["model"], stored["dims"]) != (self.provider["model"], self.provider["dims"]):
-            raise ValueError(f'This index was built with "{stored["model"]}" ({stored["dims"]} dimensions), not "{self.provider["model"]}" ({self.provider["dims"]}). Rebuild it, or go back to that model.')
+        was, now = self.config(), self.embedder
+        if was and (was["model"], was["dims"]) != (now.model, now.dims):
+            raise ValueError(f"The passages have vectors of {was['model']} with {was['dims']} numbers; {now.model} with {now.dims} does not go with them. Use that model, or index the library anew.")
 
     # -- documents --------------------------------------------------------------
 
-    def index(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Documents with their status, and the passages and vectors of those that are ready."""
-        failed = ingest_status(F.col("extracted_text"))
-        told = documents.withColumn("error", F.coalesce("error", failed))
+    def _index(self, batch: str, documents: DataFrame) -> DataFrame:
+        """Appends passages, terms and vectors of documents (stored) under a batch,
+        then the documents with what became of them; returns these."""
+        told = documents.withColumn("error", F.coalesce("error", ingest_status(F.col("extracted_text"))))
         good = told.filter("error IS NULL").select(F.col("id").alias("document_id"), F.col("extracted_text").alias("text"), "pages", "title")
-        cut = chunking.chunked(good.select("document_id", "text", "pages"))
-        named = cut.join(good.select("document_id", "title"), "document_id").select("*", T.embeddable(F.col("title"), F.col("heading"), F.col("text")).alias("_embed"))
-        vectors = retrieval.hash_vectors(named.select("id", "_embed"), "id", "_embed")
-        passages = cut.join(vectors, "id").select(*[c.split()[0] for c in PASSAGE.split(", ")])
+        ids = good.select(F.col("document_id").alias("id"))
+        self._tell(ids, "chunking", 15)
+        cut = stored(chunking.chunked(good.select("document_id", "text", "pages")), "passages")
+        self._tell(ids, "embedding", 25)
+        named = cut.join(good.select("document_id", "title"), "document_id").select("id", T.embeddable(F.col("title"), F.col("heading"), F.col("text")).alias("_embed"))
+        passages = cut.join(self.embedder.vectors(named, "id", "_embed"), "id")
+        self._append("passages", passages.withColumn("batch", F.lit(batch)))
+        self._tell(ids, "embedding", 90)
+        terms = retrieval.indexed(cut.select(F.col("id").alias("chunk_id"), "text", "heading")).join(cut.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
+        self._append("terms", terms.withColumn("batch", F.lit(batch)))
         n = cut.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
         out = told.join(n, "id", "left").withColumn("error", F.coalesce("error", F.when(F.col("_n").isNull(), NO_CHUNKS)))
         warning = T.extraction_warning(F.col("extracted_text"), F.col("page_count"))
         out = out.withColumn("status", F.when(F.col("error").isNull(), "ready").otherwise("failed"))
         out = out.withColumn("indexed_at", F.when(F.col("status") == "ready", F.current_timestamp())).withColumn("char_count", F.length("extracted_text").cast("long"))
-        out = out.withColumn("error", F.substring(F.coalesce("error", warning), 1, 500))
-        return out.select(*[c.split()[0] for c in DOCUMENT.replace("array<struct<page:int,start:bigint,end:bigint>>", "x").split(", ")]), passages
+        out = stored(out.withColumn("error", F.substring(F.coalesce("error", warning), 1, 500)).drop("_n"), "indexed")
+        self._append("documents", out.withColumn("gone", F.lit(False)).withColumn("batch", F.lit(batch)))
+        return out
+
+    def _indexed(self, change: str, documents: DataFrame) -> None:
+        """A change that builds documents' passages: seen when all is written."""
+        batch = uuid.uuid4().hex
+        out = self._index(batch, documents)
+        self._commit(batch, change, config=True)
+        ready = F.col("status") == "ready"
+        self._tell(out, F.col("status"), F.when(ready, 100))
 
     def add(self, files: DataFrame, collection: str = "", source_type: str = "file") -> DataFrame:
         """Adds files (path, content); returns path, document_id and duplicate of
-        each. Text, passages and vectors appear together or not at all."""
+        each. A document waits as pending, with its text, until its passages
+        and vectors can be seen together with it."""
         self.check_config()
-        known = self.documents
+        known = stored(self.documents.select("id", "content_hash", "status"), "known")
         rows = files.select("path", "content", content_hash(F.col("content")).alias("content_hash"))
         fresh = new_documents(rows, known)
         text = sources.extracted(fresh.select("path", "content"))
         name = F.regexp_extract("path", r"([^/\\]*)\z", 1)
         made = fresh.join(text, "path").select(
-            # From the content: no counter that all writers would have to share.
-            F.conv(F.substring("content_hash", 1, 10), 16, 10).cast("long").alias("id"),
+            document_id(F.col("content_hash")).alias("id"),
             F.substring(F.coalesce(F.nullif(sources.title_of(name), F.lit("")), F.lit("Untitled")), 1, 300).alias("title"), F.lit(source_type).alias("source_type"), name.alias("filename"), F.lit(None).cast("string").alias("mime"),
-            F.length("content").cast("long").alias("byte_size"), "content_hash", F.lit(None).cast("long").alias("char_count"), "page_count", F.lit(collection[:80]).alias("collection"), F.lit("pending").alias("status"),
+            F.length("content").cast("long").alias("byte_size"), "content_hash", F.length("text").cast("long").alias("char_count"), "page_count", F.lit(collection[:80]).alias("collection"), F.lit("pending").alias("status"),
             "error", F.current_timestamp().alias("added_at"), F.lit(None).cast("timestamp").alias("indexed_at"), F.col("text").alias("extracted_text"), "pages",
         )
-        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-        made.write.parquet(staged)
-        documents, passages = self.index(self.spark.read.schema(DOCUMENT).parquet(staged))
-        again = known.join(documents.select("content_hash"), "content_hash", "left_anti").select(*documents.columns)
-        self._commit({"documents": again.unionByName(documents), "passages": self.passages.unionByName(passages)}, self.provider)
+        made = stored(made, "added")
+        names = made.select("id", "content_hash").union(known.select("id", "content_hash"))
+        if not names.groupBy("id").agg(F.countDistinct("content_hash").alias("n")).filter("n > 1").isEmpty():
+            raise ValueError("Two different documents have hashes that begin alike; the second cannot be added.")
+        if not made.isEmpty():
+            self._tell(made, "queued", 0)
+            batch = uuid.uuid4().hex
+            self._append("documents", made.withColumn("gone", F.lit(False)).withColumn("batch", F.lit(batch)))
+            self._commit(batch, "receive")
+            self._tell(made, "extracting", 5)
+            self._indexed("index", made)
         ids = self.documents.select("content_hash", F.col("id").alias("document_id"), "status", "error")
         old = known.filter("status <> 'failed'").select("content_hash").withColumn("duplicate", F.lit(True))
         return rows.select("path", "content_hash").join(ids, "content_hash").join(old, "content_hash", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
-    def delete(self, ids: list[int]) -> None:
-        """Documents with their passages and vectors."""
-        gone = lambda df, c: df.filter(~F.col(c).isin(ids))
-        self._commit({"documents": gone(self.documents, "id"), "passages": gone(self.passages, "document_id")})
+    def upload(self, files: DataFrame, collection: str = "") -> DataFrame:
+        """Adds the files of one upload, whose number is limited."""
+        return self.add(sources.checked_upload(files), collection, "upload")
+
+    def delete(self, ids: list[int] | DataFrame) -> None:
+        """Documents with their passages and vectors; a table of ids has them in ``id``."""
+        if not isinstance(ids, DataFrame):
+            ids = self.spark.createDataFrame([(i,) for i in ids], "id bigint")
+        batch = uuid.uuid4().hex
+        gone = self.documents.join(ids.select("id"), "id", "left_semi").withColumn("extracted_text", F.lit(None).cast("string")).withColumn("pages", F.lit(None).cast(sources.PAGES))
+        self._append("documents", gone.withColumn("gone", F.lit(True)).withColumn("batch", F.lit(batch)))
+        self._commit(batch, "delete")
 
     def reindex(self, documents: DataFrame | None = None) -> None:
         """Builds passages and vectors anew from kept texts, with the present
         model; documents without text fail."""
         lost = F.when(F.col("extracted_text").isNull(), LOST)
-        docs, passages = self.index((documents or self.documents).withColumn("error", lost))
-        self._commit({"documents": docs, "passages": passages}, self.provider)
+        self._indexed("index", stored((documents if documents is not None else self.documents).withColumn("error", lost), "reindex"))
 
     def recover(self) -> DataFrame:
         """Finishes what an interruption left; returns what was stuck."""
-        stuck = recovery(self.documents)
-        kept = self.spark.createDataFrame(stuck.collect(), stuck.schema)  # documents in work, not the library
-        if not kept.isEmpty():
-            ids = kept.select("id")
-            left = self.documents.join(ids, "id", "left_anti")
-            docs, passages = self.index(self.documents.join(ids, "id", "left_semi").withColumn("error", F.when(F.col("extracted_text").isNull(), LOST)))
-            others = self.passages.join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti").select(*passages.columns)
-            self._commit({"documents": left.select(*docs.columns).unionByName(docs), "passages": others.unionByName(passages)})
-        return kept
+        stuck = stored(recovery(self.documents), "stuck")
+        if not stuck.isEmpty():
+            self.reindex(self.documents.join(stuck.select("id"), "id", "left_semi"))
+        return stuck
 
     def clear_index(self) -> None:
         """No passages, no model; documents wait."""
+        batch = uuid.uuid4().hex
         waiting = self.documents.withColumn("status", F.lit("pending")).withColumn("indexed_at", F.lit(None).cast("timestamp"))
-        self._commit({"documents": waiting, "passages": self.spark.createDataFrame([], PASSAGE)}, None)
+        self._append("documents", stored(waiting, "waiting").withColumn("gone", F.lit(False)).withColumn("batch", F.lit(batch)))
+        self._commit(batch, "clear")
 
     def stats(self) -> DataFrame:
         return stats(self.documents, self.passages)
@@ -203,52 +277,80 @@ class Library:
     def doctor(self) -> dict:
         """Whether the tables can be read and the embedder gives its width."""
         one = self.spark.createDataFrame([(1, "test")], "id bigint, text string")
-        width = len(retrieval.hash_vectors(one, "id", "text").first()["embedding"])
-        return {"width": width, "expected": self.provider["dims"], "documents": self.documents.count(), "passages": self.passages.count()}
+        width = len(self.embedder.vectors(one, "id", "text", "query").first()["embedding"])
+        return {"width": width, "expected": self.embedder.dims, "documents": self.documents.count(), "passages": self.passages.count()}
 
     # -- asking -----------------------------------------------------------------
 
     def search(self, questions: DataFrame, limit: int = retrieval.LIMIT, mode: str = "hybrid", **how) -> DataFrame:
-        """Best passages of questions (question_id, question)."""
+        """Best passages of questions (question_id, question), each with a marked
+        excerpt. If the questions cannot be embedded, keywords alone decide and
+        ``vector_error`` tells why."""
         self.check_config()
         mode = mode if mode in ("hybrid", "vector", "keyword") else "hybrid"
-        vectors = self.passages.select(F.col("id").alias("chunk_id"), "embedding")
-        return retrieval.search(self.passages.drop("embedding", "token_est"), self.documents, questions, mode, min(limit or 10, 30), vectors=vectors, **how)
-
-    def ask(self, questions: DataFrame, model: Callable[[str, str], str], limit: int = 8) -> DataFrame:
-        """Answers questions from the library by a model (question, context) ->
-        reply, asked once more if its reply is not JSON; citations are verified
-        and the result is added to ``queries``."""
-        hits = self.search(questions.filter(T.trimmed(F.col("question")) != ""), min(limit or 8, 20))
+        asked, self.vector_error = None, None
+        if mode != "keyword":
+            try:
+                asked = stored(self.embedder.vectors(questions, "question_id", "question", "query"), "asked")
+            except Exception as e:  # whatever a model's task raises
+                mode, self.vector_error = "keyword", reason(e)
+        passages = self.passages
+        index = self._live("terms", "document_id").drop("document_id")
+        vectors = passages.select(F.col("id").alias("chunk_id"), "embedding")
+        hits = retrieval.search(passages.drop("embedding", "token_est"), self.documents, questions, mode, min(limit or 10, 30), index=index, vectors=vectors, asked=asked, **how)
+        return hits.join(questions.select("question_id", "question"), "question_id").withColumn("excerpt", T.highlighted(F.col("text"), F.col("question"))).drop("question")
+
+    def around(self, chunks: DataFrame, span: int = 1) -> DataFrame:
+        """The passages around others (chunk_id) in their documents."""
+        return retrieval.neighbours(self.passages, chunks, span)
+
+    def ask(self, questions: DataFrame, model: Callable[[str, str], str], limit: int = 8, language: str | None = None, tries: int = 2, wait: float = 2.0) -> DataFrame:
+        """Answers questions from the library by a model (instructions, request)
+        -> reply. A reply that is no JSON is asked for once more; if that fails
+        too, or the model raises ``tries`` times, the question's ``error`` says
+        so. What the model said is stored before it is checked, so it is asked
+        once. Citations are verified and the result is added to ``queries``."""
+        hits = stored(self.search(questions.filter(T.trimmed(F.col("question")) != ""), min(limit or 8, 20)), "hits")
         packed = citations.packed_sources(hits)
         asked = questions.join(citations.context(packed), "question_id").select("question_id", "question", "context")
 
-        def reply(batches):
-            import pyarrow as pa
+        def called(text: str) -> str:
+            for turn in range(1, tries + 1):
+                try:
+                    return model(citations.INSTRUCTIONS, text)
+                except Exception:
+                    if turn == tries:
+                        raise
+                    time.sleep(wait)
 
+        def reply(batches):
             for batch in batches:
-                out = []
+                out, errors = [], []
                 for q, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    text = model(q, c)
-                    if "{" not in text or "}" not in text:
-                        text = model(q + "\n\nReply with only the JSON object.", c)
+                    text = error = None
+                    try:
+                        text = called(citations.request(q, c, language))
+                        if not citations.reply_is_json(text):
+                            text = called(citations.request(q, c, language, again=True))
+                        if not citations.reply_is_json(text):
+                            error = NO_REPLY
+                    except Exception as e:  # a question that fails fails alone
+                        error = f"{type(e).__name__}: {e}"[:500]
                     out.append(text)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["question_id", "reply"])
+                    errors.append(error)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(errors, pa.string())], names=["question_id", "reply", "error"])
 
-        replies = asked.mapInArrow(reply, "question_id bigint, reply string").select("question_id", citations.parsed_reply(F.col("reply")).alias("r")).select("question_id", "r.*")
+        replies = stored(asked.mapInArrow(reply, "question_id bigint, reply string, error string"), "replies")
+        parsed = replies.filter("error IS NULL").select("question_id", citations.parsed_reply(F.col("reply")).alias("r")).select("question_id", "r.*")
         labelled = packed.select("question_id", "label", "text", "chunk_id", "document_id", "document_title", "heading", "page", "ordinal")
-        out = citations.verified(replies, labelled)
-        nothing = questions.join(hits.select("question_id").distinct(), "question_id", "left_anti")
-        unanswered = nothing.select("question_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields[1:]])
-        canned = "Nothing in your library matches this question. Try different wording, or add the document that would cover it."
-        unanswered = unanswered.withColumn("answer", F.lit(canned)).withColumn("confidence", F.lit("none")).withColumn("missing", F.lit("")).fillna(0, ["checked", "kept", "dropped"])
-        result = out.unionByName(unanswered)
-        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-        result.write.parquet(staged)
-        result = self.spark.read.parquet(staged)
+        out = citations.verified(parsed, labelled).withColumn("error", F.lit(None).cast("string"))
+        rest = questions.join(replies.select("question_id", "error"), "question_id", "left").join(parsed.select("question_id"), "question_id", "left_anti")
+        empty = {f.name: F.lit(None).cast(f.dataType) for f in out.schema.fields} | {"question_id": F.col("question_id"), "error": F.col("error")}
+        empty |= {"answer": F.when(F.col("error").isNull(), NO_HITS), "confidence": F.lit("none"), "missing": F.lit("")} | {c: F.lit(0).cast(out.schema[c].dataType) for c in ("checked", "kept", "dropped")}
+        result = stored(out.unionByName(rest.select(*[empty[c].alias(c) for c in out.columns])), "answers")
         log = result.join(questions, "question_id").select(
             F.col("question_id").alias("id"), "question", "answer", F.to_json("citations_kept").alias("citations"),
-            F.to_json(F.struct("checked", "kept", "dropped", "confidence")).alias("stats"), F.current_timestamp().alias("asked_at"),
+            F.to_json(F.struct("checked", "kept", "dropped", "confidence", "error")).alias("stats"), F.current_timestamp().alias("asked_at"),
         )
-        self._commit({"queries": self.queries.unionByName(log)})
+        self._append("queries", log)
         return result

@@ -240,8 +240,8 @@ def quote_verify(spark, sf_dir):
 
 
 @query(r"""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 1 + doc_id % 60 END AS pages FROM documents)
-SELECT doc_id, CASE WHEN n < 30 THEN 'Almost no text could be read from this file. If it is a scan or a photo, it needs OCR before it can be indexed.'
- WHEN pages IS NOT NULL AND n / pages < 25 THEN 'Only about ' || CAST(floor(n / pages + 0.5) AS BIGINT) || ' words per page were readable. Parts of this document may be images.' END AS warning FROM w""")
+SELECT doc_id, CASE WHEN n < 30 THEN '""" + T.TOO_LITTLE + """'
+ WHEN pages IS NOT NULL AND n / pages < 25 THEN 'About ' || CAST(floor(n / pages + 0.5) AS BIGINT) || '""" + T.SPARSE + """' END AS warning FROM w""")
 def extract_warnings(spark, sf_dir):
     """With page counts made of doc_ids."""
     pages = F.when(F.col("doc_id") % 3 != 0, 1 + F.col("doc_id") % 60)
@@ -256,22 +256,26 @@ def source_dispatch(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.extension(F.col("url")).alias("ext"), files.kind(F.col("url")).alias("kind"), files.title_of(F.col("url")).alias("title"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) < 20 THEN 'The text is too short.' END AS error FROM documents""")
+@query(r"""SELECT doc_id, CASE WHEN length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) < 20 THEN '""" + files.SHORT_NOTE + """' END AS error FROM documents""")
 def note_validate(spark, sf_dir):
     notes = files.notes(documents(spark, sf_dir).select("title", "text"))
     return notes.select(F.regexp_extract("path", r"doc-(\d+)", 1).cast("long").alias("doc_id"), "error")
 
 
-@query(r"""WITH p AS (SELECT page_id, """ + _H + r""" AS t FROM pages) SELECT page_id, CASE WHEN length(t) < 20 THEN 'No readable text could be extracted. If this is a scanned document, it needs OCR first.' END AS error, CAST(length(t) AS BIGINT) AS char_count FROM p""")
+@query("WITH p AS (SELECT page_id, " + _H + " AS t FROM pages), u AS (SELECT page_id, t FROM p UNION ALL SELECT -1 - page_id, substr(t, 1, page_id % 40) FROM p) SELECT page_id, CASE WHEN length(trim(t, ' ' || chr(10))) < 20 THEN '" + library.NO_TEXT.replace("'", "''") + "' END AS error, CAST(length(t) AS BIGINT) AS char_count FROM u")
 def ingest_status(spark, sf_dir):
-    t = table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("t"))
+    """Pages, and the openings of pages, some too short to be a text."""
+    t = stored(table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("t")), "page-texts")
+    t = t.unionByName(t.select((-1 - F.col("page_id")).alias("page_id"), F.substr("t", F.lit(1), (F.col("page_id") % 40).cast("int")).alias("t")))
     return t.select("page_id", library.ingest_status(F.col("t")).alias("error"), F.length("t").cast("long").alias("char_count"))
 
 
-@query()
+@query("""WITH p AS (SELECT conv_id, turn, length(text) + CASE WHEN length(text) <= 90 AND regexp_matches(text, '^[A-ZĂÂÎȘȚ0-9]') AND NOT regexp_matches(text, '[.!?,;:]$') AND NOT regexp_matches(text, '^[0-9]+[.)]\\s') AND len(string_split_regex(text, '\\s+')) <= 8 THEN 3 ELSE 0 END
+  + CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 THEN 2 ELSE 0 END AS n FROM conversations)
+SELECT conv_id, CAST(turn + 1 AS INT) AS page, CAST(sum(n) OVER o - n AS BIGINT) AS start, CAST(sum(n) OVER o AS BIGINT) AS "end" FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY turn)""")
 def page_map(spark, sf_dir):
-    """Conversations as paged texts, a turn a page."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.col("text"), F.lit("\n-- "), (F.col("turn") + 1).cast("string"), F.lit(" of 99 --\n")).alias("t"))
+    """Conversations as paged texts, a turn a page and a line."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n-- "), (F.col("turn") + 1).cast("string"), F.lit(" of 99 --\n")).alias("t"))
     marked = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "").alias("marked"))
     return files.paged(marked, "conv_id").select("conv_id", F.explode("pages").alias("p")).select("conv_id", "p.page", "p.start", "p.end")
 
@@ -447,7 +451,14 @@ def answer_confidence(spark, sf_dir):
     return _verified(spark, sf_dir).select("question_id", "kept", "dropped", "confidence")
 
 
-@query()
+@query(f"""WITH {_CITES}, a AS (SELECT v.question_id, v.i, v.marker, j.quote AS question, j.source AS text FROM v JOIN j USING (question_id, i) WHERE reason IS NULL),
+t AS (SELECT question_id, i, marker, text, {_n('text')} AS nt, {_terms('question')} AS terms FROM a),
+r AS (SELECT *, coalesce(list_filter(list_transform(terms, lambda x: instr(nt, x)), lambda i: i > 0)[1], 0) AS f FROM t),
+s2 AS (SELECT *, CASE WHEN f > 0 THEN greatest(0, f - 1 - 133) ELSE 0 END AS raw FROM r),
+u AS (SELECT *, CASE WHEN instr(substr(text, raw + 1), ' ') > 0 THEN instr(substr(text, raw + 1), ' ') + raw - 1 ELSE -1 END AS nb FROM s2),
+w AS (SELECT *, CASE WHEN raw > 0 AND nb > 0 AND nb - raw < 25 THEN nb + 1 ELSE raw END AS start, least(length(text), raw + 400) AS stop FROM u),
+z AS (SELECT *, stop - length(regexp_extract(substr(text, 1, stop + 1), '[^ ]*$')) AS before FROM w)
+SELECT question_id, i, marker, CAST(start AS BIGINT) AS start, CAST(CASE WHEN stop < length(text) AND before > start THEN before ELSE stop END AS BIGINT) AS "end" FROM z""")
 def cite_excerpt(spark, sf_dir):
     """Kept citations with where an excerpt of their source would start and end."""
     sources = citations.packed_sources(_turn_sources(spark, sf_dir), 1 << 40).select("question_id", "label", "text")
@@ -455,11 +466,11 @@ def cite_excerpt(spark, sf_dir):
     return kept.select("question_id", "i", "marker", T.excerpt_bounds(F.col("text"), F.col("quote"), 400).alias("b")).select("question_id", "i", "marker", "b.start", "b.end")
 
 
-@query()
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 7 > 1 THEN text END AS answer, CASE WHEN conv_id % 7 > 1 THEN 'high' END AS confidence, conv_id % 7 <= 1 AS retry FROM conversations""")
 def parse_llm_json(spark, sf_dir):
-    """Turns wrapped as fenced replies, every seventh broken."""
+    """Turns wrapped as fenced replies; some have no object, some one that breaks off."""
     body = F.to_json(F.struct(F.col("text").alias("answer"), F.lit("high").alias("confidence")))
-    raw = F.when(F.col("conv_id") % 7 == 0, F.col("text")).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+    raw = F.when(F.col("conv_id") % 7 == 0, F.col("text")).when(F.col("conv_id") % 7 == 1, F.concat(F.lit('{"answer": "x", "confidence": '), F.lit("}"))).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
     out = table(spark, sf_dir, "conversations").select("conv_id", "turn", citations.parsed_reply(raw).alias("r"))
     return out.select("conv_id", "turn", "r.answer", "r.confidence", F.col("r").isNull().alias("retry"))
 
@@ -514,15 +525,11 @@ def collections(spark, sf_dir):
     return documents(spark, sf_dir).filter("collection <> ''").select("collection").distinct().orderBy("collection")
 
 
-@query("SELECT doc_id AS id, 'doc-' || doc_id AS title, row_number() OVER (ORDER BY doc_id DESC) AS place FROM documents")
+@query("SELECT doc_id AS id, 'doc-' || doc_id AS title, epoch_ms(doc_id * 1000) AS added_at, (SELECT count(*) FROM conversations c WHERE c.conv_id = d.doc_id) AS chunks FROM documents d ORDER BY added_at DESC, id DESC")
 def doc_list(spark, sf_dir):
-    """Latest first; a page number's worth of order without one big sort in a
-    task: places come from counts by range of ids."""
-    docs = documents(spark, sf_dir).select("id", "title")
-    part = docs.withColumn("bucket", F.floor(F.col("id") / 1024))
-    before = part.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("bucket", (F.sum("n").over(Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    return part.join(before, "bucket").select("id", "title", (F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("id")))).alias("place"))
+    """Latest first, with their passages; turns stand for these."""
+    docs = documents(spark, sf_dir).withColumn("added_at", F.timestamp_seconds("id").cast("timestamp_ntz"))
+    return library.with_counts(docs, table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"))).select("id", "title", "added_at", "chunks")
 
 
 @query(f"WITH {_Q} SELECT question_id AS id, question FROM q ORDER BY question_id DESC LIMIT 30")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from html import escape
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -17,7 +18,9 @@ from ..functions import text as T
 #: What can be read.
 PLAIN, HTML, PDF, DOCX = ("txt", "md", "markdown", "json", "csv"), ("html", "htm"), ("pdf",), ("docx",)
 MAX_BYTES, MAX_FILES, MIN_NOTE = 50 << 20, 20, 20
-OLD_WORD = "Old .doc files are not supported. Open it and save as .docx or PDF."
+OLD_WORD = "The .doc format of old word processors cannot be read; add the file as .docx or .pdf instead."
+NO_TITLE, SHORT_NOTE = "Give the note a title.", f"A note has {MIN_NOTE} characters at least."
+PAGES = "array<struct<page:int,start:bigint,end:bigint>>"
 
 
 def extension(name: Column) -> Column:
@@ -34,7 +37,7 @@ def refusal(name: Column) -> Column:
     """Why a file is not read, or null."""
     ext = extension(name)
     listed = ", ".join("." + x for x in (*PDF, *DOCX, "txt", "md", "markdown", *HTML, "json", "csv"))
-    told = F.concat(F.lit('Unsupported file type "'), F.when(ext == "", "unknown").otherwise(F.concat(F.lit("."), ext)), F.lit(f'". Supported: {listed}.'))
+    told = F.concat(F.lit('Files of type "'), F.when(ext == "", "unknown").otherwise(F.concat(F.lit("."), ext)), F.lit(f'" cannot be read. These can: {listed}.'))
     return F.when(ext == "doc", OLD_WORD).when(kind(name) == "unsupported", told)
 
 
@@ -45,19 +48,32 @@ def title_of(name: Column) -> Column:
 _READ = pa.schema([("path", pa.string()), ("marked", pa.string()), ("error", pa.string())])
 
 
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _docx_paragraph(p: ElementTree.Element) -> tuple[str, str]:
+    """A paragraph's tag and safe text."""
+    text = "".join(t.text or "" if t.tag == f"{_W}t" else "\n" for t in p.iter() if t.tag in (f"{_W}t", f"{_W}br"))
+    style = next((s.get(f"{_W}val", "") for s in p.iter(f"{_W}pStyle")), "")
+    heading = re.fullmatch(r"(?i)heading\s*([1-6])", style)
+    listed = p.find(f"{_W}pPr/{_W}numPr") is not None or re.match(r"(?i)list", style)
+    return f"h{heading[1]}" if heading else "li" if listed else "p", escape(text, quote=False).replace("\n", "<br/>")
+
+
 def docx_html(content: bytes) -> str:
-    """A word-processor file's paragraphs as HTML, headings kept."""
-    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    """A word-processor file as HTML: headings, list items and tables kept."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml"))
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     out = []
-    for p in body.iter(f"{w}p"):
-        text = "".join(t.text or "" if t.tag == f"{w}t" else "\n" for t in p.iter() if t.tag in (f"{w}t", f"{w}br"))
-        style = next((s.get(f"{w}val", "") for s in p.iter(f"{w}pStyle")), "")
-        m = re.fullmatch(r"(?i)heading\s*([1-6])", style)
-        tag = f"h{m[1]}" if m else "p"
-        safe = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\n", "<br/>")
-        out.append(f"<{tag}>{safe}</{tag}>")
+    for block in body if body is not None else ():
+        if block.tag == f"{_W}tbl":
+            for row in block.iter(f"{_W}tr"):
+                cells = (" ".join(_docx_paragraph(p)[1] for p in cell.iter(f"{_W}p")) for cell in row.findall(f"{_W}tc"))
+                out.append("<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>")
+            continue
+        for p in block.iter(f"{_W}p"):
+            tag, text = _docx_paragraph(p)
+            out.append(f"<{tag}>{text}</{tag}>")
     return "".join(out)
 
 
@@ -85,14 +101,20 @@ def _binary(batches):
         yield pa.RecordBatch.from_pydict(rows, schema=_READ)
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text; what is not UTF-8 becomes U+FFFD, so that one file in
+    another encoding does not end a job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def extracted(files: DataFrame) -> DataFrame:
     """Text of files (path, content): path, text, pages, page_count, error."""
     read = files.select("path", kind(F.col("path")).alias("kind"), refusal(F.col("path")).alias("error"), "content")
-    read = read.withColumn("error", F.coalesce("error", F.when(F.length("content") > MAX_BYTES, "The file is larger than 50 MB.")))
-    none = [F.lit(None).cast("array<struct<page:int,start:bigint,end:bigint>>").alias("pages"), F.lit(None).cast("int").alias("page_count")]
+    read = read.withColumn("error", F.coalesce("error", F.when(F.length("content") > MAX_BYTES, f"Files of over {MAX_BYTES >> 20} MB are not read.")))
+    none = [F.lit(None).cast(PAGES).alias("pages"), F.lit(None).cast("int").alias("page_count")]
     refused = read.filter("error IS NOT NULL").select("path", F.lit(None).cast("string").alias("text"), *none, "error")
     good = read.filter("error IS NULL")
-    raw = F.decode("content", "UTF-8")
+    raw = decoded(F.col("content"))
     plain = good.filter("kind = 'plain'").select("path", T.clean(raw).alias("text"), *none, "error")
     html = good.filter("kind = 'html'").select("path", T.html_text(raw).alias("text"), *none, "error")
     packed = good.filter("kind IN ('docx', 'pdf')").select("path", "kind", "content").mapInArrow(_binary, "path string, marked string, error string")
@@ -106,31 +128,42 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def reflowed(text: str) -> str:
-    """Lines of a page put together as paragraphs: blank lines, list items and
-    heading-like lines stand apart; a line that does not end a sentence goes on
-    in the next if that starts in lower case, or if it is short."""
-    heading_like = lambda t: len(t) <= 90 and bool(
-        re.match(r"#{1,6}\s", t)
-        or re.match(r"[0-9]+(\.[0-9]+)*[.)]\s+\S", t) and t[-1] not in ".!?"
-        or t[-1] not in ".!?,;:" and re.match(f"[{T.CAPITALS}0-9]", t) and len(t.split()) <= 8
+#: Kinds of a page's lines, the first that fits: what the line looks like, its greatest length and number of words, endings that rule it out.
+_LINES = (
+    ("blank", re.compile(r"\Z"), 0, 0, ""),
+    ("item", re.compile(r"(?:[-–—*•]|[0-9]+[.)])\s+"), None, None, ""),
+    ("marked", re.compile(r"#{1,6}\s"), 90, None, ""),
+    ("heading", re.compile(r"[0-9]+(?:\.[0-9]+)*[.)]\s+\S"), 90, None, ".!?"),
+    ("heading", re.compile(f"[{T.CAPITALS}0-9]"), 90, 8, ".!?,;:"),
+    ("text", re.compile(""), None, None, ""),
+)
+_STOPPED = re.compile(r"""[.!?:;]["')\]]?\Z""")
+_GOES_ON = re.compile(r"[a-zăâîșț(]")
+#: A paragraph shorter than this goes on in any text line.
+_WRAPPED = 90
+
+
+def line_kind(line: str) -> str:
+    return next(
+        kind for kind, looks, longest, words, ends in _LINES
+        if looks.match(line) and (longest is None or len(line) <= longest) and (words is None or len(line.split()) <= words) and (not ends or line[-1] not in ends)
     )
+
+
+def reflowed(text: str) -> str:
+    """Lines of a page put together as paragraphs. Items and headings stand
+    alone; a text line goes on with the text line before it, unless that ended a
+    sentence, or was long and this one starts anew."""
     out: list[str] = []
-    running = False
-    for line in (x.strip() for x in text.split("\n")):
-        if not line:
-            running = False
-        elif re.match(r"([-–—*•]|[0-9]+[.)])\s+", line):
-            out.append(line)
-            running = False
-        elif heading_like(line):
-            out.append(line if re.match(r"#{1,6}\s", line) else f"## {line}")
-            running = False
-        elif running and not re.search(r"""[.!?:;]["')\]]?\Z""", out[-1]) and (re.match(r"[a-zăâîșț(]", line) or len(out[-1]) < 90):
+    before = "blank"
+    for line in map(str.strip, text.split("\n")):
+        kind_ = line_kind(line)
+        wraps = kind_ == before == "text" and not _STOPPED.search(out[-1]) and (_GOES_ON.match(line) or len(out[-1]) < _WRAPPED)
+        before = kind_
+        if wraps:
             out[-1] += f" {line}"
-        else:
-            out.append(line)
-            running = True
+        elif kind_ != "blank":
+            out.append(f"## {line}" if kind_ == "heading" else line)
     return "\n\n".join(out)
 
 
@@ -143,11 +176,13 @@ def _reflow(batches):
 def paged(marked: DataFrame, key: str) -> DataFrame:
     """Page texts put together, with the map of pages: key, text, pages,
     page_count. Pages end at lines ``-- n of m --``; without any, there is no
-    map. Offsets are running lengths, by a window."""
+    map. Pages without text are not in the map, but are counted. Offsets are
+    running lengths, by a window."""
     cut = marked.select(key, F.posexplode(F.split("marked", r"(?m)(?<=^-- \d{1,9} of \d{1,9} --$)")).alias("i", "part"))
     number = F.regexp_extract("part", r"(?m)^-- (\d+) of \d+ --\z", 1)
     body = T.clean(F.regexp_replace("part", r"(?m)^-- \d+ of \d+ --\z", ""))
-    cut = cut.select(key, "i", F.nullif(number, F.lit("")).cast("int").alias("number"), body.alias("body"))
+    total = F.regexp_extract("part", r"(?m)^-- \d+ of (\d+) --\z", 1)
+    cut = cut.select(key, "i", F.nullif(number, F.lit("")).cast("int").alias("number"), F.nullif(total, F.lit("")).cast("int").alias("total"), body.alias("body"))
     cut = cut.mapInArrow(_reflow, cut.schema).filter("body <> '' OR number IS NOT NULL")
     order = Window.partitionBy(key).orderBy("i")
     full = cut.filter("body <> ''")
@@ -155,14 +190,23 @@ def paged(marked: DataFrame, key: str) -> DataFrame:
     place = place.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     entry = F.struct(F.coalesce("number", "_nth").cast("int").alias("page"), (F.col("end") - F.col("size")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     rows = F.array_sort(F.collect_list(F.struct("i", "body", entry.alias("p"))))
-    has_marks = cut.groupBy(key).agg(F.max(F.col("number").isNotNull()).alias("marks"))
-    whole = place.groupBy(key).agg(rows.alias("rows")).join(has_marks, key)
-    pages = F.when(F.col("marks"), F.transform("rows", lambda r: r["p"]))
-    return whole.select(key, F.array_join(F.transform("rows", lambda r: r["body"]), "\n\n").alias("text"), pages.alias("pages"), F.when(F.col("marks"), F.size("rows")).alias("page_count"))
+    marks = cut.groupBy(key).agg(F.max("total").alias("total"))
+    whole = marks.join(place.groupBy(key).agg(rows.alias("rows")), key, "left")
+    pages = F.when(F.col("total").isNotNull(), F.transform("rows", lambda r: r["p"]))
+    text = F.coalesce(F.array_join(F.transform("rows", lambda r: r["body"]), "\n\n"), F.lit(""))
+    return whole.select(key, text.alias("text"), pages.alias("pages"), F.col("total").alias("page_count"))
 
 
 def notes(rows: DataFrame) -> DataFrame:
     """Pasted notes (title, text) as files: path, content, error."""
     text, title = T.trimmed(F.coalesce("text", F.lit(""))), T.trimmed(F.coalesce("title", F.lit("")))
-    error = F.when(title == "", "A note needs a title.").when(F.length(text) < MIN_NOTE, "The text is too short.")
+    error = F.when(title == "", NO_TITLE).when(F.length(text) < MIN_NOTE, SHORT_NOTE)
     return rows.select(F.concat(title, F.lit(".md")).alias("path"), F.encode(text, "UTF-8").alias("content"), error.alias("error"))
+
+
+def checked_upload(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
+    """The files of one upload, refused if there are too many; one that is too
+    large fails alone, when it is read."""
+    if files.limit(most + 1).count() > most:
+        raise ValueError(f"At most {most} files can be uploaded together.")
+    return files

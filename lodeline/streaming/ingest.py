@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators.library import Library
+from ..operators.library import WORKING, Library
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -24,8 +24,9 @@ def latest(events: DataFrame, key: str, order: Column, keep: list[str]) -> DataF
 def watch(library: Library, folder: str, checkpoint: str, collection: str = "") -> StreamingQuery:
     """Adds the files in ``folder`` that no earlier run has, then ends. A batch
     that is run again after a failure finds its files' hashes in the library, so
-    nothing is added twice."""
+    nothing is added twice; what a broken run left pending is finished first."""
     spark = library.spark
+    library.recover()
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(folder).select("path", "content")
     add = lambda batch, _: None if batch.isEmpty() else library.add(batch, collection)
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -51,11 +52,12 @@ class Progress(StreamingQueryListener):
 
 
 def document_progress(library: Library) -> DataFrame:
-    """The library's documents by state, as the latest progress event would tell."""
-    done = F.when(F.col("status") == "ready", 100).when(F.col("status") == "failed", F.lit(None).cast("int")).otherwise(5)
-    return library.documents.select("id", "status", done.alias("percent"), "error")
+    """The library's documents with their state and the last stage told of each."""
+    told = library.progress.select(F.col("document_id").alias("id"), "stage", "percent")
+    return library.documents.select("id", "status", "error").join(told, "id", "left")
 
 
-def session(spark: SparkSession) -> dict:
-    """What runs now."""
-    return {"running": [q.name or str(q.id) for q in spark.streams.active]}
+def session(spark: SparkSession, library: Library | None = None) -> dict:
+    """What runs now, and how many documents of a library wait."""
+    waiting = library.documents.filter(F.col("status").isin(*WORKING)).count() if library else 0
+    return {"running": [q.name or str(q.id) for q in spark.streams.active], "pending": waiting}

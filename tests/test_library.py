@@ -1,53 +1,66 @@
 import io
 import json
+import re
+import uuid
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.operators import chunking, citations, retrieval
+from lodeline.operators import chunking, citations, library, retrieval
+from lodeline.operators.embedding import ModelEmbedder
 from lodeline.operators.library import Library
 from lodeline.sources import files
 from lodeline.streaming import ingest
 
-TWO_SECTIONS = """# Transport
+HIVES = """# The colony
 
-TCP is connection oriented. Before data moves a connection is opened by a three-way handshake: SYN, SYN-ACK, ACK.
+A queen lays up to two thousand eggs in a day of early summer. Workers feed the larvae, build comb and guard the entrance of the hive.
 
-The sliding window controls how many segments may be sent without acknowledgement. Its size follows congestion.
+Drones leave the hive at noon and gather high above the fields. They are driven out when the first cold nights come.
 
-# Network
+# The harvest
 
-IP is connectionless and gives no guarantee of delivery. Every packet is routed independently of the others."""
+Honey is ripe when the bees have sealed its cells with wax. Frames are then uncapped with a warm knife and spun."""
 
 
 def test_sections_stay_apart():
-    found = chunking.passages(TWO_SECTIONS)
-    assert list(dict.fromkeys(p.heading for p in found)) == ["Transport", "Network"]
-    assert not any("handshake" in p.text and "routed" in p.text for p in found)
+    found = chunking.passages(HIVES)
+    assert list(dict.fromkeys(p.heading for p in found)) == ["The colony", "The harvest"]
+    assert not any("Drones" in p.text and "uncapped" in p.text for p in found)
     for p in found:
-        assert 0 <= p.start < p.end <= len(TWO_SECTIONS)
+        assert 0 <= p.start < p.end <= len(HIVES)
 
 
 def test_overlap_and_size():
-    text = "# Section\n\n" + "\n\n".join(f"Paragraph number {i} has an explanation that is long enough to fill the space of an ordinary passage of text." for i in range(12))
+    text = "# Log\n\n" + "\n\n".join(f"On day {i} the scales under hive {i % 5} showed a gain, and the weather was noted next to the weight of each colony." for i in range(14))
     found = chunking.passages(text)
     assert len(found) >= 2
-    assert any(b.text.startswith(chunking.tail(a.text)) for a, b in zip(found, found[1:]))
+    for a, b in zip(found, found[1:]):
+        carried = chunking.Sentences(a.text).last(chunking.OVERLAP)
+        assert carried and b.text.startswith(carried) and len(carried) <= chunking.OVERLAP
     # A carried sentence may make a passage longer than the most.
-    long = chunking.passages("This is a sentence for testing. " * 200)
+    long = chunking.passages("The smoker is lit before the lid comes off. " * 150)
     assert len(long) > 3 and all(len(p.text) <= 1500 for p in long)
-    assert "".join(chunking.packed_sentences("x" * 5000, 900, 1400)) == "x" * 5000
+    assert "".join(chunking.Sentences("q" * 5000).filled(900, 1400)) == "q" * 5000
+
+
+def spans(text):
+    found = chunking.Sentences(text)
+    return [found.text[a:b] for a, b in zip(found.cuts, found.cuts[1:])]
 
 
 def test_abbreviations_do_not_end_sentences():
-    assert len(chunking.sentences("See art. 5 and nr. 7 of the law, Fig. 2 shows it. Then it goes on to the next sentence here.")) <= 3
-    assert chunking.passages("") == [] and chunking.passages("# Only a heading") == []
+    assert spans("Compare vol. 3 and pp. 12 of the guide, tab. 4 has the weights. Frames are numbered from the wall to the door here.") == [
+        "Compare vol. 3 and pp. 12 of the guide, tab. 4 has the weights.", " Frames are numbered from the wall to the door here.",
+    ]
+    assert spans("...Wax melts. ") == ["Wax melts.", ] or spans("...Wax melts. ")[0].startswith("Wax")
+    assert chunking.passages("") == [] and chunking.passages("## Nothing below") == [] and spans("") == []
 
 
 def test_small_end_is_folded_back():
-    found = chunking.passages("Some words that fill a line of the first passage here. " * 17 + "\n\n" + "Tail words.", overlap=0)
-    assert len(found) == 1 and found[0].text.endswith("Tail words.")
+    found = chunking.passages("Supers are added before the flow of nectar begins in spring. " * 13 + "\n\n" + "Then wait.", overlap=0)
+    assert len(found) == 1 and found[0].text.endswith("Then wait.")
 
 
 def rows(spark, texts):
@@ -55,22 +68,37 @@ def rows(spark, texts):
     return spark.createDataFrame(data, "id bigint, document_id bigint, ordinal int, text string, heading string, page int, char_start bigint, char_end bigint")
 
 
-CORPUS = ["The error code E1234 means the pump is blocked.", "Retries default to three, with a pause between.", "Routing tables are built from advertised paths.", "A three-way handshake opens a connection.", "Cats sleep in the afternoon sun."]
+CORPUS = ["The label HX204 marks hives that were treated for mites.", "Swarms are caught at dusk, with a box and a sheet.", "Pollen counts are read from traps at the entrance.", "A double-walled hive keeps its warmth in winter.", "Foxes dig at the edge of the orchard."]
 
 
 def test_search(spark):
     passages = rows(spark, CORPUS)
-    docs = passages.select("id", F.concat(F.lit("d"), "id").alias("title"), F.lit("f").alias("filename"), F.when(F.col("id") < 3, "ops").otherwise("net").alias("collection"))
+    docs = passages.select("id", F.concat(F.lit("d"), "id").alias("title"), F.lit("f").alias("filename"), F.when(F.col("id") < 3, "care").otherwise("site").alias("collection"))
     ask = lambda q, **how: retrieval.search(passages, docs, spark.createDataFrame([(1, q)], "question_id bigint, question string"), **how).orderBy("place").collect()
-    assert ask("what does e1234 mean", mode="keyword")[0].chunk_id == 1
-    assert ask("handshake three-way")[0].chunk_id == 4
-    assert {r.document_id for r in ask("pump retries routing", document_ids=[2, 3])} <= {2, 3}
-    assert {r.collection for r in ask("pump retries routing", collection="net")} == {"net"}
+    assert ask("what does hx204 mark", mode="keyword")[0].chunk_id == 1
+    assert ask("warmth double-walled")[0].chunk_id == 4
+    ids = spark.createDataFrame([(2,), (3,)], "document_id bigint")
+    assert {r.document_id for r in ask("mites swarms pollen", document_ids=ids)} <= {2, 3}
+    assert {r.collection for r in ask("mites swarms pollen", collection="site")} == {"site"}
     assert ask("?!", mode="keyword") == []
-    similar = [r.similarity for r in sorted(ask("cats sleep", mode="vector"), key=lambda r: r.vector_rank)]
+    similar = [r.similarity for r in sorted(ask("foxes dig", mode="vector"), key=lambda r: r.vector_rank)]
     assert similar == sorted(similar, reverse=True)
 
 
+def test_nearest_alike_by_broadcast_and_by_blocks(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = vectors.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("question_id"), "embedding")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(retrieval.nearest(vectors, asked, 7)) == key(retrieval.nearest(vectors, asked, 7, block=100, few=0))
+    assert retrieval.nearest(vectors, asked.limit(0)).count() == 0 and retrieval.nearest(vectors.limit(0), asked).count() == 0
+
+
+def test_neighbours(spark):
+    passages = rows(spark, CORPUS).withColumn("document_id", F.lit(1)).withColumn("ordinal", (F.col("id") - 1).cast("int"))
+    got = retrieval.neighbours(passages, spark.createDataFrame([(1,), (3,)], "chunk_id bigint"), 1).collect()
+    assert sorted((r.chunk_id, r.neighbour_id) for r in got) == [(1, 1), (1, 2), (3, 2), (3, 3), (3, 4)]
+
+
 def test_fusion_prefers_agreement(spark):
     k = spark.createDataFrame([(1, 10, -5.0, 1), (1, 11, -4.0, 2), (1, 12, -1.0, 3)], "question_id bigint, chunk_id bigint, score double, rank int")
     v = spark.createDataFrame([(1, 12, 0.9, 1), (1, 10, 0.8, 2), (1, 13, 0.7, 3)], "question_id bigint, chunk_id bigint, similarity double, rank int")
@@ -78,7 +106,7 @@ def test_fusion_prefers_agreement(spark):
     assert got == [10, 12, 11, 13]
 
 
-USED = [("S1", 11, 1, "Networks", "Transport", 4, 0, "A TCP connection is opened by a three-way handshake: SYN, SYN-ACK, ACK."), ("S2", 12, 1, "Networks", "Transport", 5, 1, "The sliding window sets the rate by the congestion of the network.")]
+USED = [("S1", 11, 1, "Bees", "Harvest", 4, 0, "Honey is ripe when the bees have sealed its cells with wax: white, thin, dry."), ("S2", 12, 1, "Bees", "Harvest", 5, 1, "A refractometer shows whether there is too much water in it.")]
 
 
 def verify(spark, answer, cites, confidence):
@@ -88,15 +116,16 @@ def verify(spark, answer, cites, confidence):
 
 
 def test_citations(spark):
-    good = verify(spark, "It opens with a handshake [S1].", [("s1 ", "opened by a three-way handshake")], "high")
+    good = verify(spark, "The cells are closed [S1].", [("s1 ", "the bees have sealed its cells")], "high")
     assert good.confidence == "high" and good.kept == 1 and good.citations_kept[0].page == 4 and "[S1]" in good.answer
-    bad = verify(spark, "It is encrypted [S1].", [("S1", "encrypted with AES-256 before sending")], "high")
-    assert bad.answer == "It is encrypted [unverified]." and bad.citations_dropped[0].reason == citations.NOT_FOUND and bad.confidence == "partial"
+    assert "<mark>" in good.citations_kept[0].excerpt
+    bad = verify(spark, "It is heated [S1].", [("S1", "heated to sixty degrees before bottling")], "high")
+    assert bad.answer == "It is heated [unverified]." and bad.citations_dropped[0].reason == citations.NOT_FOUND and bad.confidence == "partial"
     assert verify(spark, "x [S9]", [("S9", "any text at all")], "high").citations_dropped[0].reason == citations.NOT_RETRIEVED
     assert verify(spark, "x [S1]", [("S1", " ")], "high").citations_dropped[0].reason == citations.NO_QUOTE
     none = verify(spark, "Not covered.", [], "none")
     assert none.confidence == "none" and none.checked == 0
-    third = [("S1", "opened by a three-way handshake"), ("S2", "The sliding window sets the rate"), ("S2", "nothing like this is there")]
+    third = [("S1", "the bees have sealed its cells"), ("S2", "A refractometer shows whether"), ("S2", "nothing like this is there")]
     assert verify(spark, "a [S1] b [S2]", third, "high").confidence == "high"  # a third exactly is not enough
     assert verify(spark, "a", third + [("S7", "zzz zzz zzz")], "high").confidence == "partial"
 
@@ -109,9 +138,14 @@ def test_budget(spark):
 
 
 def test_replies(spark):
-    raw = ['```json\n{"answer": "a", "citations": [{"marker": "S1", "quote": "q"}], "confidence": "high"}\n```', "no json", None]
+    raw = ['```json\n{"answer": "a", "citations": [{"marker": "S1", "quote": "q"}], "confidence": "high"}\n```', "no json", None, '{"answer": "cut off', '{"answer": "x", }', '{"answer": oops}']
     got = [r.r for r in spark.createDataFrame([(x,) for x in raw], "x string").select(citations.parsed_reply(F.col("x")).alias("r")).collect()]
-    assert got[0].answer == "a" and got[0].citations[0].marker == "S1" and got[1] is None and got[2] is None
+    assert got[0].answer == "a" and got[0].citations[0].marker == "S1" and got[1:] == [None] * 5
+    assert [citations.reply_is_json(x or "") for x in raw] == [r is not None for r in got]
+    text = citations.request("Why?", "src", "ro", again=True)
+    assert "Why?" in text and "src" in text and "Romanian" in text
+    with pytest.raises(ValueError):
+        citations.request("Why?", "src", "xx")
 
 
 def docx(*paragraphs):
@@ -123,61 +157,160 @@ def docx(*paragraphs):
     return out.getvalue()
 
 
+def table_docx():
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    p = lambda t, inner="": f"<w:p>{inner}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    item = "<w:pPr><w:numPr><w:ilvl w:val='0'/></w:numPr></w:pPr>"
+    body = p("Tools", "<w:pPr><w:pStyle w:val='Heading2'/></w:pPr>") + p("veil", item) + p("smoker", item) + f"<w:tbl><w:tr><w:tc>{p('hive')}</w:tc><w:tc>{p('kg')}</w:tc></w:tr><w:tr><w:tc>{p('A')}</w:tc><w:tc>{p('17')}</w:tc></w:tr></w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0"?><w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
 def test_sources(spark):
-    data = [("a/x.txt", b"plain  text"), ("p.HTML", b"<h2>T</h2><p>b</p>"), ("w.docx", docx(("Heading1", "Top"), ("", "Body &amp; more"))), ("old.doc", b""), ("y.exe", b""), ("noext", b""), ("broken.docx", b"zz")]
+    data = [("a/x.txt", b"plain  text"), ("p.HTML", b"<h2>T</h2><p>b</p>"), ("w.docx", docx(("Heading1", "Top"), ("", "Body &amp; more"))), ("t.docx", table_docx()), ("old.doc", b""), ("y.exe", b""), ("noext", b""), ("broken.docx", b"zz")]
     got = {r.path: r for r in files.extracted(spark.createDataFrame(data, "path string, content binary")).collect()}
     assert got["a/x.txt"].text == "plain text" and got["p.HTML"].text.split() == ["##", "T", "b"] and got["w.docx"].text.split("\n\n")[0] == "# Top" and "Body & more" in got["w.docx"].text
-    assert got["old.doc"].error == files.OLD_WORD and '".exe"' in got["y.exe"].error and "unknown" in got["noext"].error and got["broken.docx"].error and len(got) == 7
+    assert "- veil\n- smoker" in got["t.docx"].text and "hive | kg |" in got["t.docx"].text and "A | 17 |" in got["t.docx"].text
+    assert got["old.doc"].error == files.OLD_WORD and '".exe"' in got["y.exe"].error and "unknown" in got["noext"].error and got["broken.docx"].error and len(got) == 8
+    with pytest.raises(ValueError):
+        files.checked_upload(spark.createDataFrame(data, "path string, content binary"), 3)
+
+
+def test_bad_bytes_and_references_fail_alone(spark):
+    data = [("latin.txt", "Ruche n\u00b0 4, \u00e9t\u00e9".encode("latin-1")), ("big.html", b"<p>a&#99999999;b&#xFFFFFFFF;c&#xD800;d&#0;e&#123456789012345678901234567890;f&#233;&#xe9;&#00065;</p>"), ("good.txt", "mi\u00e8re et \u00e9t\u00e9".encode())]
+    got = {r.path: r for r in files.extracted(spark.createDataFrame(data, "path string, content binary")).collect()}
+    assert got["latin.txt"].text == "Ruche n\ufffd 4, \ufffdt\ufffd" and got["good.txt"].text == "mi\u00e8re et \u00e9t\u00e9"
+    assert got["big.html"].text == "a\ufffdb\ufffdc\ufffdd\ufffde\ufffdf\u00e9\u00e9A" and all(r.error is None for r in got.values())
 
 
 def test_pages(spark):
-    marked = "First Heading\nthis line goes on\nand ends here.\n-- 1 of 3 --\n\n-- 2 of 3 --\nThird page text that is long enough.\n-- 3 of 3 --\n"
-    r = files.paged(spark.createDataFrame([("k", marked), ("n", "no marks at all in this text, only words.")], "k string, marked string"), "k").orderBy("k").collect()
-    assert [p.page for p in r[0].pages] == [1, 3] and r[0].page_count == 2
+    marked = "Inner Frames\nthe wire goes through\nand is drawn tight.\n-- 1 of 40 --\n\n-- 2 of 40 --\nThe third page is short.\n-- 3 of 40 --\n" + "".join(f"\n-- {i} of 40 --\n" for i in range(4, 41))
+    blank = "\n-- 1 of 2 --\n\n-- 2 of 2 --\n"
+    r = files.paged(spark.createDataFrame([("k", marked), ("n", "no marks at all in this text, only words."), ("o", blank)], "k string, marked string"), "k").orderBy("k").collect()
+    assert [p.page for p in r[0].pages] == [1, 3] and r[0].page_count == 40
     assert r[0].pages[1].start == r[0].pages[0].end and r[0].pages[1].end == len(r[0].text)
-    assert r[0].text.startswith("## First Heading\n\nthis line goes on and ends here.")
-    assert r[1].pages is None and r[1].text.startswith("no marks")
+    assert r[0].text.startswith("## Inner Frames\n\nthe wire goes through and is drawn tight.")
+    assert r[1].pages is None and r[1].page_count is None and r[1].text.startswith("no marks")
+    assert r[2].text == "" and r[2].page_count == 2
+
+
+def make(spark, *rows_):
+    return spark.createDataFrame(list(rows_), "path string, content binary")
+
+
+def question(spark, text, i=7):
+    return spark.createDataFrame([(i, text)], "question_id bigint, question string")
 
 
 def test_library_life(spark, tmp_path):
     lib = Library(spark, f"{tmp_path}/lib")
-    make = lambda *rows_: spark.createDataFrame(list(rows_), "path string, content binary")
-    first = make(("net.md", TWO_SECTIONS.encode()), ("copy.md", TWO_SECTIONS.encode()), ("tiny.txt", b"too short"), ("bad.xyz", b"0123456789" * 10))
+    first = make(spark, ("bees.md", HIVES.encode()), ("copy.md", HIVES.encode()), ("tiny.txt", b"too short"), ("bad.xyz", b"0123456789" * 10))
     lib.add(first, "course")
     status = {r.filename: r.status for r in lib.documents.collect()}
     assert len(status) == 3 and status["tiny.txt"] == status["bad.xyz"] == "failed" and "ready" in status.values()
     n = lib.passages.count()
     assert n == lib.passages.filter("embedding IS NOT NULL").count() > 0
-    assert all(r.duplicate for r in lib.add(make(("again.md", TWO_SECTIONS.encode()))).collect()) and lib.passages.count() == n
-    lib.add(make(("later.txt", b"Another document, about gardens and the seasons in which to plant.")))
-    assert lib.stats().first().documents == 4
-    hit = lib.search(spark.createDataFrame([(7, "three-way handshake")], "question_id bigint, question string")).orderBy("place").first()
-    assert hit.heading == "Transport"
-
-    def model(question, context):
-        return json.dumps({"answer": "By a handshake [S1].", "citations": [{"marker": "S1", "quote": "opened by a three-way handshake"}], "confidence": "high", "missing": ""})
-
-    asked = lib.ask(spark.createDataFrame([(7, "three-way handshake")], "question_id bigint, question string"), model).first()
-    assert asked.confidence == "high" and asked.kept == 1 and lib.queries.count() == 1
+    assert {(r.stage, r.percent) for r in lib.progress.collect()} == {("ready", 100), ("failed", None)}
+    assert all(r.duplicate for r in lib.add(make(spark, ("again.md", HIVES.encode()))).collect()) and lib.passages.count() == n
+    written = lib._all("passages").count()
+    lib.add(make(spark, ("later.txt", b"Another document, about gardens and the seasons in which to plant.")))
+    assert lib.stats().first().documents == 4 and lib._all("passages").count() == written + 1
+    hit = lib.search(question(spark, "uncapped honey frames")).orderBy("place").first()
+    assert hit.heading == "The harvest" and "<mark>" in hit.excerpt
+    assert lib.around(lib.passages.select(F.col("id").alias("chunk_id"))).count() > n
     doc = lib.documents.filter("filename = 'later.txt'").first().id
     lib.delete([doc])
     assert lib.documents.count() == 3 and lib.passages.filter(F.col("document_id") == doc).count() == 0
-    stuck = lib.documents.withColumn("status", F.when(F.col("status") == "ready", "embedding").otherwise(F.col("status")))
-    lib._commit({"documents": stuck, "passages": lib.passages.limit(0)})
-    assert lib.recover().count() == 1 and lib.passages.count() == n
-    other = Library(spark, lib.path, {"provider": "x", "model": "other", "dims": 3})
-    with pytest.raises(ValueError):
-        other.search(spark.createDataFrame([(1, "q")], "question_id bigint, question string"))
     lib.clear_index()
-    assert lib.passages.count() == 0 and lib.documents.filter("status = 'pending'").count() == 3
+    assert lib.passages.count() == 0 and lib.documents.filter("status = 'pending'").count() == 3 and lib.config() is None
+    assert lib.recover().count() == 3 and lib.passages.count() == n
     lib.reindex()
     assert lib.passages.count() == n and lib.doctor()["width"] == 256
+    later = Library(spark, lib.path)
+    assert later.documents.count() == 3
+    later._append("commits", spark.createDataFrame([("b", 1, "x", None, None, None, 99)], later._all("commits").schema))
+    with pytest.raises(ValueError):
+        Library(spark, lib.path)
+
+
+def test_two_writers_at_once(spark, tmp_path, monkeypatch):
+    one, two = Library(spark, f"{tmp_path}/lib"), Library(spark, f"{tmp_path}/lib")
+    index, turn = Library._index, []
+
+    def late(self, batch, documents):
+        if not turn:  # the second writer does all its work inside the first one's
+            turn.append(1)
+            two.add(make(spark, ("two.txt", b"The second writer's document, with words enough to be kept.")))
+        return index(self, batch, documents)
+
+    monkeypatch.setattr(Library, "_index", late)
+    one.add(make(spark, ("one.txt", b"The first writer's document, with words enough to be kept.")))
+    assert {r.filename: r.status for r in one.documents.collect()} == {"one.txt": "ready", "two.txt": "ready"} and one.passages.count() == 2
+
+
+def test_nothing_is_seen_of_a_broken_change(spark, tmp_path):
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    lib = Library(spark, f"{tmp_path}/lib", ModelEmbedder("test", "m", 3, broken, tries=1))
+    with pytest.raises(Exception):
+        lib.add(make(spark, ("a.txt", b"A document whose vectors cannot be made by this model.")))
+    assert lib.passages.count() == 0 and [r.status for r in lib.documents.collect()] == ["pending"]
+    mended = Library(spark, lib.path, ModelEmbedder("test", "m", 3, lambda texts: [[len(t), 1.0, 0.0] for t in texts], batch=2))
+    assert mended.recover().count() == 1 and mended.passages.count() == 1 and mended.documents.first().status == "ready"
+    with pytest.raises(ValueError):  # another model's vectors
+        Library(spark, lib.path).search(question(spark, "q"))
+    found = mended.search(question(spark, "vectors model")).collect()
+    assert len(found) == 1 and mended.vector_error is None
+    away = Library(spark, lib.path, ModelEmbedder("test", "m", 3, broken, tries=1))
+    assert len(away.search(question(spark, "vectors model")).collect()) == 1 and "no model" in away.vector_error
+
+
+def test_colliding_document_ids_are_refused(spark, tmp_path, monkeypatch):
+    lib = Library(spark, f"{tmp_path}/lib")
+    lib.add(make(spark, ("a.txt", b"A document that comes first and is kept in the library.")))
+    first = lib.documents.first().id
+    monkeypatch.setattr(library, "document_id", lambda c: F.lit(first))
+    with pytest.raises(ValueError):
+        lib.add(make(spark, ("b.txt", b"Another document, whose name is forced to be the same.")))
+    assert lib.documents.count() == 1
+
+
+def test_model_is_asked_once(spark, tmp_path):
+    lib = Library(spark, f"{tmp_path}/lib")
+    lib.add(make(spark, ("bees.md", HIVES.encode())))
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def model(instructions, request):
+        n = len(list(calls.iterdir()))
+        (calls / uuid.uuid4().hex).write_text(request)
+        if "broken" in request:
+            return '{"answer": "never ends'
+        if "silent" in request:
+            raise RuntimeError("away")
+        if "again" in request and "could not be read" not in request:
+            return "not yet"
+        label = re.search(r'id="(S\d+)"[^>]*>\s*[^<]*sealed its cells', request)[1]
+        return json.dumps({"answer": f"Reply {n}: when sealed [{label}].", "citations": [{"marker": label, "quote": "the bees have sealed its cells with wax"}], "confidence": "high", "missing": ""})
+
+    asked = lambda text: lib.ask(question(spark, text), model, wait=0).first()
+    one = asked("when is honey ripe")
+    assert one.confidence == "high" and one.kept == 1 and one.answer.startswith("Reply 0") and len(list(calls.iterdir())) == 1
+    assert "sealed" in one.citations_kept[0].excerpt and lib.queries.count() == 1
+    two = asked("when is honey ripe, again")
+    assert two.kept == 1 and len(list(calls.iterdir())) == 3
+    assert asked("broken honey").error == library.NO_REPLY and "away" in asked("silent honey").error
+    none = asked("zzzz ???")
+    assert none.error is None or none.answer is not None
 
 
 def test_streaming_adds_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "a.md").write_text(TWO_SECTIONS)
+    (folder / "a.md").write_text(HIVES)
     lib = Library(spark, f"{tmp_path}/lib")
     run = lambda: ingest.watch(lib, str(folder), f"{tmp_path}/ck").awaitTermination()
     run()
@@ -187,4 +320,4 @@ def test_streaming_adds_once(spark, tmp_path):
     run()
     run()
     assert lib.documents.count() == 2 and lib.passages.count() == n + 1
-    assert {r.percent for r in ingest.document_progress(lib).collect()} == {100}
+    assert {r.percent for r in ingest.document_progress(lib).collect()} == {100} and ingest.session(spark, lib)["pending"] == 0
