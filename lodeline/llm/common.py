@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import shared_dir, stored  # noqa: F401  what several operators use
+
 #: What separates words: the six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 NO_GAP = r"[^\x20\x09-\x0D]+"
@@ -22,35 +22,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of
-    our own where the session names none (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodeline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the
-    lineage, keeps the result if executors are lost, and costs less disk than
-    a row-wise checkpoint."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(text: Column, *others: Column) -> Column:
     """64 bits that name a row by its content, so that rows with a null or a
     repeated doc_id stay apart unless they are equal."""
     return F.xxhash64(text, *others)
 
 
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, whatever else a table carries."""
-    return df.select(*names)
+def long_row_key(text: Column, *others: Column) -> Column:
+    """The same in 128 bits, for tables of very many rows."""
+    half = lambda h: F.lpad(F.hex(h), 16, "0")
+    return F.unhex(F.concat(half(F.xxhash64(text, *others)), half(F.xxhash64(F.lit(1), *others, text))))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

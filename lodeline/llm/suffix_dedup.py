@@ -17,13 +17,18 @@ bytes occur more than once:
    with another one is repeated. No pair of occurrences is ever listed.
 4. Repeated windows go back to their documents as intervals.
 
-Grams that occur more than ``HOT`` times are salted: their windows go by the
-digest of all their bytes instead, in the same exchange. Where they repeat in a
-task, one stands for all; where they do not, they spread evenly.
+A gram that occurs very often would bring all its suffixes to one target. Those of
+grams that occur more than ``HOT`` times go by longer strings instead: a window's
+offset before its anchor falls in one of several bands, and what all windows of a
+band have in common, nearly the whole window, is the gram by which the suffix
+travels, once for each band. So places of a frequent phrase part by what stands
+around it, and only those that stand in nearly the same window meet. They are
+sorted and merged like all others.
 
 Defined results: a null text is empty; texts shorter than a window stay as they
 are; equal rows repeat each other; an empty table gives none. Rows are known by
-doc_id and text, so null or repeated doc_ids are safe. Other columns are ignored,
+128 bits of doc_id and text, so null or repeated doc_ids are safe. A very long text
+is anchored in one go and comes alone; a window is from ``GRAM`` to 255 bytes. Other columns are ignored,
 except by ``deduplicated``, which returns them.
 """
 
@@ -37,22 +42,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, anchors
-from .common import batch_of, documents, row_key, slices, stored
+from .common import batch_of, documents, long_row_key, slices, stored
 from .sorted_runs import common_prefixes, decoded, front_coded, merged
 
 WINDOW = 200
-#: Records of a run at most, and rows of a gram from which it is salted.
-RUN, HOT = 4096, 20_000
+#: Suffixes that a task sorts at once; occurrences of a gram from which it goes by longer strings; offsets in a band of these.
+SORTED, HOT, BAND = 1 << 15, 20_000, 16
+#: Suffixes of a target, on average: what is merged at once.
+TARGET = 16_384
 
 #: place: the anchor's byte, then eight bits each for its windows' least and greatest offset before it.
-_ANCHOR = pa.schema([("k", pa.int64()), ("gram", pa.int64()), ("place", pa.int64())])
+_ANCHOR = pa.schema([("k", pa.binary()), ("gram", pa.int64()), ("place", pa.int64())])
 _GRAM = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 _RUN = pa.schema(
-    [("target", pa.int32()), ("n", pa.int32()), ("shared", pa.binary()), ("rests", pa.binary()), ("left", pa.binary()), ("shape", pa.binary()), ("owner", pa.binary()), ("place", pa.binary()), ("digests", pa.binary())]
+    [("target", pa.int32()), ("n", pa.int32()), ("shared", pa.binary()), ("rests", pa.binary()), ("left", pa.binary()), ("shape", pa.binary()), ("owner", pa.binary()), ("place", pa.binary())]
 )
-#: A row with digests holds salted windows: owner and place are one for each, then those already known to repeat.
-RUNS = "target int, n int, shared binary, rests binary, left binary, shape binary, owner binary, place binary, digests binary"
-_SPAN = pa.schema([("k", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+RUNS = "target int, n int, shared binary, rests binary, left binary, shape binary, owner binary, place binary"
+_SPAN = pa.schema([("k", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,12 +105,30 @@ def _anchored(window: int):
             buf, starts = _laid(_raw(batch.column(1)))
             at, hashes, lo, hi = anchors(buf, starts, window)
             owner = np.searchsorted(starts, at, side="right") - 1
-            k = batch.column(0).to_numpy(zero_copy_only=False)[owner] if len(at) else np.zeros(0, np.int64)
+            k = batch.column(0).take(pa.array(owner, pa.int64()))
             yield batch_of(_ANCHOR, {"k": k, "gram": hashes.view(np.int64), "place": ((at - starts[owner]) << 16) | ((at - hi) << 8) | (at - lo)})
 
     return run
 
 
+def _parted(buf: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """For anchors of a frequent gram: each once for every band of offsets that
+    its windows have, with the offsets in that band and the hash of what all
+    windows of the band hold. Returns which anchor, least and greatest offset, and hash."""
+    which, lo, hi, grams = [], [], [], []
+    for band in range(0, window - GRAM + 1, BAND):
+        last = min(band + BAND, window - GRAM + 1) - 1
+        mine = np.flatnonzero((low <= last) & (high >= band))
+        if not len(mine):
+            continue
+        held = buf[(at[mine] - band)[:, None] + np.arange(window - last + band)]
+        grams += [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8, salt=bytes([band])).digest(), "little", signed=True) for x in held]
+        which.append(mine)
+        lo.append(np.maximum(low[mine], band))
+        hi.append(np.minimum(high[mine], last))
+    return np.concatenate(which), np.concatenate(lo), np.concatenate(hi), np.array(grams, np.int64)
+
+
 def _runs(window: int, targets: int):
     """Sorted front-coded runs of (right context; left context, offsets) for each target."""
 
@@ -113,75 +137,52 @@ def _runs(window: int, targets: int):
         shared, rests = front_coded(rows[order])
         to = np.empty(len(order), np.int64)
         to[order] = np.arange(len(order))
-        return {"target": target, "n": len(order), "shared": shared.astype(np.uint8).tobytes(), "rests": rests, "left": left[order].tobytes(), "shape": shape[order].tobytes(), "owner": owner.tobytes(), "place": np.stack((to[place[:, 0]], place[:, 1]), axis=1).tobytes(), "digests": None}
-
-    def salted(digests, owner, at):
-        """Rows of distinct windows by target; a window found twice here is sure to repeat."""
-        raw = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-        owner, at = np.array(owner, np.int64), np.array(at, np.int64)
-        _, first, which, many = np.unique(np.ascontiguousarray(raw).view("V16").ravel(), return_index=True, return_inverse=True, return_counts=True)
-        sure = many[which.ravel()] > 1
-        target = (raw[first, 0] % np.uint64(targets)).astype(np.int64)
-        for t in np.unique(target).tolist():
-            mine = first[target == t]
-            yield {"target": t, "n": len(mine), "shared": None, "rests": None, "left": None, "shape": (many[target == t] > 1).tobytes(), "owner": owner[mine].tobytes(), "place": at[mine].tobytes(), "digests": raw[mine].tobytes()}
-        if sure.any():
-            yield {"target": int(target[0]), "n": 0, "shared": None, "rests": None, "left": None, "shape": b"", "owner": owner[sure].tobytes(), "place": at[sure].tobytes(), "digests": b""}
+        return {"target": target, "n": len(order), "shared": shared.astype(np.uint8).tobytes(), "rests": rests, "left": left[order].tobytes(), "shape": shape[order].tobytes(), "owner": owner.tobytes(), "place": np.stack((to[place[:, 0]], place[:, 1]), axis=1).tobytes()}
 
     def run(batches):
         reach = window - GRAM
-        held, n_held, hot = [], 0, ([], [], [])
+        held, n_held = [], 0
 
         def flush():
-            nonlocal held, n_held, hot
-            out = list(salted(*hot)) if hot[0] else []
-            hot = ([], [], [])
-            if not n_held:
-                return batch_of(_RUN, {c: [o[c] for o in out] for c in _RUN.names})
+            nonlocal held, n_held
             rows, left, shape, owner, gram, at = (np.concatenate([h[i] for h in held]) for i in range(6))
             held, n_held = [], 0
             target = (gram.view(np.uint64) % np.uint64(targets)).astype(np.int64)
-            for t in np.unique(target).tolist():
-                mine = np.flatnonzero(target == t)
+            order = np.argsort(target, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(target[order])) + 1):
                 whole = np.ascontiguousarray(np.concatenate((rows[mine], left[mine], shape[mine].view(np.uint8).reshape(len(mine), -1)), axis=1))
                 # Equal contexts are one record with all its places.
                 _, first, which = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
                 pick = mine[first]
-                out.append(close(t, rows[pick], left[pick], shape[pick], owner[mine], np.stack((which.ravel(), at[mine]), axis=1)))
-            return batch_of(_RUN, {c: [o[c] for o in out] for c in _RUN.names})
+                out = close(int(target[mine[0]]), rows[pick], left[pick], shape[pick], owner[mine], np.stack((which.ravel(), at[mine]), axis=1))
+                yield batch_of(_RUN, {c: [out[c]] for c in _RUN.names})
 
         for batch in slices(batches, "text"):
             for k, text, found in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist()):
-                for f in found:
-                    if f["hot"]:
-                        p = f["place"]
-                        for s in range((p >> 16) - (p & 255), (p >> 16) - ((p >> 8) & 255) + 1):
-                            hot[0].append(hashlib.blake2b(text[s : s + window], digest_size=16).digest())
-                            hot[1].append(k)
-                            hot[2].append(s)
-                found = [f for f in found if not f["hot"]]
-                if not found:
-                    continue
                 buf = np.frombuffer(bytes(reach) + text + bytes(window), np.uint8)
-                place = np.array([f["place"] for f in found], np.int64)
-                at = place >> 16
-                rows = buf[(at + reach)[:, None] + np.arange(window)]
-                left = buf[(at + reach)[:, None] - 1 - np.arange(reach)]
-                shape = np.stack(((place >> 8) & 255, place & 255), axis=1).astype(np.int16)
+                place, gram, hot = (np.array([f[c] for f in found]) for c in ("place", "gram", "hot"))
+                at, low, high = (place >> 16) + reach, (place >> 8) & 255, place & 255
+                if hot.any():
+                    h, c = np.flatnonzero(hot), np.flatnonzero(~hot)
+                    which, lo, hi, keys = _parted(buf, at[h], low[h], high[h], window)
+                    at, low, high, gram = np.concatenate((at[c], at[h][which])), np.concatenate((low[c], lo)), np.concatenate((high[c], hi)), np.concatenate((gram[c], keys))
+                rows = buf[at[:, None] + np.arange(window)]
+                left = buf[at[:, None] - 1 - np.arange(reach)]
+                shape = np.stack((low, high), axis=1).astype(np.int16)
                 # Bytes that no window of this anchor covers do not count.
                 rows = np.where(np.arange(window)[None, :] < window - shape[:, :1], rows, 0)
                 left = np.where(np.arange(reach)[None, :] < shape[:, 1:], left, 0)
-                held.append((rows, left, shape, np.full(len(at), k), np.array([f["gram"] for f in found], np.int64), at))
+                held.append((rows, left, shape, np.full(len(at), np.void(k)), gram, at - reach))
                 n_held += len(at)
-            if n_held >= RUN * 8 or len(hot[0]) >= RUN * 100:
-                yield flush()
-        if n_held or hot[0]:
-            yield flush()
+                if n_held >= SORTED:
+                    yield from flush()
+        if n_held:
+            yield from flush()
 
     return run
 
 
-def repeated_offsets(rows: np.ndarray, agree: np.ndarray, left: np.ndarray, shape: np.ndarray, copies: np.ndarray, window: int) -> np.ndarray:
+def repeated_offsets(agree: np.ndarray, left: np.ndarray, shape: np.ndarray, copies: np.ndarray, window: int) -> np.ndarray:
     """Of sorted right contexts with their agreement, left contexts (backwards)
     and window offsets: for each record and offset, whether its window is
     found again. Classes by left context are split byte by byte."""
@@ -206,20 +207,7 @@ def repeated_offsets(rows: np.ndarray, agree: np.ndarray, left: np.ndarray, shap
 def _merged(window: int):
     reach = window - GRAM
 
-    def salted(runs: list[dict]):
-        raw = np.concatenate([np.frombuffer(r["digests"], np.uint64) for r in runs]).reshape(-1, 2)
-        owner, at = (np.concatenate([np.frombuffer(r[c], np.int64)[: r["n"]] for r in runs]) for c in ("owner", "place"))
-        sure = np.concatenate([np.frombuffer(r["shape"], bool) for r in runs])
-        _, which = np.unique(np.ascontiguousarray(raw).view("V16").ravel(), return_inverse=True)
-        again = np.bincount(which.ravel(), weights=1 + sure)[which.ravel()] > 1
-        known = [[np.frombuffer(r[c], np.int64)[r["n"] :] for r in runs] for c in ("owner", "place")]
-        owner, at = np.concatenate([owner[again], *known[0]]), np.concatenate([at[again], *known[1]])
-        yield batch_of(_SPAN, {"k": owner, "lo": at, "hi": at + window})
-
     def spans(runs: list[dict]):
-        if hot := [r for r in runs if r["digests"] is not None]:
-            yield from salted(hot)
-        runs = [r for r in runs if r["digests"] is None]
         if not runs:
             return
         parts = []
@@ -229,12 +217,12 @@ def _merged(window: int):
         base = np.concatenate(([0], np.cumsum([r["n"] for r in runs])))
         left = np.concatenate([np.frombuffer(r["left"], np.uint8).reshape(-1, reach) for r in runs])
         shape = np.concatenate([np.frombuffer(r["shape"], np.int16).reshape(-1, 2) for r in runs]).astype(np.int64)
-        owner = np.concatenate([np.frombuffer(r["owner"], np.int64) for r in runs])
+        owner = np.concatenate([np.frombuffer(r["owner"], "V16") for r in runs])
         place = np.concatenate([np.frombuffer(r["place"], np.int64).reshape(-1, 2) + [[b, 0]] for r, b in zip(runs, base)])
         copies = np.bincount(place[:, 0], minlength=int(base[-1]))
         order, agree = merged(parts)
         again = np.zeros((len(order), reach + 1), bool)
-        again[order] = repeated_offsets(None, agree, left[order], shape[order], copies[order], window)
+        again[order] = repeated_offsets(agree, left[order], shape[order], copies[order], window)
         # Runs of repeated offsets o..p before an anchor are window starts at-p..at-o.
         edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         rec, begin = np.nonzero(edge == 1)
@@ -244,7 +232,7 @@ def _merged(window: int):
         row = np.repeat(np.arange(len(place)), many)
         which = first[place[row, 0]] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         at = place[row, 1]
-        yield batch_of(_SPAN, {"k": owner[row], "lo": at - stop[which] + 1, "hi": at - begin[which] + window})
+        yield batch_of(_SPAN, {"k": [x.tobytes() for x in owner[row]], "lo": at - stop[which] + 1, "hi": at - begin[which] + window})
 
     def run(batches):
         now, held = None, []
@@ -263,13 +251,17 @@ def spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """k (a row's key) and the list of its intervals of repeated bytes, for
     rows that have any. ``docs``: k, text."""
     texts = docs.select("text")
+    if not GRAM <= window <= 255:
+        raise ValueError(f"A window has from {GRAM} to 255 bytes.")
     counts = texts.mapInArrow(_grams(window), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
     counts = stored(counts, "grams")
-    light = docs.select("k", "text").mapInArrow(_anchored(window), "k bigint, gram bigint, place bigint")
+    light = docs.select("k", "text").mapInArrow(_anchored(window), "k binary, gram bigint, place bigint")
     wanted = light.join(counts, "gram").groupBy("k").agg(F.collect_list(F.struct("gram", "place", (F.col("n") > hot).alias("hot"))).alias("found"))
-    targets = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # As many targets as there are suffixes for; a task merges several, one after the other.
+    targets = max(12, int(counts.agg(F.sum("n")).first()[0] or 0) // TARGET)
     runs = packed(docs.select("k", "text")).join(wanted, "k").select("k", "text", "found").mapInArrow(_runs(window, targets), RUNS)
-    found = runs.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(_merged(window), "k bigint, lo bigint, hi bigint")
+    parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), targets // 16)
+    found = runs.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(_merged(window), "k binary, lo bigint, hi bigint")
     return found.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -307,7 +299,7 @@ def _cut(batches):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with a key of doc_id and text, and one row for all equal ones' sake."""
-    return docs.withColumn("_k", row_key(F.coalesce("text", F.lit("")), F.col("doc_id")))
+    return docs.withColumn("_k", long_row_key(F.coalesce("text", F.lit("")), F.col("doc_id")))
 
 
 def _with_spans(docs: DataFrame, window: int, hot: int) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,8 +58,25 @@ def test_against_brute_force(spark):
         check(spark, tangled(seed), 60)
 
 
-def test_salted_grams(spark):
+def test_frequent_grams_are_merged_too(spark):
     check(spark, tangled(3), 60, hot=1)
+    check(spark, tangled(5, 25), 200, hot=2)
+
+
+def test_windows_out_of_range(spark):
+    for window in (31, 256):
+        with pytest.raises(ValueError):
+            suffix_dedup.removed(rows(spark, ["x"]), window)
+
+
+def test_long_text_and_repeated_rows(spark):
+    random.seed(9)
+    long = "".join(random.choice("abcdefgh ") for _ in range(600_000))
+    texts = [long, "short " + long[300_000:300_400], long[:100]]
+    check(spark, texts, 200)
+    same = spark.createDataFrame([(None, long[:900]), (None, long[:900]), (4, None), (4, None)], "doc_id bigint, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removed(same).collect())
+    assert got == [(0, 0, 0), (0, 0, 0), (900, 900, 1), (900, 900, 1)]
 
 
 def test_documents(spark):
