@@ -40,6 +40,8 @@ BASES = (911382323, 972663749)
 MARKS = 32
 #: Code points hashed in one go, and documents in a bucket of the order, on average.
 PIECE, BUCKET_DOCS = 1 << 16, 4000
+#: Buckets at most: their bounds are in the plan. Beyond them buckets grow; a task reads one in order and holds two texts.
+BUCKETS = 20_000
 #: Code points of the least span that two texts can share.
 SPAN = 16
 
@@ -284,7 +286,7 @@ def fingerprinted(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     place = F.coalesce("doc_id", F.lit(-(1 << 63)))
     ids = docs.select(place.alias("place"))
     n = ids.count()
-    wanted = max(1, n // bucket_docs)
+    wanted = min(max(1, n // bucket_docs), BUCKETS)
     cuts = [i / wanted for i in range(1, wanted)]
     found = ids.agg(F.percentile_approx("place", cuts, max(10_000, 4 * wanted)).alias("s")).first()["s"] if cuts and n else []
     splits = np.array(sorted(set(found or [])), np.int64)

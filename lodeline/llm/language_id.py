@@ -13,7 +13,8 @@ A document is rejected if it has no letters, or no language reaches
 
 Defined results: a null or empty text, or one without letters, has no language
 (null), confidence 0 and is rejected; missing host, suffix or declaration add
-nothing; equal rows are judged alike. An empty table gives none. Further columns
+nothing; equal rows are judged alike; of equally probable languages the first by
+name is taken. A very long text counts whole. An empty table gives none. Further columns
 are ignored, except by ``accepted``, which returns them.
 """
 
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import batch_of, documents, row_key, slices, stored
 
 BUCKETS = 1 << 15
-TRAIN_ROWS, MAX_LANGUAGES = 4000, 64
-#: Trigrams beyond which more text adds little evidence; weight of the parent in a prior; least posterior.
+TRAIN_ROWS = 4000
+#: Neighbouring trigrams say much the same, so n of them weigh as ENOUGH * n / (ENOUGH + n) independent ones; weight of the parent in a prior; least posterior.
 ENOUGH, PRIOR_ROWS, MIN_POSTERIOR = 60, 20, 0.5
 
-#: Rows of evidence (a host, a suffix, a declaration) up to which a counted table is broadcast, 64 languages at most in each.
-BROADCAST_ROWS = 20_000
+#: Numbers (a host, suffix or declaration times the languages) up to which a counted table of evidence is broadcast.
+BROADCAST_NUMBERS = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -77,8 +78,12 @@ def _counts(languages: list[str]):
 
 
 class Model:
-    def __init__(self, languages: list[str], table: np.ndarray):
+    def __init__(self, languages: list[str], table: np.ndarray, last: int | None = None):
         self.languages, self.table = languages, table  # log probabilities, language by bucket
+        self.last = last  # the greatest id hash of the rows that the table was fitted on
+
+    def fitted_on(self, doc_id: Column) -> Column:
+        return F.lit(False) if self.last is None else F.xxhash64(doc_id) <= F.lit(self.last)
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -87,14 +92,14 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     order = F.xxhash64("doc_id")
     chosen = known.select(order.alias("h"), "language").orderBy("h").limit(rows)
     found = chosen.agg(F.max("h").alias("most"), F.collect_set("language").alias("l")).first()
-    languages = sorted(found["l"] or [])[:MAX_LANGUAGES]
+    languages = sorted(found["l"] or [])  # all of the sample, which bounds their number
     table = np.zeros((len(languages), BUCKETS))
     if languages:
         sample = known.filter((order <= F.lit(found["most"])) & F.col("language").isin(languages)).select("text", "language")
         for r in sample.mapInArrow(_counts(languages), "language int, bucket int, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n")).collect():
             table[r.language, r.bucket] = r.n
     table += 0.1
-    return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+    return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32), found["most"])
 
 
 def _scored(table: np.ndarray):
@@ -128,12 +133,12 @@ def _tally(languages: list[str]) -> Column:
 
 
 
-def _counted(evidence: DataFrame, label: str) -> DataFrame:
+def _counted(evidence: DataFrame, label: str, languages: int) -> DataFrame:
     """Stored and, if counted to be small, marked for broadcast: then a host
     with very many documents is no hot group. A larger one is joined by its
     key, and Spark splits skewed partitions of such joins."""
     evidence = stored(evidence, label)
-    return F.broadcast(evidence) if evidence.count() <= BROADCAST_ROWS else evidence
+    return F.broadcast(evidence) if evidence.count() * languages <= BROADCAST_NUMBERS else evidence
 
 
 def identified(rows: DataFrame, model: Model, prior_rows: float = PRIOR_ROWS, least: float = MIN_POSTERIOR) -> DataFrame:
@@ -167,7 +172,7 @@ def identified(rows: DataFrame, model: Model, prior_rows: float = PRIOR_ROWS, le
     )
     joined = scored
     for c, evidence in (("host", hosts), ("suffix", signal("suffix")), ("declared", signal("declared"))):
-        joined = joined.join(_counted(evidence, f"language-{c}"), c, "left")
+        joined = joined.join(_counted(evidence, f"language-{c}", len(languages)), c, "left")
     zero = F.array(*[F.lit(0.0)] * len(languages))
     total = F.zip_with("ll", F.transform(F.coalesce("host_prior", flat), lambda p: F.log(p)), lambda a, b: a + b)
     for c in ("suffix_log", "declared_log"):
@@ -184,10 +189,13 @@ def identified(rows: DataFrame, model: Model, prior_rows: float = PRIOR_ROWS, le
     )
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
-    """The evidence in documents: source stands for the host, lang for the declaration."""
+def of_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The evidence in documents: source stands for the host, lang for the
+    declaration. A row whose lang was the table's label declares nothing, so
+    that a label does not count twice."""
     nothing = F.lit(None).cast("string")
-    return docs.select("doc_id", "text", F.col("source").alias("host"), nothing.alias("suffix"), F.col("lang").alias("declared"))
+    declared = F.when(~model.fitted_on(F.col("doc_id")), F.col("lang"))
+    return docs.select("doc_id", "text", F.col("source").alias("host"), nothing.alias("suffix"), declared.alias("declared"))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
@@ -201,14 +209,15 @@ def of_pages(pages: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents whose language is told, with the language found in ``lang``."""
     model = model or fit(docs.select("doc_id", "text", F.col("lang").alias("language")))
-    found = identified(of_documents(docs), model).filter("kept").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), F.col("lang").alias("_lang")).dropDuplicates(["_id", "_rk"])
+    found = identified(of_documents(docs, model), model).filter("kept").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), F.col("lang").alias("_lang")).dropDuplicates(["_id", "_rk"])
     joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (row_key(docs["text"]) == F.col("_rk")))
     return joined.select(*[F.col("_lang").alias("lang") if c == "lang" else docs[c] for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return identified(of_documents(docs), fit(docs.select("doc_id", "text", F.col("lang").alias("language")))).drop("rk")
+    model = fit(docs.select("doc_id", "text", F.col("lang").alias("language")))
+    return identified(of_documents(docs, model), model).drop("rk")
 
 
 def pages_query(spark, sf_dir: str) -> DataFrame:

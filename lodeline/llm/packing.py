@@ -30,6 +30,8 @@ LENGTH = 2048
 END_ID = 1
 #: Documents in a group, on average.
 GROUP_DOCS = 1000
+#: Groups of a task at most, on average.
+TASK_GROUPS = 8
 
 
 class Rooms:
@@ -163,7 +165,7 @@ def packed(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
     groups = max(1, docs.select(F.lit(1)).count() // group_docs)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.pmod(row_key(text, F.coalesce("doc_id", F.lit(-1))), F.lit(groups)).alias("group"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups, 12))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups, 12), groups // TASK_GROUPS)
     # Sorted within a task, so that a task that is run again packs alike.
     dealt = rows.repartition(n, "group").sortWithinPartitions("group", "doc_id", F.xxhash64("text"))
     return dealt.mapInArrow(_packed(tokenizer_path, length, end_id), PIECE)

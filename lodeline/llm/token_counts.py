@@ -106,7 +106,8 @@ def counted(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, chunk_char
     left, done = huge.dropDuplicates(["doc_id", "rk"]), []
     while longest:
         cut = left.select("doc_id", "rk", "text").mapInArrow(_cut(chunk_chars, overlap), "doc_id bigint, rk bigint, chunk bigint, lo bigint, last boolean, text string")
-        found = cut.repartition("rk", "chunk").mapInArrow(_ends(tokenizer_path, overlap), ENDS)
+        parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        found = cut.repartition(parts, "rk", "chunk").mapInArrow(_ends(tokenizer_path, overlap), ENDS)
         result = stored(spliced(found), "token-counts")
         done.append(result.filter("n_tokens IS NOT NULL"))
         failed = result.filter("n_tokens IS NULL").select("doc_id", "rk")

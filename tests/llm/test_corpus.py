@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -266,7 +267,7 @@ def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, test = docs.filter("doc_id % 4 <> 0"), docs.filter("doc_id % 4 = 0")
     model = language_id.fit(train.select("doc_id", "text", F.col("lang").alias("language")), rows=300)
-    bare = language_id.of_documents(test).withColumn("declared", F.lit(None).cast("string")).withColumn("host", F.lit(None).cast("string"))
+    bare = language_id.of_documents(test, model).withColumn("declared", F.lit(None).cast("string")).withColumn("host", F.lit(None).cast("string"))
     got = language_id.identified(bare, model).join(test.select("doc_id", F.col("lang").alias("true")), "doc_id").collect()
     assert sum(r.lang == r.true for r in got) >= 0.97 * len(got)
 
@@ -288,8 +289,76 @@ def test_language_evidence(spark):
     assert pages.filter("kept").count() > 45
 
 
+def slow_language(rows_, model):
+    """The fused posterior of each row, in plain Python."""
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    low = lambda b: b + 32 if 65 <= b <= 90 else b
+    many, told = len(model.languages), []
+    for r in rows_:
+        raw = b" " + (r.text or "").encode() + b" "
+        grams = [(((low(raw[i - 1]) << 16 | low(raw[i]) << 8 | low(raw[i + 1])) * 2654435761) % 2**32) >> 17 for i in range(1, len(raw) - 1) if letter(raw[i])]
+        n = len(grams)
+        told.append((r, n, [sum(float(model.table[k, g]) for g in grams) * 60 / (60 + n) for k in range(many)]))
+    best = [max(range(many), key=lambda k: (ll[k], -k)) if n else None for _, n, ll in told]
+    overall = [1.0 + sum(b == k for b in best) for k in range(many)]
+    flat = [x / sum(overall) for x in overall]
+
+    def tally(key, value):
+        return [sum(b == k and key(r) == value for (r, _, _), b in zip(told, best)) for k in range(many)]
+
+    parent = lambda r: r.host and ".".join(r.host.split(".")[-2:])
+    share = lambda w: [x / sum(w) for x in w]
+    out = {}
+    for (r, n, ll), b in zip(told, best):
+        prior = flat
+        if r.host is not None and any(tally(lambda x: x.host, r.host)):
+            above = share([c + 20 * p for c, p in zip(tally(parent, parent(r)), flat)])
+            prior = share([c + 20 * p for c, p in zip(tally(lambda x: x.host, r.host), above)])
+        total = [x + math.log(p) for x, p in zip(ll, prior)]
+        for key in ("suffix", "declared"):
+            value = getattr(r, key)
+            if value is not None and any(found := tally(lambda x: getattr(x, key), value)):  # noqa: B023
+                total = [x + math.log((c + 0.5) / (t + 1.0)) for x, c, t in zip(total, found, overall)]
+        most = max(total)
+        out[r.doc_id] = (model.languages[total.index(most)], 1 / sum(math.exp(x - most) for x in total)) if n else (None, 0.0)
+    return out
+
+
+def test_language_fusion_against_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs.select("doc_id", "text", F.col("lang").alias("language")), rows=60)
+    pages = language_id.of_pages(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    odd = spark.createDataFrame([(900, "xq zz", "a.b.site.org", "org", "de"), (901, "xq zz", "a.b.site.org", "org", "de"), (902, None, "a.b.site.org", None, None), (903, "la la", None, None, "unheard"), (904, "La casa y la mesa. " * 3000, "c.b.site.org", None, None)], pages.schema)
+    rows_ = pages.unionByName(odd)
+    got = {r.doc_id: r for r in language_id.identified(rows_.withColumn("top", F.lit("x")).withColumn("n", F.lit(1)), model).collect()}
+    want = slow_language(rows_.collect(), model)
+    assert len({r.host for r in rows_.collect()}) > 3 and len(got) == len(want)
+    for i, (lang, confidence) in want.items():
+        assert got[i].lang == lang and abs(got[i].confidence - confidence) < 1e-3, i
+
+
+def test_language_label_is_no_declaration(spark):
+    docs = spark.read.parquet(DOCUMENTS)
+    model = language_id.fit(docs.select("doc_id", "text", F.col("lang").alias("language")), rows=50)
+    evidence = language_id.of_documents(docs, model)
+    assert evidence.filter("declared IS NULL").count() == 50 and evidence.filter("declared IS NOT NULL").count() == docs.count() - 50
+    many = [(i, f"text number {i} of {i}", f"l{i:03}") for i in range(90)]
+    assert len(language_id.fit(spark.createDataFrame(many, "doc_id bigint, text string, language string")).languages) == 90
+
+
 # ---- pipeline ---------------------------------------------------------------
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    text = lambda k: " ".join(f"the{k}w{i}" for i in range(70)) + "."
+    data = [(1, text("a")), (1, text("a")), (None, text("b")), (2, text("c")), (3, None), (4, ""), (1, text("d") + " And a few more.")]
+    for name, made in (("odd", data), ("empty", [])):
+        df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in made], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        clashing(df).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (sorted({r.doc_id for r in got}, key=str) == [1, 2, None]) if made else not got
+    assert len({(r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect() if r.doc_id == 1}) == 2
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     many = [t for t in texts() if t][:90] + copies(7)[:20] + [None, "", "12345 678"]
     passage = "This sentence is long enough to count as a passage that is repeated across documents, word for word, without any change at all, so that every byte of it has to go from each of the texts that hold it, here and there. "

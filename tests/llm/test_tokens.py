@@ -151,3 +151,20 @@ def test_packing_query(spark):
             at += r.length
         assert at <= 2048
     assert packing.packed(rows(spark, []), BYTE).count() == 0
+
+
+def test_null_ids_and_long_texts(spark):
+    long = "word, and more words. " * 40_000 + "x" * 3000
+    data = spark.createDataFrame([(None, "twin"), (None, "twin"), (None, None), (5, long)], "doc_id bigint, text string")
+    sizes = sorted(len(ids(BYTE, t)) for t in ("twin", "twin", "", long))
+    assert sorted(r.n_tokens for r in token_counts.counted(data, BYTE).collect()) == sizes
+    assert sorted(r.n_tokens for r in pair_bpe.round_trip(data, BYTE).collect()) == sizes
+    pieces = packing.packed(data, BYTE).collect()
+    assert sum(r.length for r in pieces) == sum(sizes) + 4
+
+
+def test_store_with_null_ids(spark, tmp_path):
+    data = spark.createDataFrame([(None, "b a"), (3, "c"), (None, None)], "doc_id bigint, text string")
+    token_store.write(data, f"{tmp_path}/s", WORD)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_store.read_documents(spark, f"{tmp_path}/s").collect())
+    assert [r[1] for r in got] == [None, None, 3] and got[2][0] == got[0][2] + got[1][2]
