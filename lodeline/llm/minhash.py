@@ -9,9 +9,11 @@ sets, and connected.
 
 A star tests its centre only. So that no link between two others of a bucket is
 lost, buckets whose members are not all in one component are gone through
-again, in blocks of bounded size. Only digests, sizes and sketches go through the
-blocks; pairs of different components that pass the same filters leave them, and
-only for these the full sets are fetched and compared.
+again, in blocks of bounded size: pairs of different components, each in the
+first bucket that it shares, pass the same filters. Sets too small for the sketch
+go through the blocks with their members, a few kB each, and are compared there;
+of larger ones only the sketch does, and for the few pairs that it leaves the full
+sets are fetched. So what leaves a block are links, or pairs that very likely are.
 
 A pair at exactly the threshold shares no bucket with probability
 (1 - s**4)**32, 5e-8 at 0.8; the sketch rules it out with about 1e-6 where both
@@ -120,15 +122,20 @@ def plausible(a1, a2, an, b1, b2, bn, percent: int):
     return (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & ((F.least(an, bn) < SKETCH_LEAST) | (apart <= SKETCH_DIFFERS))
 
 
+_FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sure", pa.bool_())])
+
+
 def _in_blocks(percent: int):
-    """Pairs of different components that may be linked, inside blocks of mixed
-    buckets; rows (key, i, j, side, id, comp, n, s1, s2) come sorted by (key, i, j)."""
+    """Links between components, and pairs of large sets that may be some, inside
+    blocks of mixed buckets; rows (key, i, j, side, id, comp, n, s1, s2, bands,
+    band, shingles) come sorted by (key, i, j)."""
 
     def pairs(rows: list[tuple]):
         _, i, j = rows[0][:3]
         side, n, s1, s2 = (np.array([r[k] for r in rows], np.int64) for k in (3, 6, 7, 8))
-        ids = [r[4] for r in rows]
+        ids, band = [r[4] for r in rows], rows[0][10]
         comp = np.unique(np.array([r[5] for r in rows], "V16"), return_inverse=True)[1].ravel()
+        bands = np.array([r[9] for r in rows], np.int64)
         out = []
         for x in np.flatnonzero(side == i).tolist():
             other = (side == j) & (comp != comp[x])
@@ -136,10 +143,24 @@ def _in_blocks(percent: int):
                 other[: x + 1] = False
             ys = np.flatnonzero(other)
             ys = ys[100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])]
+            small = np.minimum(n[ys], n[x]) < SKETCH_LEAST
             apart = np.bitwise_count((s1[ys] ^ s1[x]).view(np.uint64)) + np.bitwise_count((s2[ys] ^ s2[x]).view(np.uint64))
-            ys = ys[(np.minimum(n[ys], n[x]) < SKETCH_LEAST) | (apart <= SKETCH_DIFFERS)]
-            out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in ys.tolist()]
-        return batch_of(_PAIR, {"a": [a for a, _ in out], "b": [b for _, b in out]})
+            keep = small | (apart <= SKETCH_DIFFERS)
+            ys, small = ys[keep], small[keep]
+            if not len(ys):
+                continue
+            first = (bands[ys] == bands[x]).argmax(axis=1) == band  # the first band they share
+            ys, small = ys[first], small[first]
+            found = [(y, False) for y in ys[~small].tolist()]
+            ys = ys[small]
+            if len(ys):
+                mine = np.frombuffer(rows[x][11], np.uint64)
+                joined, sizes = np.frombuffer(b"".join([rows[y][11] for y in ys.tolist()]), np.uint64), n[ys]
+                hit = mine[np.minimum(np.searchsorted(mine, joined), len(mine) - 1)] == joined
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+                found += [(y, True) for y in ys[100 * both >= percent * (len(mine) + sizes - both)].tolist()]
+            out += [(min(ids[x], ids[y]), max(ids[x], ids[y]), sure) for y, sure in found]
+        return batch_of(_FOUND, {c: [p[k] for p in out] for k, c in enumerate(_FOUND.names)})
 
     def run(batches):
         now, held = None, []
@@ -183,18 +204,25 @@ def _labelled(docs: DataFrame, words: int, percent: int, band_rows: int, block:
     found = components(links)
     # Buckets whose members are not all in one component.
     placed = stored(reps.join(found, "id", "left").select("id", "n", "s1", "s2", "bands", F.coalesce("component", "id").alias("comp")), "placed")
-    by_band = placed.select("id", "comp", "n", "s1", "s2", F.posexplode("bands").alias("band", "value")).withColumn("key", F.xxhash64("band", "value"))
+    by_band = placed.select("id", "comp", F.posexplode("bands").alias("band", "value")).withColumn("key", F.xxhash64("band", "value"))
     mixed = by_band.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
     members = by_band.join(stored(mixed, "mixed-buckets"), "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     # Deal a bucket's members to blocks, and blocks to pairs of blocks.
     members = members.withColumn("side", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = members.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "comp", "n", "s1", "s2")
+    members = stored(members.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "band"), "members")
+    # Any set that the sketch does not judge with one of its partners.
+    small = placed.filter(F.col("n") * percent < 100 * SKETCH_LEAST).select("id")
+    sets = _sets_of(docs, named, stored(members.select("id").distinct().join(small, "id", "left_semi"), "small-ids"), words)
+    rows = members.join(placed, "id").join(sets, "id", "left").select("key", "i", "j", "side", "id", "comp", "n", "s1", "s2", "bands", "band", "shingles")
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    more = stored(dealt.mapInArrow(_in_blocks(percent), "a binary, b binary").distinct(), "more-candidates")
+    more = stored(dealt.mapInArrow(_in_blocks(percent), "a binary, b binary, sure boolean"), "more")
     if not more.isEmpty():
-        more = _linked(docs, named, more, words, percent, "more")
+        likely = stored(more.filter("NOT sure").select("a", "b").distinct(), "more-candidates")
+        more = more.filter("sure").select("a", "b")
+        if not likely.isEmpty():
+            more = stored(more.unionByName(_linked(docs, named, likely, words, percent, "more")), "more-links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
     grouped_ = reps.select("id", "at.doc_id").join(found, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))

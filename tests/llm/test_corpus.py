@@ -140,16 +140,17 @@ def test_minhash_links_short_copies_at_the_threshold(spark):
 
 
 def test_minhash_sketch_rules_out_large_sets_only(spark):
-    def candidates(n):
-        members = [(1, 0, 0, 0, bytes(15) + bytes([i]), bytes(15) + bytes([i]), size, bits, bits) for i, size, bits in ((1, n, 0), (2, n * 4 // 5, -1))]
+    def found(n, bits):
+        sets = [np.arange(n, dtype=np.uint64), np.arange(n * 4 // 5, dtype=np.uint64)]
+        members = [(1, 0, 0, 0, bytes(15) + bytes([i]), bytes(15) + bytes([i]), len(x), b, b, [7], 0, x.tobytes()) for i, x, b in zip((1, 2), sets, (0, bits))]
         columns = [pa.array(list(c)) for c in zip(*members)]
         batch = pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
-        found = [p for b in minhash._in_blocks(80)(iter([batch])) for p in b.to_pylist()]
-        near = spark.range(1).select(minhash.plausible(*map(F.lit, (0, 0, n, -1, -1, n * 4 // 5)), 80).alias("near")).first().near
-        return len(found), near
+        near = spark.range(1).select(minhash.plausible(*map(F.lit, (0, 0, n, bits, bits, n * 4 // 5)), 80).alias("near")).first().near
+        return [p["sure"] for b in minhash._in_blocks(80)(iter([batch])) for p in b.to_pylist()], near
 
-    assert candidates(30) == (1, True)
-    assert candidates(5 * minhash.SKETCH_LEAST) == (0, False)
+    assert found(30, -1) == ([True], True)
+    assert found(5 * minhash.SKETCH_LEAST, -1) == ([], False)
+    assert found(5 * minhash.SKETCH_LEAST, 1) == ([False], True)  # its full sets are still to be compared
 
 
 def test_minhash_finds_every_link_of_a_table(spark):
