@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read again as the next stage's documents. All stages but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, and further ones if there are any.
+
+Defined results: a row with a null or empty text, or one without letters, is
+rejected by the first stage. A row with a null doc_id passes like others and is
+linked with no other row. Of equal rows one stays; rows with one doc_id and
+different texts are documents of their own. Ties are settled as each operator's
+module says. An empty table gives no pieces. Very long texts are worked on whole.
+Further columns, whatever their names, are carried along up to packing.
 """
 
 from __future__ import annotations
