@@ -141,7 +141,7 @@ class Library:
     @property
     def documents(self) -> DataFrame:
         found = self._live("documents", "id").drop("gone")
-        return found.dropDuplicates(["id"]).select(*[c for c in self._columns("documents") if c not in ("gone", "batch")])
+        return found.select(*[c for c in self._columns("documents") if c not in ("gone", "batch")])
 
     @property
     def passages(self) -> DataFrame:
