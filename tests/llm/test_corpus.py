@@ -262,6 +262,15 @@ def test_likeness_of_spans_goes_on_after_mismatches(spark):
             assert abs(r.shared_next - brute_shared(t, nxt)) < 1e-12, i
 
 
+def test_fingerprints_of_null_ids_and_long_texts(spark):
+    data = [(None, "first"), (None, "second one"), (None, "second one"), (9, "z" * 300_000), (9, "w" * 200_000), (4, None)]
+    got = fingerprints.fingerprinted(spark.createDataFrame(data, "doc_id bigint, text string"), bucket_docs=2).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(i), len(t or "")) for i, t in data)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    same = {r.fingerprint for r in got if r.n_chars == 10}
+    assert len(same) == 1
+
+
 # ---- language ---------------------------------------------------------------
 
 def test_language_held_out_accuracy(spark):
