@@ -59,9 +59,9 @@ def word_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, WORD_GAP, ""))
 
 
-def may_hold_boilerplate(text: Column) -> Column:
-    """False only where no line of the text has a boilerplate phrase."""
-    low, out = F.lower(text), F.lit(False)
+def may_hold_boilerplate(low: Column) -> Column:
+    """Of a text in lower case: false only where no line has a boilerplate phrase."""
+    out = F.lit(False)
     for start in BOILERPLATE_STARTS:
         out = out | F.contains(low, F.lit(start))
     return out
@@ -109,10 +109,11 @@ def judged(docs: DataFrame) -> DataFrame:
         F.zip_with("_at", _tail(F.col("_at"), 1), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))),
         F.lit(0).cast("long"), lambda total, n: total + n,
     )
-    fails = lambda x: (lambda f: f["punctuation"] | f["navigation"] | f["boilerplate"])(line_fails(x, F.col("_suspect")))
-    # Every line is judged once; what is used twice below is not written out twice.
-    df = df.withColumn("_suspect", may_hold_boilerplate(F.col("text")))
-    df = df.withColumn("_judged", F.transform("_lines", lambda x: F.struct(x.alias("line"), fails(x).alias("bad"))))
+    fails = lambda x, suspect: (lambda f: f["punctuation"] | f["navigation"] | f["boilerplate"])(line_fails(x, suspect))
+    # Every line is judged once. Zipped, so that the text is not searched anew for each line.
+    df = df.withColumn("_low", F.lower("text"))
+    suspect = F.array_repeat(may_hold_boilerplate(F.col("_low")), F.size("_lines"))
+    df = df.withColumn("_judged", F.zip_with("_lines", suspect, lambda x, s: F.struct(x.alias("line"), fails(x, s).alias("bad"))))
     lines = lambda bad: F.transform(F.filter("_judged", lambda j: j["bad"] == bad), lambda j: j["line"])
     df = df.select(
         "doc_id", "text",
