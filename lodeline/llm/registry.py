@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, maxent_lm, minhash, packing, pair_bpe, quality_rules, suffix_dedup, token_counts, token_store
+from . import fingerprints, language_id, maxent_lm, minhash, packing, pair_bpe, quality_rules, resampling, secret_scan, spelling, suffix_dedup, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.query,
         "op9_minhash": minhash.query,
         "op10_fingerprints": fingerprints.query,
+        "op11_spelling": spelling.query,
+        "op12_secret_scan": secret_scan.query,
+        "op13_resampling": resampling.query,
         "language_id_pages": language_id.pages_query,
     }
 
@@ -28,4 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_spelling": spelling.ORACLE_SQL,
+        "op12_secret_scan": secret_scan.ORACLE_SQL,
+        "op13_resampling": resampling.ORACLE_SQL,
     }
