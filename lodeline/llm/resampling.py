@@ -242,7 +242,7 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, seed:
     # One row for each range: what comes before it.
     sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
     before, so_far = [], 0
-    for i in range(tasks):
+    for i in range(max(sizes, default=0) + 1):  # Spark may have made more than asked for
         before.append(so_far)
         so_far += sizes.get(i, 0)
     offset = F.element_at(F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>"), F.col("range") + 1)
