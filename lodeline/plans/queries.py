@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import chunking, citations, library, retrieval
+from ..operators import chunking, citations, index, library, retrieval
 from ..operators.staging import stored
 from ..sources import files
 
@@ -323,7 +323,7 @@ def knn_topk(spark, sf_dir):
 # ---- search -----------------------------------------------------------------
 
 def _index(spark, sf_dir) -> DataFrame:
-    return stored(retrieval.indexed(whole(spark, sf_dir).select(F.col("id").alias("chunk_id"), "text", "heading")), "index")
+    return stored(index.indexed(whole(spark, sf_dir).select(F.col("id").alias("chunk_id"), "text", "heading")), "index", **index.WRITING)
 
 
 @query(f"WITH {_BM25_CTE} SELECT question_id, chunk_id, score, rank FROM kw")
