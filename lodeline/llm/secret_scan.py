@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stored
 
 #: The patterns of the kinds. Equal runs of fewer characters never count, so the last two have their least lengths inside.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -81,17 +81,33 @@ def pairs(strings: DataFrame) -> DataFrame:
     return chars.filter(F.size("c") > 0).select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """The texts of the ``sample`` different documents with the least hashes. Only
+    hashes below a bound that few can reach are compared, so no task meets more of
+    them as the table grows, and copies are one."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashed = docs.select(text.alias("text"), F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text), 256).alias("h"))
+    n, many = docs.count(), 4 * sample
+    while True:
+        top = F.lit("g" if many >= n else f"{int(many / n * 16**15):015x}")  # "g" comes after all digits
+        few = stored(hashed.filter(F.col("h") < top).select("h").distinct(), "least-hashes")
+        if many >= n or few.count() >= sample:
+            break
+        many *= 16  # most rows are copies
+    last = few.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    return hashed.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text")).select("text")
+
+
 def samples(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
     """Strings (s) labelled as random, of all documents, and as identifiers, of
-    the ``sample`` documents whose ids have the least hashes."""
+    the ``sample`` different documents with the least hashes of id and text."""
     matched = found(docs)
     long = F.filter("_value", lambda v: F.length(v) >= LEAST_VALUE)
     known = matched.select(F.explode(F.concat(long, "_access", "_hex")).alias("s")).select(F.regexp_replace("s", rf"[^{TOKEN}]+", "").alias("s"))
-    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256), "doc_id", "text").limit(sample)
     rest = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
-    return known, some.select(F.explode(F.regexp_extract_all(rest, F.lit(run(LEAST_IDENTIFIER)), F.lit(0))).alias("s"))
+    return known, sampled(docs, sample).select(F.explode(F.regexp_extract_all(rest, F.lit(run(LEAST_IDENTIFIER)), F.lit(0))).alias("s"))
 
 
 def ratios(random: DataFrame, ordinary: DataFrame) -> list[int]:
@@ -183,7 +199,7 @@ ORACLE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(t
 {', '.join(_FOUND(i, p) for i, p in enumerate((ASSIGN, ACCESS, HEX, _RUN(LEAST_RUN))))},
 base AS (SELECT r, kind, start, start + length(m) AS stop, v FROM assign_s WHERE length(v) >= {LEAST_VALUE} UNION ALL SELECT r, kind, start, start + length(m), m FROM access_s UNION ALL SELECT r, kind, start, start + length(m), m FROM hex_s),
 x AS (SELECT regexp_replace(v, '[^{TOKEN}]+', '', 'g') AS s FROM base),
-few AS (SELECT text FROM d ORDER BY sha256(coalesce(doc_id::VARCHAR, '')), doc_id, text LIMIT {SAMPLE}),
+few AS (SELECT text FROM (SELECT DISTINCT doc_id, text FROM d) ORDER BY sha256(coalesce(doc_id::VARCHAR, '') || ':' || text) LIMIT {SAMPLE}),
 y AS (SELECT unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, {_q(ASSIGN)}, ' ', 'g'), '{ACCESS}', ' ', 'g'), '{HEX}', ' ', 'g'), '{_RUN(LEAST_IDENTIFIER)}')) AS s FROM few),
 {_PAIRS('x', 'x')}, {_PAIRS('y', 'y')},
 al AS (SELECT unnest(string_split('{ALPHABET}', '')) AS b), grid AS (SELECT a, b FROM (SELECT b AS a FROM al UNION ALL SELECT '^') CROSS JOIN al),

@@ -116,7 +116,7 @@ def brute_spans(t, table):
 def brute_table(docs):
     """From (doc_id, text)."""
     strings = [x for _, t in docs for s, k, e in brute_base(t) for x in [re.sub("[^A-Za-z0-9+/_=-]+", "", KEY.search(t, s)[1] if k == 0 else t[s:e])]]
-    some = sorted(docs, key=lambda d: (hashlib.sha256(str("" if d[0] is None else d[0]).encode()).hexdigest(), d[0] or 0, d[1] or ""))[: secret_scan.SAMPLE]
+    some = sorted({(d[0], d[1] or "") for d in docs}, key=lambda d: hashlib.sha256(f"{'' if d[0] is None else d[0]}:{d[1]}".encode()).hexdigest())[: secret_scan.SAMPLE]
     rest = [re.sub("[0-9a-f]{16,}", " ", re.sub("AKIA[A-Z0-9]{14,}", " ", KEY.sub(" ", t or ""))) for _, t in some]
     names = [x for t in rest for x in re.findall("[A-Za-z0-9+/_=-]{4,}", t)]
     x, y = (Counter(p for s in many for p in zip("^" + s, s)) for many in (strings, names))
@@ -169,6 +169,14 @@ def test_chains_tell_held_out_secrets_from_identifiers(spark):
     assert sum(score(s) >= secret_scan.NEEDED for s in plain) <= 0.01 * len(plain)
 
 
+def test_the_sample_is_of_different_documents(spark):
+    docs = rows(spark, [f"text {i}" for i in range(400)] + [None, ""]).union(rows(spark, ["copy"]).crossJoin(spark.range(5000)).drop("id"))
+    every = {(r.doc_id, r.text or "") for r in docs.collect()}
+    least = sorted(every, key=lambda d: hashlib.sha256(f"{'' if d[0] is None else d[0]}:{d[1]}".encode()).hexdigest())
+    for n in (1, 7, 300, 9999):
+        assert sorted(r.text for r in secret_scan.sampled(docs, n).collect()) == sorted(t for _, t in least[:n])
+
+
 def test_running_values(spark):
     for n in (0, 1, 2, 3, 7, 8, 9, 1000):
         a = [random.randrange(-50, 50) for _ in range(n)]
