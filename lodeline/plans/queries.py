@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import chunking, citations, index, library, retrieval
+from ..operators import chunking, citations, index, library, quotes, retrieval
 from ..operators.staging import stored
 from ..sources import files
 
@@ -227,16 +227,8 @@ _QA = lambda x: f"""CASE WHEN length({x}.nq) < 8 THEN false WHEN contains({x}.nt
 @query(f"""WITH a AS (SELECT item_id, doc_id, {_n('b.text')} AS nq, {_n('d.text')} AS nt FROM benchmark b, documents d)
 SELECT item_id, doc_id, contains(nt, nq) AS whole FROM a WHERE {_QA('a')}""")
 def quote_verify(spark, sf_dir):
-    """Every benchmark item that appears in a document. The items, a stated and
-    counted set, go to every document as one array; no pair is made a row
-    before it is found."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    asked = items.agg(F.collect_list(F.struct("item_id", T.quote_parts(F.col("quote")).alias("q"))).alias("items"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("t"))
-    docs = stored(docs, "normal-texts").join(F.broadcast(asked))
-    found = F.filter("items", lambda i: T.parts_appear(i["q"], F.col("t")))
-    out = docs.select("doc_id", "t", F.explode(found).alias("i"))
-    return out.select("i.item_id", "doc_id", F.contains("t", F.col("i.q.quote")).alias("whole"))
+    """Every benchmark item that appears in a document."""
+    return quotes.appearing(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 1 + doc_id % 60 END AS pages FROM documents)
