@@ -72,16 +72,25 @@ def _raw(column: pa.Array) -> list[bytes]:
 _PACK = pa.Codec("zstd", compression_level=1)
 
 
+def _squeezed(x: bytes) -> bytes:
+    """The size, then the bytes compressed."""
+    return len(x).to_bytes(8, "little") + _PACK.compress(x, asbytes=True)
+
+
+def _whole(x: bytes) -> bytes:
+    return _PACK.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)
+
+
 def _pack(batches):
-    """Texts compressed one by one, as they are shuffled twice: a text's size, then its bytes."""
+    """Texts compressed one by one, as they are shuffled twice."""
     for batch in batches:
         i = batch.schema.get_field_index("text")
-        found = [len(t).to_bytes(8, "little") + _PACK.compress(t, asbytes=True) for t in _raw(batch.column(i))]
+        found = [_squeezed(t) for t in _raw(batch.column(i))]
         yield batch.set_column(i, "text", pa.array(found, pa.binary()))
 
 
 def _unpacked(column: pa.Array) -> list[bytes]:
-    return [_PACK.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in column.to_pylist()]
+    return [_whole(x) for x in column.to_pylist()]
 
 
 def packed(df: DataFrame) -> DataFrame:
@@ -155,7 +164,7 @@ def _runs(window: int, targets: int):
                 _, first, which = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
                 pick = mine[first]
                 out = close(int(target[mine[0]]), rows[pick], left[pick], shape[pick], owner[mine], np.stack((which.ravel(), at[mine]), axis=1))
-                yield batch_of(_RUN, {c: [out[c]] for c in _RUN.names})
+                yield batch_of(_RUN, {c: [_squeezed(out[c]) if isinstance(out[c], bytes) else out[c]] for c in _RUN.names})
 
         for batch in slices(batches, "text"):
             for k, text, found in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist()):
@@ -241,7 +250,7 @@ def _merged(window: int):
                 if r["target"] != now:
                     yield from spans(held)
                     now, held = r["target"], []
-                held.append(r)
+                held.append({c: _whole(x) if isinstance(x, bytes) else x for c, x in r.items()})
         yield from spans(held)
 
     return run
