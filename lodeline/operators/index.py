@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,22 @@ def _segments(batches) -> Iterator[pa.RecordBatch]:
         yield from made()
 
 
+def by_bucket(batches) -> Iterator[pa.RecordBatch]:
+    """Segments of passages (chunk_id, text, heading, bucket) in the order of
+    buckets; no segment has passages of two."""
+    def parts():
+        for batch in batches:
+            bucket = batch.column(3).to_numpy()
+            seams = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(seams, seams[1:]):
+                if b > a:
+                    yield int(bucket[a]), batch.slice(a, b - a)
+
+    for bucket, some in groupby(parts(), lambda x: x[0]):
+        for made in _segments(x for _, x in some):
+            yield pa.RecordBatch.from_arrays([*made.columns, pa.array([bucket] * made.num_rows, pa.int32())], names=[*_INDEX.names, "bucket"])
+
+
 def indexed(passages: DataFrame) -> DataFrame:
     """The index of passages (chunk_id, text, heading), a null text or heading
     being empty: rows that are to be written by ``write_options``."""

@@ -1,10 +1,14 @@
-"""A library of documents: append-only tables and what happens to them.
-
-Every change appends its rows under a batch of its own; last of all it appends
-one row to ``commits``, in one file. Readers see the rows of committed batches
-only, and of each document the version committed last. So a change is seen whole
-or not at all, two changes at the same time both count, and adding a file writes
-that file's rows and no others.
+"""A library of documents: tables partitioned by document bucket, and what
+happens to them.
+
+Adding appends rows to the buckets of its documents. What changes rows that are
+there (a state, new passages, a deletion) rewrites the buckets it touches by Spark's
+dynamic partition overwrite, so nothing is left to be compacted. A document's row
+carries the version it is in. Work that takes long starts from that version and is
+put in place at the end: writers take turns for this last step, look at the documents
+as they are by then, and leave out those that were changed or deleted meanwhile. So a
+deletion holds whatever runs beside it, and two writers lose nothing of each other's.
+A document is ready only once its passages are in place.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ from __future__ import annotations
 import re
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import files as sources
-from . import chunking, citations, retrieval
+from . import chunking, citations, index, retrieval
 from .embedding import Embedder, HashEmbedder
 from .staging import stored
 
@@ -31,19 +36,21 @@ NO_CHUNKS = "No passages could be made of the text."
 LOST = "The work on this document was broken off before its text was kept. Please add the file anew."
 NO_HITS = "No passage in the library has to do with this question. Other words may help, or a document that deals with it has to be added."
 NO_REPLY = "The model's reply could not be read, not even when asked again."
-#: Of the tables' layout.
-VERSION = 3
+#: Of the tables' layout; parts that documents are dealt to; seconds that a writer waits for its turn.
+VERSION, BUCKETS, PATIENCE = 4, 64, 600
 DOCUMENT = (
     "id bigint, title string, source_type string, filename string, mime string, byte_size bigint, content_hash string, char_count bigint, page_count int, "
-    "collection string, status string, error string, added_at timestamp, indexed_at timestamp, extracted_text string, pages array<struct<page:int,start:bigint,end:bigint>>"
+    "collection string, status string, error string, added_at timestamp, indexed_at timestamp"
 )
+TEXT = "extracted_text string, pages array<struct<page:int,start:bigint,end:bigint>>"
 PASSAGE = "id bigint, document_id bigint, ordinal int, text string, heading string, page int, char_start bigint, char_end bigint, token_est bigint, embedding array<float>"
 ASKED = "id bigint, question string, answer string, citations string, stats string, asked_at timestamp"
-COMMIT = "batch string, at bigint, change string, provider string, model string, dims int, version int"
 TABLES = {
-    "documents": f"{DOCUMENT}, gone boolean, batch string", "passages": f"{PASSAGE}, batch string", "terms": "chunk_id bigint, document_id bigint, text_terms array<string>, heading_terms array<string>, batch string",
-    "queries": ASKED, "commits": COMMIT, "progress": "document_id bigint, stage string, percent int, at bigint",
+    "documents": f"{DOCUMENT}, version string, bucket int", "texts": f"id bigint, {TEXT}, bucket int", "passages": f"{PASSAGE}, bucket int", "postings": f"{index.INDEX}, bucket int",
+    "queries": ASKED, "config": "provider string, model string, dims int, layout int, at bigint", "progress": "document_id bigint, stage string, percent int, at bigint",
 }
+#: Tables that are partitioned, and what names a document in them; postings are made anew from their bucket's passages.
+KEYS = {"documents": "id", "texts": "id", "passages": "document_id"}
 
 
 def content_hash(c: Column) -> Column:
@@ -56,12 +63,25 @@ def document_id(hashed: Column) -> Column:
     return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
 
 
+def bucket_of(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(BUCKETS)).cast("int")
+
+
 def new_documents(added: DataFrame, known: DataFrame) -> DataFrame:
     """Of added rows (content_hash, ...), the first of each hash that no document
     has, failed ones aside (they may be added again)."""
     return added.dropDuplicates(["content_hash"]).join(known.filter("status <> 'failed'").select("content_hash"), "content_hash", "left_anti")
 
 
+#: Rounds that vectors are made in at most, and passages of a round at least.
+EMBED_STEPS, EMBED_LEAST = 8, 5000
+
+
+def percent(done: Column, total: Column) -> Column:
+    """How far a document is while its passages are embedded."""
+    return (25 + F.floor(done / total * 65 + 0.5)).cast("long")
+
+
 def ingest_status(text: Column) -> Column:
     """What becomes of an extracted text: its error, or null."""
     return F.when(F.length(T.trimmed(F.coalesce(text, F.lit("")))) < 20, NO_TEXT)
@@ -95,57 +115,115 @@ def reason(error: Exception) -> str:
 
 
 class Library:
-    """Documents, passages, their terms and vectors, asked questions and progress,
-    under one folder."""
+    """Documents, their texts, passages with vectors, postings, asked questions and
+    progress, under one folder."""
 
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None):
         self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder or HashEmbedder()
         #: Why the last search had to do without vectors, or None.
         self.vector_error: str | None = None
+        if self._exists("commits"):
+            self._migrate()
         for name in TABLES:
-            try:
-                self._all(name)
-            except AnalysisException:
+            if not self._exists(name):
                 spark.createDataFrame([], TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
-        newest = self._all("commits").agg(F.max("version").alias("v")).first()["v"]
+        newest = self._all("config").agg(F.max("layout").alias("v")).first()["v"]
         if newest and newest > VERSION:
             raise ValueError(f"The library's tables have layout {newest}; this program knows {VERSION} and older ones.")
 
     # -- storage ----------------------------------------------------------------
 
+    def _exists(self, name: str) -> bool:
+        try:
+            self.spark.read.format("text").load(f"{self.path}/{name}").isEmpty()
+            return True
+        except AnalysisException:
+            return False
+
     def _all(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*[c.strip().split()[0] for c in self._columns(name)]).write.mode("append").parquet(f"{self.path}/{name}")
-
     def _columns(self, name: str) -> list[str]:
-        return self.spark.createDataFrame([], TABLES[name]).columns
-
-    def _commit(self, batch: str, change: str, config: bool = False) -> None:
-        """Makes a batch's rows visible; ``config``: with the model that made them."""
-        e = self.embedder
-        row = (batch, time.time_ns(), change, *((e.provider, e.model, e.dims) if config else (None, None, None)), VERSION)
-        self._append("commits", self.spark.createDataFrame([row], COMMIT).coalesce(1))
-
-    def _versions(self) -> DataFrame:
-        """(id, batch) of the documents that there are: for each, its last
-        committed batch, unless that deleted it."""
-        light = self._all("documents").select("id", "batch", "gone").join(self._all("commits").select("batch", "at"), "batch")
-        last = light.groupBy("id").agg(F.max_by(F.struct("batch", "gone"), F.struct("at", "batch")).alias("v"))
-        return last.filter("NOT v.gone").select("id", "v.batch")
-
-    def _live(self, name: str, key: str) -> DataFrame:
-        return self._all(name).join(self._versions().withColumnRenamed("id", key), [key, "batch"], "left_semi").drop("batch")
+        return [c.strip().split()[0] for c in re.split(r",(?![^<]*>)", TABLES[name])]
+
+    def _write(self, name: str, rows: DataFrame, mode: str = "append") -> None:
+        """Appends rows, or puts them in place of all in their buckets. A bucket
+        goes to few files: rows are dealt to them first."""
+        columns = self._columns(name)
+        writer = rows.select(*columns)
+        if "bucket" in columns:
+            writer = writer.repartition("bucket") if name == "documents" else writer
+            writer = writer.write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic")
+        else:
+            writer = writer.coalesce(1).write
+        if name == "postings":
+            writer = writer.options(**index.WRITING)
+        writer.mode(mode).parquet(f"{self.path}/{name}")
+
+    @contextmanager
+    def _turn(self) -> Iterator[None]:
+        """Writers put their changes in place one after another: a folder's file
+        can be created once. One that a broken writer left has to be removed by
+        ``unlock``."""
+        jvm = self.spark._jvm
+        name = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_turn")
+        fs = name.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        until = time.monotonic() + PATIENCE
+        while not fs.createNewFile(name):
+            if time.monotonic() > until:
+                raise TimeoutError("Another writer has not ended its turn; if none is at work, call unlock().")
+            time.sleep(0.2)
+        try:
+            yield
+        finally:
+            fs.delete(name, False)
+
+    def unlock(self) -> None:
+        """Ends the turn of a writer that broke off."""
+        name = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_turn")
+        name.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(name, False)
+
+    def _touched(self, ids: DataFrame) -> list[int]:
+        """The buckets of some documents, ``BUCKETS`` at most."""
+        return [r.bucket for r in ids.select(bucket_of(F.col("id")).alias("bucket")).distinct().collect()]
+
+    def _replace(self, name: str, ids: DataFrame, rows: DataFrame | None) -> None:
+        """Puts ``rows`` in place of what some documents (id) have in a table."""
+        buckets = self._touched(ids)
+        here = self._all(name).filter(F.col("bucket").isin(buckets))
+        key = KEYS[name]
+        old = here.join(ids.select(F.col("id").alias(key)), key, "left_semi")
+        if name != "documents" and old.isEmpty():
+            if rows is not None:
+                self._write(name, rows)
+            return
+        rest = here.join(ids.select(F.col("id").alias(key)), key, "left_anti").select(*self._columns(name))
+        whole = stored(rest if rows is None else rest.unionByName(rows.select(*self._columns(name))), name)
+        self._write(name, whole, "overwrite")
+        self._clear(name, set(buckets) - {r.bucket for r in whole.select("bucket").distinct().collect()})
+
+    def _clear(self, name: str, buckets: set[int]) -> None:
+        """An overwrite leaves buckets alone for which it has no rows."""
+        for b in buckets:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/bucket={b}")
+            folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+    def _post(self, passages: DataFrame, buckets: list[int] | None = None) -> None:
+        """Appends the postings of passages (id, text, heading, bucket), a segment
+        of a bucket to a task; with ``buckets``, in place of those there."""
+        rows = passages.select(F.col("id").alias("chunk_id"), "text", "heading", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+        made = stored(rows.mapInArrow(index.by_bucket, f"{index.INDEX}, bucket int"), "postings", **index.WRITING)
+        self._write("postings", made, "append" if buckets is None else "overwrite")
+        if buckets is not None:
+            self._clear("postings", set(buckets) - {r.bucket for r in made.select("bucket").distinct().collect()})
 
     @property
     def documents(self) -> DataFrame:
-        found = self._live("documents", "id").drop("gone")
-        return found.select(*[c for c in self._columns("documents") if c not in ("gone", "batch")])
+        return self._all("documents").join(self._all("texts"), ["id", "bucket"], "left").drop("bucket", "version")
 
     @property
     def passages(self) -> DataFrame:
-        return self._live("passages", "document_id").select(*[c for c in self._columns("passages") if c != "batch"])
+        return self._all("passages").drop("bucket")
 
     @property
     def queries(self) -> DataFrame:
@@ -160,116 +238,187 @@ class Library:
     def _tell(self, ids: DataFrame, stage: Column | str, percent: Column | int | None) -> None:
         stage = F.lit(stage) if isinstance(stage, str) else stage
         percent = percent if isinstance(percent, Column) else F.lit(percent)
-        self._append("progress", ids.select(F.col("id").alias("document_id"), stage.alias("stage"), percent.cast("int").alias("percent"), F.lit(time.time_ns()).alias("at")))
+        self._write("progress", ids.select(F.col("id").alias("document_id"), stage.alias("stage"), percent.cast("int").alias("percent"), F.lit(time.time_ns()).alias("at")))
 
     def config(self) -> dict | None:
         """The model of the index, or None before the first and after a clearing."""
-        last = self._all("commits").filter("model IS NOT NULL OR change = 'clear'").orderBy(F.desc("at")).limit(1).collect()
+        last = self._all("config").orderBy(F.desc("at")).limit(1).collect()
         return last[0].asDict() if last and last[0].model else None
 
+    def _configure(self, model: bool) -> None:
+        e = self.embedder
+        row = (*((e.provider, e.model, e.dims) if model else (None, None, None)), VERSION, time.time_ns())
+        self._write("config", self.spark.createDataFrame([row], TABLES["config"]))
+
     def check_config(self) -> None:
         """Vectors of two models cannot be compared: refused on writing and on asking."""
         was, now = self.config(), self.embedder
         if was and (was["model"], was["dims"]) != (now.model, now.dims):
             raise ValueError(f"The passages have vectors of {was['model']} with {was['dims']} numbers; {now.model} with {now.dims} does not go with them. Use that model, or index the library anew.")
 
+    def _migrate(self) -> None:
+        """Tables of layout 3, where rows carried batches and commits made them
+        seen: the last committed version of each document is taken over."""
+        old = lambda name: self.spark.read.parquet(f"{self.path}/{name}")
+        light = old("documents").select("id", "batch", "gone").join(old("commits").select("batch", "at"), "batch")
+        last = light.groupBy("id").agg(F.max_by(F.struct("batch", "gone"), F.struct("at", "batch")).alias("v")).filter("NOT v.gone").select("id", "v.batch")
+        documents = stored(old("documents").join(last, ["id", "batch"], "left_semi").withColumn("version", F.col("batch")).withColumn("bucket", bucket_of(F.col("id"))), "old-documents")
+        passages = stored(old("passages").join(last.withColumnRenamed("id", "document_id"), ["document_id", "batch"], "left_semi").withColumn("bucket", bucket_of(F.col("document_id"))), "old-passages")
+        model = old("commits").filter("model IS NOT NULL OR change = 'clear'").orderBy(F.desc("at")).limit(1).collect()
+        fs = (path := self.spark._jvm.org.apache.hadoop.fs.Path(self.path)).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        for name in ("documents", "passages", "terms"):
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, name), True)
+        self._write("documents", documents)
+        self._write("texts", documents)
+        self._write("passages", passages)
+        self._post(passages)
+        for r in model:
+            self._write("config", self.spark.createDataFrame([(r.provider, r.model, r.dims, VERSION, time.time_ns())], TABLES["config"]))
+        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, "commits"), True)
+
     # -- documents --------------------------------------------------------------
 
-    def _index(self, batch: str, documents: DataFrame) -> DataFrame:
-        """Appends passages, terms and vectors of documents (stored) under a batch,
-        then the documents with what became of them; returns these."""
+    def _settle(self, rows: DataFrame, passages: DataFrame | None) -> DataFrame:
+        """Puts documents (with the ``version`` they were made from) and their
+        passages in place, except those that are not as they were; returns which."""
+        with self._turn():
+            now = self._all("documents").filter(F.col("bucket").isin(self._touched(rows))).select("id", "version")
+            still = stored(rows.join(now, ["id", "version"], "left_semi").withColumn("version", F.lit(uuid.uuid4().hex)).withColumn("bucket", bucket_of(F.col("id"))), "settled")
+            ids = still.select("id")
+            if passages is not None:
+                mine = passages.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi").withColumn("bucket", bucket_of(F.col("document_id")))
+                buckets = self._touched(ids)
+                first = self._all("passages").filter(F.col("bucket").isin(buckets)).join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi").isEmpty()
+                self._replace("passages", ids, mine)
+                if first:
+                    self._post(mine)
+                else:
+                    self._post(self._all("passages").filter(F.col("bucket").isin(buckets)), buckets)
+            self._replace("documents", ids, still)
+        return still
+
+    def _indexed(self, documents: DataFrame) -> None:
+        """Builds passages and vectors of documents (stored, with text and
+        version), and puts them in place."""
         told = documents.withColumn("error", F.coalesce("error", ingest_status(F.col("extracted_text"))))
         good = told.filter("error IS NULL").select(F.col("id").alias("document_id"), F.col("extracted_text").alias("text"), "pages", "title")
         ids = good.select(F.col("document_id").alias("id"))
         self._tell(ids, "chunking", 15)
         cut = stored(chunking.chunked(good.select("document_id", "text", "pages")), "passages")
-        self._tell(ids, "embedding", 25)
-        named = cut.join(good.select("document_id", "title"), "document_id").select("id", T.embeddable(F.col("title"), F.col("heading"), F.col("text")).alias("_embed"))
-        passages = cut.join(self.embedder.vectors(named, "id", "_embed"), "id")
-        self._append("passages", passages.withColumn("batch", F.lit(batch)))
-        self._tell(ids, "embedding", 90)
-        terms = retrieval.indexed(cut.select(F.col("id").alias("chunk_id"), "text", "heading")).join(cut.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
-        self._append("terms", terms.withColumn("batch", F.lit(batch)))
+        passages = self._embedded(cut, good)
         n = cut.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
         out = told.join(n, "id", "left").withColumn("error", F.coalesce("error", F.when(F.col("_n").isNull(), NO_CHUNKS)))
         warning = T.extraction_warning(F.col("extracted_text"), F.col("page_count"))
         out = out.withColumn("status", F.when(F.col("error").isNull(), "ready").otherwise("failed"))
         out = out.withColumn("indexed_at", F.when(F.col("status") == "ready", F.current_timestamp())).withColumn("char_count", F.length("extracted_text").cast("long"))
-        out = stored(out.withColumn("error", F.substring(F.coalesce("error", warning), 1, 500)).drop("_n"), "indexed")
-        self._append("documents", out.withColumn("gone", F.lit(False)).withColumn("batch", F.lit(batch)))
-        return out
-
-    def _indexed(self, change: str, documents: DataFrame) -> None:
-        """A change that builds documents' passages: seen when all is written."""
-        batch = uuid.uuid4().hex
-        out = self._index(batch, documents)
-        self._commit(batch, change, config=True)
-        ready = F.col("status") == "ready"
-        self._tell(out, F.col("status"), F.when(ready, 100))
+        out = stored(out.withColumn("error", F.substring(F.coalesce("error", warning), 1, 500)).drop("_n", "extracted_text", "pages"), "indexed")
+        settled = self._settle(out, passages)
+        self._configure(True)
+        self._tell(settled, F.col("status"), F.when(F.col("status") == "ready", 100))
+
+    def _embedded(self, cut: DataFrame, documents: DataFrame) -> DataFrame:
+        """Passages with their vectors, made in rounds of whole passages; after
+        each, every document's share is told."""
+        rounds = max(1, min(EMBED_STEPS, cut.count() // EMBED_LEAST))
+        named = cut.join(documents.select("document_id", "title"), "document_id").select("id", "document_id", T.embeddable(F.col("title"), F.col("heading"), F.col("text")).alias("_embed"))
+        named = named.withColumn("_round", F.pmod(F.xxhash64("id"), F.lit(rounds)))
+        self._tell(documents.select(F.col("document_id").alias("id")), "embedding", 25)
+        parts = []
+        for i in range(rounds):
+            parts.append(stored(self.embedder.vectors(named.filter(F.col("_round") == i).select("id", "_embed"), "id", "_embed"), "vectors"))
+            share = named.groupBy(F.col("document_id").alias("id")).agg(F.count_if(F.col("_round") <= i).alias("done"), F.count(F.lit(1)).alias("total"))
+            self._tell(share, "embedding", percent(F.col("done"), F.col("total")))
+        vectors = parts[0]
+        for more in parts[1:]:
+            vectors = vectors.unionByName(more)
+        return stored(cut.join(vectors, "id"), "embedded")
 
     def add(self, files: DataFrame, collection: str = "", source_type: str = "file") -> DataFrame:
         """Adds files (path, content); returns path, document_id and duplicate of
         each. A document waits as pending, with its text, until its passages
-        and vectors can be seen together with it."""
+        and vectors are in place. Of files with equal contents the first by path
+        is kept; files with equal paths and other contents are documents of their own."""
         self.check_config()
-        known = stored(self.documents.select("id", "content_hash", "status"), "known")
-        rows = files.select("path", "content", content_hash(F.col("content")).alias("content_hash"))
-        fresh = new_documents(rows, known)
-        text = sources.extracted(fresh.select("path", "content"))
+        # All files' names and hashes, and only fresh files' contents, are kept: files are read twice.
+        rows = stored(files.select("path", content_hash(F.col("content")).alias("content_hash")), "hashes")
+        known = stored(self._all("documents").select("id", "content_hash", "status"), "known")
+        wanted = new_documents(rows.groupBy("content_hash").agg(F.min("path").alias("path")), known)
+        names = wanted.select(document_id(F.col("content_hash")).alias("id"), "content_hash").union(known.select("id", "content_hash"))
+        if not names.groupBy("id").agg(F.countDistinct("content_hash").alias("n")).filter("n > 1").isEmpty():
+            raise ValueError("Two different documents have hashes that begin alike; the second cannot be added.")
+        fresh = files.select("path", "content", content_hash(F.col("content")).alias("content_hash")).join(wanted, ["content_hash", "path"], "left_semi")
+        fresh = stored(fresh.dropDuplicates(["content_hash"]), "fresh")
+        if not fresh.isEmpty():
+            made = self._received(sources.extracted(fresh, "content_hash"), collection, source_type)
+            self._tell(made, "extracting", 5)
+            self._indexed(made)
+        ids = self._all("documents").select("content_hash", F.col("id").alias("document_id"), "status", "error")
+        old = known.filter("status <> 'failed'").select("content_hash").withColumn("duplicate", F.lit(True))
+        return rows.join(ids, "content_hash").join(old, "content_hash", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+
+    def _received(self, texts: DataFrame, collection: str, source_type: str) -> DataFrame:
+        """Extracted texts as pending documents, unless another writer was faster."""
         name = F.regexp_extract("path", r"([^/\\]*)\z", 1)
-        made = fresh.join(text, "path").select(
+        made = texts.select(
             document_id(F.col("content_hash")).alias("id"),
             F.substring(F.coalesce(F.nullif(sources.title_of(name), F.lit("")), F.lit("Untitled")), 1, 300).alias("title"), F.lit(source_type).alias("source_type"), name.alias("filename"), F.lit(None).cast("string").alias("mime"),
-            F.length("content").cast("long").alias("byte_size"), "content_hash", F.length("text").cast("long").alias("char_count"), "page_count", F.lit(collection[:80]).alias("collection"), F.lit("pending").alias("status"),
-            "error", F.current_timestamp().alias("added_at"), F.lit(None).cast("timestamp").alias("indexed_at"), F.col("text").alias("extracted_text"), "pages",
+            "byte_size", "content_hash", F.length("text").cast("long").alias("char_count"), "page_count", F.lit(collection[:80]).alias("collection"), F.lit("pending").alias("status"),
+            "error", F.current_timestamp().alias("added_at"), F.lit(None).cast("timestamp").alias("indexed_at"), F.col("text").alias("extracted_text"), "pages", F.lit(uuid.uuid4().hex).alias("version"),
         )
-        made = stored(made, "added")
-        names = made.select("id", "content_hash").union(known.select("id", "content_hash"))
-        if not names.groupBy("id").agg(F.countDistinct("content_hash").alias("n")).filter("n > 1").isEmpty():
-            raise ValueError("Two different documents have hashes that begin alike; the second cannot be added.")
-        if not made.isEmpty():
+        made = stored(made.withColumn("bucket", bucket_of(F.col("id"))), "received")
+        with self._turn():
+            now = self._all("documents").filter(F.col("bucket").isin(self._touched(made)))
+            made = stored(new_documents(made, now), "added")
             self._tell(made, "queued", 0)
-            batch = uuid.uuid4().hex
-            self._append("documents", made.withColumn("gone", F.lit(False)).withColumn("batch", F.lit(batch)))
-            self._commit(batch, "receive")
-            self._tell(made, "extracting", 5)
-            self._indexed("index", made)
-        ids = self.documents.select("content_hash", F.col("id").alias("document_id"), "status", "error")
-        old = known.filter("status <> 'failed'").select("content_hash").withColumn("duplicate", F.lit(True))
-        return rows.select("path", "content_hash").join(ids, "content_hash").join(old, "content_hash", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+            self._replace("texts", made.select("id"), made)
+            self._replace("documents", made.select("id"), made)
+        return made
 
     def upload(self, files: DataFrame, collection: str = "") -> DataFrame:
         """Adds the files of one upload, whose number is limited."""
         return self.add(sources.checked_upload(files), collection, "upload")
 
     def delete(self, ids: list[int] | DataFrame) -> None:
-        """Documents with their passages and vectors; a table of ids has them in ``id``."""
+        """Documents with their texts, passages and postings; a table of ids has
+        them in ``id``. A document's row goes last, so that a deletion that
+        breaks off can be repeated."""
         if not isinstance(ids, DataFrame):
             ids = self.spark.createDataFrame([(i,) for i in ids], "id bigint")
-        batch = uuid.uuid4().hex
-        gone = self.documents.join(ids.select("id"), "id", "left_semi").withColumn("extracted_text", F.lit(None).cast("string")).withColumn("pages", F.lit(None).cast(sources.PAGES))
-        self._append("documents", gone.withColumn("gone", F.lit(True)).withColumn("batch", F.lit(batch)))
-        self._commit(batch, "delete")
+        with self._turn():
+            ids = stored(self._all("documents").join(ids.select("id"), "id", "left_semi").select("id"), "deleted")
+            buckets = self._touched(ids)
+            if not buckets:
+                return
+            self._replace("passages", ids, None)
+            self._post(self._all("passages").filter(F.col("bucket").isin(buckets)), buckets)
+            self._replace("texts", ids, None)
+            self._replace("documents", ids, None)
 
     def reindex(self, documents: DataFrame | None = None) -> None:
         """Builds passages and vectors anew from kept texts, with the present
-        model; documents without text fail."""
-        lost = F.when(F.col("extracted_text").isNull(), LOST)
-        self._indexed("index", stored((documents if documents is not None else self.documents).withColumn("error", lost), "reindex"))
+        model; documents (id) without text fail."""
+        here = self._all("documents")
+        here = here if documents is None else here.join(documents.select("id"), "id", "left_semi")
+        whole = here.join(self._all("texts"), ["id", "bucket"], "left").drop("bucket")
+        lost = F.when(F.col("extracted_text").isNull() & F.col("error").isNull(), LOST).when(F.col("extracted_text").isNull(), F.col("error"))
+        self._indexed(stored(whole.withColumn("error", lost), "reindex"))
 
     def recover(self) -> DataFrame:
         """Finishes what an interruption left; returns what was stuck."""
         stuck = stored(recovery(self.documents), "stuck")
         if not stuck.isEmpty():
-            self.reindex(self.documents.join(stuck.select("id"), "id", "left_semi"))
+            self.reindex(stuck)
         return stuck
 
     def clear_index(self) -> None:
         """No passages, no model; documents wait."""
-        batch = uuid.uuid4().hex
-        waiting = self.documents.withColumn("status", F.lit("pending")).withColumn("indexed_at", F.lit(None).cast("timestamp"))
-        self._append("documents", stored(waiting, "waiting").withColumn("gone", F.lit(False)).withColumn("batch", F.lit(batch)))
-        self._commit(batch, "clear")
+        with self._turn():
+            waiting = self._all("documents").withColumn("status", F.lit("pending")).withColumn("indexed_at", F.lit(None).cast("timestamp")).withColumn("version", F.lit(uuid.uuid4().hex))
+            waiting = stored(waiting, "waiting")
+            for name in ("passages", "postings"):
+                self._clear(name, set(range(BUCKETS)))
+            self._write("documents", waiting, "overwrite")
+            self._configure(False)
 
     def stats(self) -> DataFrame:
         return stats(self.documents, self.passages)
@@ -295,9 +444,9 @@ class Library:
             except Exception as e:  # whatever a model's task raises
                 mode, self.vector_error = "keyword", reason(e)
         passages = self.passages
-        index = self._live("terms", "document_id").drop("document_id")
+        postings = self._all("postings").drop("bucket")
         vectors = passages.select(F.col("id").alias("chunk_id"), "embedding")
-        hits = retrieval.search(passages.drop("embedding", "token_est"), self.documents, questions, mode, min(limit or 10, 30), index=index, vectors=vectors, asked=asked, **how)
+        hits = retrieval.search(passages.drop("embedding", "token_est"), self.documents, questions, mode, min(limit or 10, 30), index=postings, vectors=vectors, asked=asked, **how)
         return hits.join(questions.select("question_id", "question"), "question_id").withColumn("excerpt", T.highlighted(F.col("text"), F.col("question"))).drop("question")
 
     def around(self, chunks: DataFrame, span: int = 1) -> DataFrame:
@@ -352,5 +501,5 @@ class Library:
             F.col("question_id").alias("id"), "question", "answer", F.to_json("citations_kept").alias("citations"),
             F.to_json(F.struct("checked", "kept", "dropped", "confidence", "error")).alias("stats"), F.current_timestamp().alias("asked_at"),
         )
-        self._append("queries", log)
+        self._write("queries", log)
         return result

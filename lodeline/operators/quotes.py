@@ -1,8 +1,8 @@
 """Which quotes appear in which texts, for whole tables of both.
 
 A quote appears if the text has it as it is, or at least 85 % of its longer words. So
-of its m longer words at most ⌊0.15 m⌋ may be missing, and of any ⌊0.15 m⌋ + 1 one is
-there: the rarest ones are looked for. A word that a text has lies inside one of the
+of its m longer words at most ⌊0.15 m⌋ may be missing, and of any ⌊0.15 m⌋ + k at least
+k are there: the rarest ones are looked for, and counted by text. A word that a text has lies inside one of the
 text's tokens, so words meet the vocabulary by their rarest three letters, tokens lead to
 texts, and only what is left is confirmed on whole texts. Quotes without longer words are
 met by three characters of their own. All steps are equi-joins.
@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from .staging import stored
 
-#: Characters that words and tokens meet by; percent of a quote's longer words that may be missing.
-GRAM, MISSING = 3, 15
+#: Characters that words and tokens meet by; percent of a quote's longer words that may be missing; words beyond these that are looked for.
+GRAM, MISSING, MORE = 3, 15, 6
 
 
 def grams(c: Column) -> Column:
@@ -29,15 +29,17 @@ def grams(c: Column) -> Column:
 
 
 def rare_words(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, word, gram): of each quote so many of its rarest longer words
-    that one is in any text that has the quote, and what each is met by.
-    ``counts``: gram, n."""
+    """(item_id, word, gram, times, least): of each quote so many of its rarest
+    longer words that a text which has the quote has ``least`` of their ``times``,
+    one at least, and what each is met by. ``counts``: gram, n."""
     words = items.select("item_id", F.size("q.words").alias("m"), F.explode("q.words").alias("word")).groupBy("item_id", "m", "word").agg(F.count(F.lit(1)).alias("times"))
     met = words.select("word").distinct().select("word", F.explode(grams(F.col("word"))).alias("gram")).join(counts, "gram", "left")
     best = met.groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("b")).select("word", "b.*")
     order = Window.partitionBy("item_id").orderBy("n", "word").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("times").over(order), F.lit(0))
-    return words.join(best, "word").withColumn("before", before).filter(F.col("before") <= F.floor(F.col("m") * MISSING / 100)).select("item_id", "word", "gram")
+    missing = F.floor(F.col("m") * MISSING / 100)
+    picked = words.join(best, "word").withColumn("before", before).filter(F.col("before") < missing + MORE)
+    return picked.withColumn("least", F.sum("times").over(Window.partitionBy("item_id")) - missing).select("item_id", "word", "gram", "times", "least")
 
 
 def appearing(quotes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -51,7 +53,9 @@ def appearing(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     met = stored(vocabulary.select("token", "n", F.explode(grams(F.col("token"))).alias("gram")).join(asked, "gram", "left_semi"), "met-tokens")
     picked = stored(rare_words(items, met.groupBy("gram").agg(F.sum("n").alias("n"))), "rare-words")
     inside = picked.select("word", "gram").distinct().join(met, "gram").filter(F.contains("token", "word")).select("word", "token")
-    pairs = picked.join(inside, "word").select("item_id", "token").distinct().join(tokens, "token").select("item_id", "doc_id")
+    here = picked.join(inside, "word").select("item_id", "word", "times", "least", "token").join(tokens, "token")
+    once = here.groupBy("item_id", "doc_id", "word").agg(F.first("times").alias("times"), F.first("least").alias("least"))
+    pairs = once.groupBy("item_id", "doc_id").agg(F.sum("times").alias("there"), F.first("least").alias("least")).filter(F.col("there") >= F.col("least")).select("item_id", "doc_id")
     bare = items.filter(F.size("q.words") == 0)
     if not bare.isEmpty():
         first = bare.select("item_id", F.substr("q.quote", F.lit(1), F.lit(GRAM)).alias("gram"))

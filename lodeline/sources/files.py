@@ -45,7 +45,7 @@ def title_of(name: Column) -> Column:
     return F.substring(F.regexp_replace(name, r"\.[^./\\]+\z", ""), 1, 300)
 
 
-_READ = pa.schema([("path", pa.string()), ("marked", pa.string()), ("error", pa.string())])
+_READ = pa.schema([("key", pa.string()), ("marked", pa.string()), ("error", pa.string())])
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -89,14 +89,14 @@ def pdf_text(content: bytes) -> str:
 
 def _binary(batches):
     for batch in batches:
-        rows = {"path": [], "marked": [], "error": []}
-        for path, kind_, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        rows = {"key": [], "marked": [], "error": []}
+        for key, kind_, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
             marked = error = None
             try:
                 marked = docx_html(content) if kind_ == "docx" else pdf_text(content)
             except Exception as e:  # a broken file is a failed document, not a failed job
                 error = f"{type(e).__name__}: {e}"[:500]
-            for c, v in zip(rows, (path, marked, error)):
+            for c, v in zip(rows, (key, marked, error)):
                 rows[c].append(v)
         yield pa.RecordBatch.from_pydict(rows, schema=_READ)
 
@@ -107,28 +107,33 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """Text of files (path, content): path, text, pages, page_count, error."""
-    read = files.select("path", kind(F.col("path")).alias("kind"), refusal(F.col("path")).alias("error"), "content")
-    read = read.withColumn("error", F.coalesce("error", F.when(F.length("content") > MAX_BYTES, f"Files of over {MAX_BYTES >> 20} MB are not read.")))
+def extracted(files: DataFrame, key: str = "path") -> DataFrame:
+    """Text of files (path, content): path, text, pages, page_count, byte_size,
+    error, and ``key``, which names a file and is the path unless paths repeat."""
+    named = [key] if key == "path" else [key, "path"]
+    read = files.select(*named, kind(F.col("path")).alias("kind"), refusal(F.col("path")).alias("error"), F.length("content").cast("long").alias("byte_size"), "content")
+    read = read.withColumn("error", F.coalesce("error", F.when(F.col("byte_size") > MAX_BYTES, f"Files of over {MAX_BYTES >> 20} MB are not read.")))
     none = [F.lit(None).cast(PAGES).alias("pages"), F.lit(None).cast("int").alias("page_count")]
-    refused = read.filter("error IS NOT NULL").select("path", F.lit(None).cast("string").alias("text"), *none, "error")
-    good = read.filter("error IS NULL")
+    # Plain and marked-up files become texts where they are; the others go through a reader first.
     raw = decoded(F.col("content"))
-    plain = good.filter("kind = 'plain'").select("path", T.clean(raw).alias("text"), *none, "error")
-    html = good.filter("kind = 'html'").select("path", T.html_text(raw).alias("text"), *none, "error")
-    packed = good.filter("kind IN ('docx', 'pdf')").select("path", "kind", "content").mapInArrow(_binary, "path string, marked string, error string")
-    docx = packed.filter(kind(F.col("path")) == "docx").select("path", F.when(F.col("marked").isNotNull(), T.html_text(F.col("marked"))).alias("text"), *none, "error")
-    marked = packed.filter(kind(F.col("path")) == "pdf")
-    pdf = marked.select("path", "error").join(paged(marked.select("path", "marked"), "path"), "path", "left").select("path", "text", "pages", "page_count", "error")
-    return refused.unionByName(plain).unionByName(html).unionByName(docx).unionByName(pdf)
+    text = F.when(F.col("error").isNotNull(), None).when(F.col("kind") == "plain", T.clean(raw)).when(F.col("kind") == "html", T.html_text(raw))
+    packed = F.col("error").isNull() & F.col("kind").isin("docx", "pdf")
+    direct = read.filter(~packed).select(*named, text.alias("text"), *none, "byte_size", "error")
+    opened = read.filter(packed).select(F.col(key).alias("key"), "kind", "content").mapInArrow(_binary, "key string, marked string, error string")
+    about = read.filter(packed).select(F.col(key).alias("key"), *([] if key == "path" else ["path"]), "kind", "byte_size")
+    opened = opened.join(about, "key")
+    path = [F.col("key").alias("path")] if key == "path" else [F.col("key").alias(key), "path"]
+    docx = opened.filter("kind = 'docx'").select(*path, F.when(F.col("marked").isNotNull(), T.html_text(F.col("marked"))).alias("text"), *none, "byte_size", "error")
+    paged_ = opened.filter("kind = 'pdf'")
+    pdf = paged_.join(paged(paged_.select("key", "marked"), "key"), "key", "left").select(*path, "text", "pages", "page_count", "byte_size", "error")
+    return direct.unionByName(docx).unionByName(pdf)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-#: Kinds of a page's lines, the first that fits: what the line looks like, its greatest length and number of words, endings that rule it out.
+#: Fixed values. Kinds of a page's lines, the first that fits: what the line looks like, its greatest length and number of words, endings that rule it out.
 _LINES = (
     ("blank", re.compile(r"\Z"), 0, 0, ""),
     ("item", re.compile(r"(?:[-–—*•]|[0-9]+[.)])\s+"), None, None, ""),
@@ -137,9 +142,10 @@ _LINES = (
     ("heading", re.compile(f"[{T.CAPITALS}0-9]"), 90, 8, ".!?,;:"),
     ("text", re.compile(""), None, None, ""),
 )
+#: Fixed patterns: what ends a line for good, and what goes on from the line before.
 _STOPPED = re.compile(r"""[.!?:;]["')\]]?\Z""")
 _GOES_ON = re.compile(r"[a-zăâîșț(]")
-#: A paragraph shorter than this goes on in any text line.
+#: Fixed value: a paragraph shorter than this goes on in any text line.
 _WRAPPED = 90
 
 

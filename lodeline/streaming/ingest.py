@@ -6,16 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators.library import WORKING, Library
+from ..operators.library import WORKING, Library, percent  # noqa: F401
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def percent(done: Column, total: Column) -> Column:
-    """How far a document is while its passages are embedded."""
-    return (25 + F.floor(done / total * 65 + 0.5)).cast("long")
-
-
 def latest(events: DataFrame, key: str, order: Column, keep: list[str]) -> DataFrame:
     """The last event of each key."""
     return events.groupBy(key).agg(F.max_by(F.struct(*keep), order).alias("e")).select(key, "e.*")

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import re
@@ -214,9 +215,8 @@ def test_library_life(spark, tmp_path):
     assert n == lib.passages.filter("embedding IS NOT NULL").count() > 0
     assert {(r.stage, r.percent) for r in lib.progress.collect()} == {("ready", 100), ("failed", None)}
     assert all(r.duplicate for r in lib.add(make(spark, ("again.md", HIVES.encode()))).collect()) and lib.passages.count() == n
-    written = lib._all("passages").count()
     lib.add(make(spark, ("later.txt", b"Another document, about gardens and the seasons in which to plant.")))
-    assert lib.stats().first().documents == 4 and lib._all("passages").count() == written + 1
+    assert lib.stats().first().documents == 4 and lib.passages.count() == n + 1
     hit = lib.search(question(spark, "uncapped honey frames")).orderBy("place").first()
     assert hit.heading == "The harvest" and "<mark>" in hit.excerpt
     assert lib.around(lib.passages.select(F.col("id").alias("chunk_id"))).count() > n
@@ -230,26 +230,99 @@ def test_library_life(spark, tmp_path):
     assert lib.passages.count() == n and lib.doctor()["width"] == 256
     later = Library(spark, lib.path)
     assert later.documents.count() == 3
-    later._append("commits", spark.createDataFrame([("b", 1, "x", None, None, None, 99)], later._all("commits").schema))
+    later._write("config", spark.createDataFrame([("x", "y", 1, 99, 1)], library.TABLES["config"]))
     with pytest.raises(ValueError):
         Library(spark, lib.path)
 
 
+ONE = b"The first writer's document, with words enough to be kept."
+
+
 def test_two_writers_at_once(spark, tmp_path, monkeypatch):
     one, two = Library(spark, f"{tmp_path}/lib"), Library(spark, f"{tmp_path}/lib")
-    index, turn = Library._index, []
+    embedded, turn = Library._embedded, []
 
-    def late(self, batch, documents):
+    def late(self, cut, documents):
         if not turn:  # the second writer does all its work inside the first one's
             turn.append(1)
-            two.add(make(spark, ("two.txt", b"The second writer's document, with words enough to be kept.")))
-        return index(self, batch, documents)
+            two.add(make(spark, ("two.txt", b"The second writer's document, with words enough to be kept."), ("one.txt", ONE)))
+        return embedded(self, cut, documents)
 
-    monkeypatch.setattr(Library, "_index", late)
-    one.add(make(spark, ("one.txt", b"The first writer's document, with words enough to be kept.")))
+    monkeypatch.setattr(Library, "_embedded", late)
+    one.add(make(spark, ("one.txt", ONE)))
     assert {r.filename: r.status for r in one.documents.collect()} == {"one.txt": "ready", "two.txt": "ready"} and one.passages.count() == 2
 
 
+@pytest.mark.parametrize("work", ["reindex", "recover"])
+def test_a_deletion_holds_whatever_runs_beside_it(spark, tmp_path, monkeypatch, work):
+    lib = Library(spark, f"{tmp_path}/lib")
+    lib.add(make(spark, ("one.txt", ONE), ("bees.md", HIVES.encode())))
+    gone = lib.documents.filter("filename = 'one.txt'").first().id
+    if work == "recover":
+        lib.clear_index()
+    embedded = Library._embedded
+
+    def late(self, cut, documents):
+        Library(spark, lib.path).delete([gone])
+        return embedded(self, cut, documents)
+
+    monkeypatch.setattr(Library, "_embedded", late)
+    getattr(lib, work)()
+    assert [(r.filename, r.status) for r in lib.documents.collect()] == [("bees.md", "ready")]
+    assert lib.passages.filter(F.col("document_id") == gone).count() == 0 < lib.passages.count()
+    assert lib.search(question(spark, "writer document kept"), mode="keyword").count() == 0
+    assert lib._all("texts").count() == 1
+
+
+def test_equal_paths_and_equal_contents(spark, tmp_path):
+    lib = Library(spark, f"{tmp_path}/lib")
+    told = lib.add(make(spark, ("in/a.txt", ONE), ("in/a.txt", b"Other words under the same path, and enough of them to be kept."), ("b/copy.txt", ONE))).collect()
+    docs = {r.id: r for r in lib.documents.collect()}
+    assert len(docs) == 2 and len(told) == 3 and len({r.document_id for r in told}) == 2 and not any(r.duplicate for r in told)
+    by_text = {r.extracted_text: r for r in docs.values()}
+    assert by_text[ONE.decode()].content_hash == hashlib.sha256(ONE).hexdigest() and by_text[ONE.decode()].filename == "copy.txt"
+    assert sorted((r.document_id, r.text) for r in lib.passages.collect()) == sorted((i, r.extracted_text) for i, r in docs.items())
+
+
+def test_an_added_file_is_read_twice_and_leaves_few_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(ONE)
+    lib = Library(spark, f"{tmp_path}/lib")
+    here = lambda: {p for p in (tmp_path / "lib").rglob("part-*.parquet")}
+    before, plans = here(), []
+    stored_ = library.stored
+    library.stored = lambda df, label, **how: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), stored_(df, label, **how))[1]
+    try:
+        lib.add(files.read_files(spark, f"{tmp_path}/in"))
+    finally:
+        library.stored = stored_
+    assert sum(p.count("binaryFile") for p in plans) == 2
+    assert len(here() - before) <= 12 and lib.passages.count() == 1
+
+
+def test_older_tables_are_taken_over(spark, tmp_path):
+    """Layout 3: rows with batches, seen when committed."""
+    doc = "id bigint, title string, source_type string, filename string, mime string, byte_size bigint, content_hash string, char_count bigint, page_count int, collection string, status string, error string, added_at timestamp, indexed_at timestamp, extracted_text string, pages array<struct<page:int,start:bigint,end:bigint>>, gone boolean, batch string"
+    row = lambda i, status, gone, batch: (i, f"t{i}", "file", f"{i}.txt", None, 9, f"h{i}", 9, None, "c", status, None, None, None, f"text of {i}", None, gone, batch)
+    put = lambda name, rows_, schema: spark.createDataFrame(rows_, schema).write.parquet(f"{tmp_path}/lib/{name}")
+    put("documents", [row(1, "pending", False, "a"), row(1, "ready", False, "b"), row(2, "ready", False, "a"), row(2, "ready", True, "c"), row(3, "ready", False, "lost")], doc)
+    put("passages", [(10, 1, 0, "honey of the hive", "", None, 0, 9, 4, [1.0] + [0.0] * 255, "b"), (20, 2, 0, "deleted honey", "", None, 0, 9, 4, [1.0] + [0.0] * 255, "a")], f"{library.PASSAGE}, batch string")
+    put("terms", [(10, 1, ["honey"], [], "b")], "chunk_id bigint, document_id bigint, text_terms array<string>, heading_terms array<string>, batch string")
+    put("commits", [("a", 1, "receive", None, None, None, 3), ("b", 2, "index", "hash", "hash-256", 256, 3), ("c", 3, "delete", None, None, None, 3)], "batch string, at bigint, change string, provider string, model string, dims int, version int")
+    lib = Library(spark, f"{tmp_path}/lib")
+    assert [(r.id, r.status, r.extracted_text) for r in lib.documents.collect()] == [(1, "ready", "text of 1")] and lib.config()["model"] == "hash-256"
+    assert [r.chunk_id for r in lib.search(question(spark, "honey"), mode="keyword").collect()] == [10]
+    assert Library(spark, lib.path).documents.count() == 1
+
+
+def test_progress_goes_on_while_vectors_are_made(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(library, "EMBED_LEAST", 4)
+    lib = Library(spark, f"{tmp_path}/lib")
+    lib.add(make(spark, ("long.txt", ("The scales under the hive showed a gain that day. " * 400).encode())))
+    told = [r.percent for r in lib._all("progress").orderBy("at", "percent").collect()]
+    assert told[:4] == [0, 5, 15, 25] and told[-1] == 100 and told == sorted(told) and len({p for p in told if 25 < p <= 90}) > 3 and 90 in told
+
+
 def test_nothing_is_seen_of_a_broken_change(spark, tmp_path):
     def broken(texts):
         raise RuntimeError("no model")
