@@ -378,6 +378,31 @@ def chunk_pages(spark, sf_dir):
     return chunking.chunked(table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), T.html_text(F.col("html")).alias("text")))
 
 
+_BLOCKS = f"""p AS (SELECT id, unnest(s) AS para, generate_subscripts(s, 1) - 1 AS block FROM (SELECT id, string_split_regex(t, '\\n\\s*\\n') AS s FROM src)),
+x AS (SELECT id, block, trim(para, ' ' || chr(10) || chr(9) || chr(13)) AS para FROM p),
+t AS (SELECT *, trim(split_part(para, chr(10), 1)) AS t FROM x WHERE para <> ''),
+h AS (SELECT *, {_heads} AS own FROM t),
+b AS (SELECT id, block, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY id ORDER BY block), '') AS heading, CASE WHEN own IS NULL THEN para ELSE trim(regexp_replace(para, '^[^\\n]*\\n?', ''), ' ' || chr(10)) END AS body FROM h)"""
+
+
+@query(f"WITH src AS (SELECT page_id AS id, {_H} AS t FROM pages UNION ALL SELECT -1 - doc_id, text FROM documents), {_BLOCKS} SELECT DISTINCT id AS document_id, heading FROM b WHERE body <> ''")
+def passage_headings(spark, sf_dir):
+    """The headings that passages of pages and of documents (-1 - id) stand under."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), T.html_text(F.col("html")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("document_id"), "text")
+    return chunking.chunked(pages.unionByName(docs)).select("document_id", "heading").distinct()
+
+
+@query(f"WITH src AS (SELECT doc_id AS id, text AS t FROM documents), {_BLOCKS} SELECT id AS document_id, heading, CAST(max(length(body)) AS BIGINT) AS longest, count(*) = 1 AND max(length(body)) <= 1400 AS one FROM b WHERE body <> '' GROUP BY ALL")
+def passage_fits(spark, sf_dir):
+    """Under each heading of a document: its longest paragraph, and whether it is one that is a passage as it stands."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    blocks = chunking.block_headings(docs).groupBy("document_id", "heading").agg(F.max(F.length("body")).cast("long").alias("longest"), F.count(F.lit(1)).alias("n"), F.first("body").alias("body"))
+    found = chunking.chunked(docs).groupBy("document_id", "heading").agg(F.count(F.lit(1)).alias("passages"), F.first("text").alias("text"))
+    one = (F.col("n") == 1) & (F.col("passages") == 1) & (F.col("text") == F.col("body")) & (F.col("longest") <= chunking.MOST)
+    return blocks.join(found, ["document_id", "heading"]).select("document_id", "heading", "longest", one.alias("one"))
+
+
 @query()
 def doc_chunks(spark, sf_dir):
     return chunk_docs(spark, sf_dir).select("document_id", "ordinal", "heading", "char_start", "char_end", "token_est").orderBy("document_id", "ordinal")

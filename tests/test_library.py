@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.operators import chunking, citations, library, retrieval
+from lodeline.operators import citations, library, retrieval
 from lodeline.operators.embedding import ModelEmbedder
 from lodeline.operators.library import Library
 from lodeline.sources import files
@@ -25,45 +25,6 @@ Drones leave the hive at noon and gather high above the fields. They are driven
 Honey is ripe when the bees have sealed its cells with wax. Frames are then uncapped with a warm knife and spun."""
 
 
-def test_sections_stay_apart():
-    found = chunking.passages(HIVES)
-    assert list(dict.fromkeys(p.heading for p in found)) == ["The colony", "The harvest"]
-    assert not any("Drones" in p.text and "uncapped" in p.text for p in found)
-    for p in found:
-        assert 0 <= p.start < p.end <= len(HIVES)
-
-
-def test_overlap_and_size():
-    text = "# Log\n\n" + "\n\n".join(f"On day {i} the scales under hive {i % 5} showed a gain, and the weather was noted next to the weight of each colony." for i in range(14))
-    found = chunking.passages(text)
-    assert len(found) >= 2
-    for a, b in zip(found, found[1:]):
-        carried = chunking.Sentences(a.text).last(chunking.OVERLAP)
-        assert carried and b.text.startswith(carried) and len(carried) <= chunking.OVERLAP
-    # A carried sentence may make a passage longer than the most.
-    long = chunking.passages("The smoker is lit before the lid comes off. " * 150)
-    assert len(long) > 3 and all(len(p.text) <= 1500 for p in long)
-    assert "".join(chunking.Sentences("q" * 5000).filled(900, 1400)) == "q" * 5000
-
-
-def spans(text):
-    found = chunking.Sentences(text)
-    return [found.text[a:b] for a, b in zip(found.cuts, found.cuts[1:])]
-
-
-def test_abbreviations_do_not_end_sentences():
-    assert spans("Compare vol. 3 and pp. 12 of the guide, tab. 4 has the weights. Frames are numbered from the wall to the door here.") == [
-        "Compare vol. 3 and pp. 12 of the guide, tab. 4 has the weights.", " Frames are numbered from the wall to the door here.",
-    ]
-    assert spans("...Wax melts. ") == ["Wax melts.", ] or spans("...Wax melts. ")[0].startswith("Wax")
-    assert chunking.passages("") == [] and chunking.passages("## Nothing below") == [] and spans("") == []
-
-
-def test_small_end_is_folded_back():
-    found = chunking.passages("Supers are added before the flow of nectar begins in spring. " * 13 + "\n\n" + "Then wait.", overlap=0)
-    assert len(found) == 1 and found[0].text.endswith("Then wait.")
-
-
 def rows(spark, texts):
     data = [(i, i, 0, t, "", None, 0, len(t)) for i, t in enumerate(texts, 1)]
     return spark.createDataFrame(data, "id bigint, document_id bigint, ordinal int, text string, heading string, page int, char_start bigint, char_end bigint")
