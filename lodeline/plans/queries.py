@@ -312,6 +312,17 @@ def knn_topk(spark, sf_dir):
     return retrieval.nearest(rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding"))
 
 
+@query("""WITH q AS (SELECT vec_id AS question_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT question_id, vec_id AS chunk_id, round(sqrt(list_sum(list_transform(list_zip(e, embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 6) AS distance FROM q, embeddings)
+SELECT question_id, chunk_id, distance, round(greatest(0, 1 - distance * distance / 2), 6) AS similarity, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS rank FROM d QUALIFY rank <= 40""")
+def knn_cells(spark, sf_dir):
+    """The same over vectors in cells around pivots, blocks that cannot matter left out."""
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    around = retrieval.pivots(vectors)
+    return retrieval.nearest_in_cells(stored(retrieval.celled(vectors, around), "cells"), around, rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding"))
+
+
 # ---- search -----------------------------------------------------------------
 
 def _index(spark, sf_dir) -> DataFrame:
@@ -576,3 +587,12 @@ def latest_event(spark, sf_dir):
     from ..streaming.ingest import latest
 
     return latest(table(spark, sf_dir, "events"), "user_id", F.struct("ts", "event_id"), ["event_id", "event_type"])
+
+
+@query("SELECT user_id AS document_id, max_by(event_type, (ts, event_id)) AS stage, CAST(max_by(event_id, (ts, event_id)) AS INT) AS percent FROM events GROUP BY 1")
+def latest_state(spark, sf_dir):
+    """Events as stages of their users: the last state that a keyed processor keeps."""
+    from ..streaming.progress import stages
+
+    told = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("stage"), F.col("event_id").cast("int").alias("percent"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return stages(told).select("document_id", "stage", "percent")
