@@ -40,8 +40,19 @@ class HashEmbedder:
         return retrieval.hash_vectors(texts, key, text)
 
 
+def in_order(replies: list) -> list:
+    """Vectors by the index that each came with, if they came with one."""
+    replies = list(replies)
+    if not replies or not isinstance(replies[0], dict):
+        return replies
+    if sorted(r["index"] for r in replies) != list(range(len(replies))):
+        raise ValueError("The model's vectors do not have one index for each text.")
+    return [r["embedding"] for r in sorted(replies, key=lambda r: r["index"])]
+
+
 class ModelEmbedder:
-    """Any model: ``embed`` takes a list of texts and gives as many vectors. It
+    """Any model: ``embed`` takes a list of texts and gives as many vectors, in
+    their order, or as {"index", "embedding"} in any order. It
     is called in tasks, a batch at a time, again after a failure, and its
     vectors are checked for their width and divided by their length."""
 
@@ -55,7 +66,7 @@ class ModelEmbedder:
         def unit(texts: list[str]) -> list:
             for turn in range(1, tries + 1):
                 try:
-                    found = np.array(embed(texts), np.float64)
+                    found = np.array(in_order(embed(texts)), np.float64)
                     break
                 except Exception:
                     if turn == tries:

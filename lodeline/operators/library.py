@@ -28,7 +28,7 @@ from ..functions import text as T
 from ..sources import files as sources
 from . import chunking, citations, index, retrieval
 from .embedding import Embedder, HashEmbedder
-from .staging import stored
+from .staging import passing, stored
 
 WORKING = ("pending", "extracting", "chunking", "embedding")
 NO_TEXT = "The file was read, but there is no text in it; a scan needs text recognition."
@@ -349,9 +349,10 @@ class Library:
         fresh = files.select("path", "content", content_hash(F.col("content")).alias("content_hash")).join(wanted, ["content_hash", "path"], "left_semi")
         fresh = stored(fresh.dropDuplicates(["content_hash"]), "fresh")
         if not fresh.isEmpty():
-            made = self._received(sources.extracted(fresh, "content_hash"), collection, source_type)
-            self._tell(made, "extracting", 5)
-            self._indexed(made)
+            with passing(self.spark):
+                made = self._received(sources.extracted(fresh, "content_hash"), collection, source_type)
+                self._tell(made, "extracting", 5)
+                self._indexed(made)
         ids = self._all("documents").select("content_hash", F.col("id").alias("document_id"), "status", "error")
         old = known.filter("status <> 'failed'").select("content_hash").withColumn("duplicate", F.lit(True))
         return rows.join(ids, "content_hash").join(old, "content_hash", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
@@ -384,7 +385,7 @@ class Library:
         breaks off can be repeated."""
         if not isinstance(ids, DataFrame):
             ids = self.spark.createDataFrame([(i,) for i in ids], "id bigint")
-        with self._turn():
+        with passing(self.spark), self._turn():
             ids = stored(self._all("documents").join(ids.select("id"), "id", "left_semi").select("id"), "deleted")
             buckets = self._touched(ids)
             if not buckets:
@@ -401,7 +402,8 @@ class Library:
         here = here if documents is None else here.join(documents.select("id"), "id", "left_semi")
         whole = here.join(self._all("texts"), ["id", "bucket"], "left").drop("bucket")
         lost = F.when(F.col("extracted_text").isNull() & F.col("error").isNull(), LOST).when(F.col("extracted_text").isNull(), F.col("error"))
-        self._indexed(stored(whole.withColumn("error", lost), "reindex"))
+        with passing(self.spark):
+            self._indexed(stored(whole.withColumn("error", lost), "reindex"))
 
     def recover(self) -> DataFrame:
         """Finishes what an interruption left; returns what was stuck."""
@@ -412,7 +414,7 @@ class Library:
 
     def clear_index(self) -> None:
         """No passages, no model; documents wait."""
-        with self._turn():
+        with passing(self.spark), self._turn():
             waiting = self._all("documents").withColumn("status", F.lit("pending")).withColumn("indexed_at", F.lit(None).cast("timestamp")).withColumn("version", F.lit(uuid.uuid4().hex))
             waiting = stored(waiting, "waiting")
             for name in ("passages", "postings"):

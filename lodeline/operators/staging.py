@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_held = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What this thread stores inside is removed at the end; for work whose
+    result lies elsewhere by then."""
+    outer, _held.paths = getattr(_held, "paths", None), []
+    try:
+        yield
+    finally:
+        mine, _held.paths = _held.paths, outer
+        for path in mine:
+            name = spark._jvm.org.apache.hadoop.fs.Path(path)
+            name.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(name, True)
+
+
 def stored(df: DataFrame, label: str, **how: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the
     lineage, keeps the result if executors are lost, and costs less disk than
     a row-wise checkpoint. ``how``: the writer's options."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if getattr(_held, "paths", None) is not None:
+        _held.paths.append(path)
     df.write.options(**how).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

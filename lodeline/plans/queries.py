@@ -519,11 +519,12 @@ def _states(spark, sf_dir) -> DataFrame:
     return docs.withColumn("status", F.expr(_STATUS)).withColumn("extracted_text", F.when(F.col("id") % 2 == 0, F.col("text"))).withColumn("content_hash", library.content_hash(F.col("text")))
 
 
-@query(f"""WITH d AS (SELECT doc_id, text, sha256(text) AS h, {_STATUS} AS status FROM documents) SELECT DISTINCT h AS content_hash FROM d WHERE doc_id >= 500 AND h NOT IN (SELECT h FROM d WHERE doc_id < 500 AND status <> 'failed')""")
+@query(f"""WITH d AS (SELECT doc_id, text, sha256(text) AS h, {_STATUS} AS status FROM documents) SELECT DISTINCT h AS content_hash FROM d WHERE h NOT IN (SELECT h FROM d SEMI JOIN labels USING (doc_id) WHERE status <> 'failed')""")
 def dedup_new_docs(spark, sf_dir):
-    """Documents from 500 on, added to those before."""
+    """All documents, added to a library of those that have labels."""
     docs = _states(spark, sf_dir)
-    return library.new_documents(docs.filter("id >= 500"), docs.filter("id < 500")).select("content_hash")
+    known = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return library.new_documents(docs, known).select("content_hash")
 
 
 @query(f"WITH d AS (SELECT doc_id AS id, 'doc-' || doc_id AS title, doc_id % 2 = 0 AS has_text, {_STATUS} AS status FROM documents) SELECT id, title, has_text, CASE WHEN has_text THEN 'pending' ELSE 'failed' END AS new_status, CASE WHEN NOT has_text THEN '{library.LOST}' END AS error FROM d WHERE status IN ('pending', 'extracting', 'embedding')")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.library import WORKING, Library, percent  # noqa: F401
+from ..operators.staging import passing
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -23,15 +26,20 @@ def watch(library: Library, folder: str, checkpoint: str, collection: str = "")
     spark = library.spark
     library.recover()
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    add = lambda batch, _: None if batch.isEmpty() else library.add(batch, collection)
+
+    def add(batch: DataFrame, _: int) -> None:
+        with passing(spark):
+            if not batch.isEmpty():
+                library.add(batch, collection)
+
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class Progress(StreamingQueryListener):
-    """Keeps each run's events: started, how many files a batch had, ended."""
+    """Keeps the last events of runs: started, how many files a batch had, ended."""
 
-    def __init__(self):
-        self.events: list[dict] = []
+    def __init__(self, most: int = 1000):
+        self.events: deque[dict] = deque(maxlen=most)
 
     def onQueryStarted(self, event):
         self.events.append({"stage": "queued", "run": str(event.runId)})

@@ -4,13 +4,15 @@ import json
 import re
 import uuid
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodeline.operators import citations, library, retrieval
-from lodeline.operators.embedding import ModelEmbedder
+from lodeline.operators.embedding import ModelEmbedder, in_order
 from lodeline.operators.library import Library
+from lodeline.operators.staging import passing, shared_dir, stored
 from lodeline.sources import files
 from lodeline.streaming import ingest
 
@@ -302,6 +304,23 @@ def test_nothing_is_seen_of_a_broken_change(spark, tmp_path):
     assert len(away.search(question(spark, "vectors model")).collect()) == 1 and "no model" in away.vector_error
 
 
+def test_vectors_go_by_their_index():
+    assert in_order([{"index": 2, "embedding": [3]}, {"index": 0, "embedding": [1]}, {"index": 1, "embedding": [2]}]) == [[1], [2], [3]] == in_order([[1], [2], [3]])
+    with pytest.raises(ValueError):
+        in_order([{"index": 1, "embedding": [3]}, {"index": 1, "embedding": [1]}])
+
+
+def test_passing_tables_are_removed(spark, tmp_path):
+    here = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("probe-*"))
+    before = here()
+    with passing(spark):
+        stored(spark.range(3), "probe")
+        with passing(spark):
+            assert stored(spark.range(3), "probe").count() == 3 and len(here() - before) == 2
+        assert len(here() - before) == 1
+    assert here() == before and stored(spark.range(3), "probe").count() == 3 and len(here() - before) == 1
+
+
 def test_colliding_document_ids_are_refused(spark, tmp_path, monkeypatch):
     lib = Library(spark, f"{tmp_path}/lib")
     lib.add(make(spark, ("a.txt", b"A document that comes first and is kept in the library.")))
