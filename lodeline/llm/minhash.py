@@ -15,6 +15,11 @@ go through the blocks with their members, a few kB each, and are compared there;
 of larger ones only the sketch does, and for the few pairs that it leaves the full
 sets are fetched. So what leaves a block are links, or pairs that very likely are.
 
+A set so small that the threshold allows it to differ from a larger one in a single
+shingle (up to seven at 0.8) has no bands, since one common shingle would bring it into
+many buckets. Its only partners are equal sets, and sets that have one shingle more:
+these name themselves without each of their shingles in turn, and meet it by equality.
+
 A pair at exactly the threshold shares no bucket with probability
 (1 - s**4)**32, 5e-8 at 0.8; the sketch rules it out with about 1e-6 where both
 sets have ``SKETCH_LEAST`` shingles. Smaller sets fill many bins with few hashes,
@@ -50,27 +55,35 @@ SKETCH_LEAST = 512
 #: Members in a block of a mixed bucket; digests up to which a set of them is broadcast (16 bytes each).
 BLOCK, BROADCAST_IDS = 2048, 500_000
 
-SIGNED = "doc_id bigint, th bigint, n_shingles bigint, digest binary, bands array<bigint>, s1 bigint, s2 bigint"
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("s1", pa.int64()), ("s2", pa.int64())])
+SIGNED = "doc_id bigint, th bigint, n_shingles bigint, digest binary, bands array<bigint>, s1 bigint, s2 bigint, less array<binary>"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("s1", pa.int64()), ("s2", pa.int64()), ("less", pa.list_(pa.binary()))])
+
+
+def differs_by_one(n: int, percent: int) -> bool:
+    """Whether sets of n shingles and of more that are alike enough differ in
+    one at most: in n (100 - percent) / percent of them."""
+    return n * (100 - percent) // percent <= 1
 
 
 def _bytes(batch: pa.RecordBatch, i: int) -> list[bytes]:
     return [x or b"" for x in batch.column(i).cast(pa.binary()).to_pylist()]
 
 
-def _signed(words: int, rows: int):
+def _signed(words: int, rows: int, percent: int):
     def run(batches):
         for batch in slices(batches, "text"):
             out = {c: [] for c in _SIGNED.names[2:]}
             for s in shingle_sets(_bytes(batch, 1), words):
                 out["n_shingles"].append(len(s))
                 if not len(s):
-                    for c in ("digest", "bands", "s1", "s2"):
+                    for c in ("digest", "bands", "s1", "s2", "less"):
                         out[c].append(None)
                     continue
-                sig = signature(s, BINS)
+                sig, n = signature(s, BINS), len(s)
                 low, high = sketch(sig).tolist()
-                for c, v in (("digest", digest(s)), ("bands", band_keys(sig, rows).view(np.int64)), ("s1", low), ("s2", high)):
+                bands = [] if differs_by_one(n, percent) else band_keys(sig, rows).view(np.int64)
+                less = [digest(np.delete(s, i)) for i in range(n)] if differs_by_one(n - 1, percent) and 100 * (n - 1) >= percent * n else None
+                for c, v in (("digest", digest(s)), ("bands", bands), ("s1", low), ("s2", high), ("less", less)):
                     out[c].append(v)
             yield batch_of(_SIGNED, {"doc_id": batch.column(0), "th": batch.column(2)} | out)
 
@@ -188,11 +201,11 @@ def _linked(docs: DataFrame, named: DataFrame, edges: DataFrame, words: int, per
 def _labelled(docs: DataFrame, words: int, percent: int, band_rows: int, block: int) -> DataFrame:
     """doc_id, th (the text's hash), n_shingles, component (a digest, null for
     rows in no group) and component_id for each row."""
-    signed = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_signed(words, band_rows), SIGNED), "signatures")
+    signed = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_signed(words, band_rows, percent), SIGNED), "signatures")
     full = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     # Equal sets are one, named by their digest.
-    reps = full.groupBy(F.col("digest").alias("id")).agg(F.min(F.struct("doc_id", "th")).alias("at"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "s1", "s2")])
-    reps = stored(reps.select("id", "at", F.col("n_shingles").alias("n"), "bands", "s1", "s2"), "representatives")
+    reps = full.groupBy(F.col("digest").alias("id")).agg(F.min(F.struct("doc_id", "th")).alias("at"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "s1", "s2", "less")])
+    reps = stored(reps.select("id", "at", F.col("n_shingles").alias("n"), "bands", "s1", "s2", "less"), "representatives")
     named = reps.select("id", "at.doc_id", "at.th")
     banded = reps.select("id", "n", "s1", "s2", F.posexplode("bands").alias("band", "value")).withColumn("key", F.xxhash64("band", "value"))
     centres = banded.groupBy("key").agg(F.min(F.struct("id", "n", "s1", "s2")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -200,7 +213,8 @@ def _labelled(docs: DataFrame, words: int, percent: int, band_rows: int, block:
     star = banded.join(centres, "key").filter(F.col("id") != F.col("c.id"))
     near = plausible(F.col("s1"), F.col("s2"), F.col("n"), F.col("c.s1"), F.col("c.s2"), F.col("c.n"), percent)
     edges = stored(star.filter(near).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
-    links = _linked(docs, named, edges, words, percent, "star")
+    by_one = reps.select(F.col("id").alias("b"), F.explode("less").alias("a")).join(reps.select(F.col("id").alias("a")), "a").select("a", "b")
+    links = stored(_linked(docs, named, edges, words, percent, "star").unionByName(by_one), "links")
     found = components(links)
     # Buckets whose members are not all in one component.
     placed = stored(reps.join(found, "id", "left").select("id", "n", "s1", "s2", "bands", F.coalesce("component", "id").alias("comp")), "placed")
@@ -228,7 +242,7 @@ def _labelled(docs: DataFrame, words: int, percent: int, band_rows: int, block:
     grouped_ = reps.select("id", "at.doc_id").join(found, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     least = grouped_.groupBy("component").agg(F.min("doc_id").alias("least"))
     names = grouped_.join(least, "component").select(F.col("id").alias("digest"), "component", "least")
-    joined = signed.join(names, "digest", "left")
+    joined = signed.drop("less").join(names, "digest", "left")
     known = F.col("doc_id").isNotNull()
     return joined.select("doc_id", "th", "n_shingles", F.when(known, F.col("component")).alias("component"), F.when(known, F.coalesce("least", "doc_id")).alias("component_id"))
 

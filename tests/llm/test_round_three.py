@@ -14,9 +14,11 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.llm import crc, resampling, secret_scan, spelling
+from lodeline.llm import crc, minhash, resampling, secret_scan, spelling
+from lodeline.llm.common import stored
 
 from .cases import DOCUMENTS, ODD, clashing, rows
+from .test_corpus import brute_components
 
 
 def texts():
@@ -253,3 +255,34 @@ def test_crc():
     assert own.tolist() == [zlib.crc32(p) for p in parts]
     before = np.array([zlib.crc32(b"ab" + p) for p in parts], np.uint32)
     assert crc.joined(before, own, size, lambda i: parts[i]).tolist() == [zlib.crc32(b"ab" + p + p) for p in parts]
+
+
+# ---- near duplicates of few words -------------------------------------------
+
+def test_short_texts_that_share_a_phrase_meet_nowhere(spark, monkeypatch):
+    sizes = {}
+
+    def counted(df, label, **how):
+        out = stored(df, label, **how)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    for n in (500, 2000):
+        out = minhash.grouped(rows(spark, [f"see also page n{i}" for i in range(n)] + [f"a b c d e f g n{i}" for i in range(n)]), words=2)
+        assert out.filter("kept").count() == 2 * n
+        assert sizes["candidates"] == sizes["members"] == 0
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_sets_of_few_shingles(spark, words):
+    random.seed(words)
+    many = [" ".join(random.choice("abcdef") for _ in range(random.randrange(1, 14))) for _ in range(120)]
+    for _ in range(160):
+        w = random.choice(many).split()
+        k = random.randrange(len(w) + 1)
+        many.append(" ".join(random.choice([w[1:], w[:-1], [*w, random.choice("abcx")], w[:k] + ["x"] + w[k:]])))
+    want, sizes = brute_components(many, words)
+    got = {r.doc_id: r for r in minhash.grouped(rows(spark, many), words=words).collect()}
+    assert [got[i].component_id for i in range(len(many))] == want and [got[i].n_shingles for i in range(len(many))] == sizes
+    assert len(set(want)) < len(set(many)) - 20
