@@ -36,7 +36,7 @@ NO_CHUNKS = "No passages could be made of the text."
 LOST = "The work on this document was broken off before its text was kept. Please add the file anew."
 NO_HITS = "No passage in the library has to do with this question. Other words may help, or a document that deals with it has to be added."
 NO_REPLY = "The model's reply could not be read, not even when asked again."
-#: Of the tables' layout; parts that documents are dealt to; seconds that a writer waits for its turn.
+#: Of the tables' layout; parts that a new library's documents are dealt to; seconds that a writer waits for its turn.
 VERSION, BUCKETS, PATIENCE = 4, 64, 600
 DOCUMENT = (
     "id bigint, title string, source_type string, filename string, mime string, byte_size bigint, content_hash string, char_count bigint, page_count int, "
@@ -47,7 +47,7 @@ PASSAGE = "id bigint, document_id bigint, ordinal int, text string, heading stri
 ASKED = "id bigint, question string, answer string, citations string, stats string, asked_at timestamp"
 TABLES = {
     "documents": f"{DOCUMENT}, version string, bucket int", "texts": f"id bigint, {TEXT}, bucket int", "passages": f"{PASSAGE}, bucket int", "postings": f"{index.INDEX}, bucket int",
-    "queries": ASKED, "config": "provider string, model string, dims int, layout int, at bigint", "progress": "document_id bigint, stage string, percent int, at bigint",
+    "queries": ASKED, "config": "provider string, model string, dims int, layout int, buckets int, at bigint", "progress": "document_id bigint, stage string, percent int, at bigint",
 }
 #: Tables that are partitioned, and what names a document in them; postings are made anew from their bucket's passages.
 KEYS = {"documents": "id", "texts": "id", "passages": "document_id"}
@@ -63,10 +63,6 @@ def document_id(hashed: Column) -> Column:
     return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
 
 
-def bucket_of(id_: Column) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(BUCKETS)).cast("int")
-
-
 def new_documents(added: DataFrame, known: DataFrame) -> DataFrame:
     """Of added rows (content_hash, ...), the first of each hash that no document
     has, failed ones aside (they may be added again)."""
@@ -116,10 +112,12 @@ def reason(error: Exception) -> str:
 
 class Library:
     """Documents, their texts, passages with vectors, postings, asked questions and
-    progress, under one folder."""
+    progress, under one folder. ``buckets``: of a new library; a change of
+    documents that are there rewrites theirs, so there are to be as many as keep a
+    bucket's rewriting cheap."""
 
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None):
-        self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder or HashEmbedder()
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, buckets: int = BUCKETS):
+        self.spark, self.path, self.embedder, self.buckets = spark, path.rstrip("/"), embedder or HashEmbedder(), buckets
         #: Why the last search had to do without vectors, or None.
         self.vector_error: str | None = None
         if self._exists("commits"):
@@ -127,12 +125,19 @@ class Library:
         for name in TABLES:
             if not self._exists(name):
                 spark.createDataFrame([], TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
-        newest = self._all("config").agg(F.max("layout").alias("v")).first()["v"]
-        if newest and newest > VERSION:
-            raise ValueError(f"The library's tables have layout {newest}; this program knows {VERSION} and older ones.")
+        newest = self._all("config").agg(F.max("layout").alias("layout"), F.max("buckets").alias("buckets")).first()
+        if newest.layout and newest.layout > VERSION:
+            raise ValueError(f"The library's tables have layout {newest.layout}; this program knows {VERSION} and older ones.")
+        if newest.buckets:
+            self.buckets = newest.buckets
+        else:
+            self._configure(None)
 
     # -- storage ----------------------------------------------------------------
 
+    def _bucket(self, id_: Column) -> Column:
+        return F.pmod(F.xxhash64(id_), F.lit(self.buckets)).cast("int")
+
     def _exists(self, name: str) -> bool:
         try:
             self.spark.read.format("text").load(f"{self.path}/{name}").isEmpty()
@@ -147,12 +152,13 @@ class Library:
         return [c.strip().split()[0] for c in re.split(r",(?![^<]*>)", TABLES[name])]
 
     def _write(self, name: str, rows: DataFrame, mode: str = "append") -> None:
-        """Appends rows, or puts them in place of all in their buckets. A bucket
-        goes to few files: rows are dealt to them first."""
+        """Appends rows, or puts them in place of all in their buckets. Rows are
+        dealt by bucket first, so that a small change writes few files; Spark
+        splits what is more than a task's share."""
         columns = self._columns(name)
         writer = rows.select(*columns)
         if "bucket" in columns:
-            writer = writer.repartition("bucket") if name == "documents" else writer
+            writer = writer if name == "postings" else writer.hint("rebalance", "bucket")
             writer = writer.write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic")
         else:
             writer = writer.coalesce(1).write
@@ -184,8 +190,8 @@ class Library:
         name.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(name, False)
 
     def _touched(self, ids: DataFrame) -> list[int]:
-        """The buckets of some documents, ``BUCKETS`` at most."""
-        return [r.bucket for r in ids.select(bucket_of(F.col("id")).alias("bucket")).distinct().collect()]
+        """The buckets of some documents, as many as there are at most."""
+        return [r.bucket for r in ids.select(self._bucket(F.col("id")).alias("bucket")).distinct().collect()]
 
     def _replace(self, name: str, ids: DataFrame, rows: DataFrame | None) -> None:
         """Puts ``rows`` in place of what some documents (id) have in a table."""
@@ -209,9 +215,9 @@ class Library:
             folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
     def _post(self, passages: DataFrame, buckets: list[int] | None = None) -> None:
-        """Appends the postings of passages (id, text, heading, bucket), a segment
-        of a bucket to a task; with ``buckets``, in place of those there."""
-        rows = passages.select(F.col("id").alias("chunk_id"), "text", "heading", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+        """Appends the postings of passages (id, text, heading, bucket), segments
+        of one bucket each; with ``buckets``, in place of those there."""
+        rows = passages.select(F.col("id").alias("chunk_id"), "text", "heading", "bucket").hint("rebalance", "bucket").sortWithinPartitions("bucket")
         made = stored(rows.mapInArrow(index.by_bucket, f"{index.INDEX}, bucket int"), "postings", **index.WRITING)
         self._write("postings", made, "append" if buckets is None else "overwrite")
         if buckets is not None:
@@ -245,10 +251,9 @@ class Library:
         last = self._all("config").orderBy(F.desc("at")).limit(1).collect()
         return last[0].asDict() if last and last[0].model else None
 
-    def _configure(self, model: bool) -> None:
-        e = self.embedder
-        row = (*((e.provider, e.model, e.dims) if model else (None, None, None)), VERSION, time.time_ns())
-        self._write("config", self.spark.createDataFrame([row], TABLES["config"]))
+    def _configure(self, model: Embedder | None) -> None:
+        named = (model.provider, model.model, model.dims) if model else (None, None, None)
+        self._write("config", self.spark.createDataFrame([(*named, VERSION, self.buckets, time.time_ns())], TABLES["config"]))
 
     def check_config(self) -> None:
         """Vectors of two models cannot be compared: refused on writing and on asking."""
@@ -262,8 +267,8 @@ class Library:
         old = lambda name: self.spark.read.parquet(f"{self.path}/{name}")
         light = old("documents").select("id", "batch", "gone").join(old("commits").select("batch", "at"), "batch")
         last = light.groupBy("id").agg(F.max_by(F.struct("batch", "gone"), F.struct("at", "batch")).alias("v")).filter("NOT v.gone").select("id", "v.batch")
-        documents = stored(old("documents").join(last, ["id", "batch"], "left_semi").withColumn("version", F.col("batch")).withColumn("bucket", bucket_of(F.col("id"))), "old-documents")
-        passages = stored(old("passages").join(last.withColumnRenamed("id", "document_id"), ["document_id", "batch"], "left_semi").withColumn("bucket", bucket_of(F.col("document_id"))), "old-passages")
+        documents = stored(old("documents").join(last, ["id", "batch"], "left_semi").withColumn("version", F.col("batch")).withColumn("bucket", self._bucket(F.col("id"))), "old-documents")
+        passages = stored(old("passages").join(last.withColumnRenamed("id", "document_id"), ["document_id", "batch"], "left_semi").withColumn("bucket", self._bucket(F.col("document_id"))), "old-passages")
         model = old("commits").filter("model IS NOT NULL OR change = 'clear'").orderBy(F.desc("at")).limit(1).collect()
         fs = (path := self.spark._jvm.org.apache.hadoop.fs.Path(self.path)).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         for name in ("documents", "passages", "terms"):
@@ -273,7 +278,7 @@ class Library:
         self._write("passages", passages)
         self._post(passages)
         for r in model:
-            self._write("config", self.spark.createDataFrame([(r.provider, r.model, r.dims, VERSION, time.time_ns())], TABLES["config"]))
+            self._write("config", self.spark.createDataFrame([(r.provider, r.model, r.dims, VERSION, self.buckets, time.time_ns())], TABLES["config"]))
         fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, "commits"), True)
 
     # -- documents --------------------------------------------------------------
@@ -283,10 +288,10 @@ class Library:
         passages in place, except those that are not as they were; returns which."""
         with self._turn():
             now = self._all("documents").filter(F.col("bucket").isin(self._touched(rows))).select("id", "version")
-            still = stored(rows.join(now, ["id", "version"], "left_semi").withColumn("version", F.lit(uuid.uuid4().hex)).withColumn("bucket", bucket_of(F.col("id"))), "settled")
+            still = stored(rows.join(now, ["id", "version"], "left_semi").withColumn("version", F.lit(uuid.uuid4().hex)).withColumn("bucket", self._bucket(F.col("id"))), "settled")
             ids = still.select("id")
             if passages is not None:
-                mine = passages.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi").withColumn("bucket", bucket_of(F.col("document_id")))
+                mine = passages.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi").withColumn("bucket", self._bucket(F.col("document_id")))
                 buckets = self._touched(ids)
                 first = self._all("passages").filter(F.col("bucket").isin(buckets)).join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi").isEmpty()
                 self._replace("passages", ids, mine)
@@ -313,7 +318,7 @@ class Library:
         out = out.withColumn("indexed_at", F.when(F.col("status") == "ready", F.current_timestamp())).withColumn("char_count", F.length("extracted_text").cast("long"))
         out = stored(out.withColumn("error", F.substring(F.coalesce("error", warning), 1, 500)).drop("_n", "extracted_text", "pages"), "indexed")
         settled = self._settle(out, passages)
-        self._configure(True)
+        self._configure(self.embedder)
         self._tell(settled, F.col("status"), F.when(F.col("status") == "ready", 100))
 
     def _embedded(self, cut: DataFrame, documents: DataFrame) -> DataFrame:
@@ -366,7 +371,7 @@ class Library:
             "byte_size", "content_hash", F.length("text").cast("long").alias("char_count"), "page_count", F.lit(collection[:80]).alias("collection"), F.lit("pending").alias("status"),
             "error", F.current_timestamp().alias("added_at"), F.lit(None).cast("timestamp").alias("indexed_at"), F.col("text").alias("extracted_text"), "pages", F.lit(uuid.uuid4().hex).alias("version"),
         )
-        made = stored(made.withColumn("bucket", bucket_of(F.col("id"))), "received")
+        made = stored(made.withColumn("bucket", self._bucket(F.col("id"))), "received")
         with self._turn():
             now = self._all("documents").filter(F.col("bucket").isin(self._touched(made)))
             made = stored(new_documents(made, now), "added")
@@ -418,18 +423,18 @@ class Library:
             waiting = self._all("documents").withColumn("status", F.lit("pending")).withColumn("indexed_at", F.lit(None).cast("timestamp")).withColumn("version", F.lit(uuid.uuid4().hex))
             waiting = stored(waiting, "waiting")
             for name in ("passages", "postings"):
-                self._clear(name, set(range(BUCKETS)))
+                self._clear(name, set(range(self.buckets)))
             self._write("documents", waiting, "overwrite")
-            self._configure(False)
+            self._configure(None)
 
     def stats(self) -> DataFrame:
-        return stats(self.documents, self.passages)
+        return stats(self._all("documents"), self.passages)
 
     def doctor(self) -> dict:
         """Whether the tables can be read and the embedder gives its width."""
         one = self.spark.createDataFrame([(1, "test")], "id bigint, text string")
         width = len(self.embedder.vectors(one, "id", "text", "query").first()["embedding"])
-        return {"width": width, "expected": self.embedder.dims, "documents": self.documents.count(), "passages": self.passages.count()}
+        return {"width": width, "expected": self.embedder.dims, "documents": self._all("documents").count(), "passages": self.passages.count()}
 
     # -- asking -----------------------------------------------------------------
 
@@ -448,7 +453,7 @@ class Library:
         passages = self.passages
         postings = self._all("postings").drop("bucket")
         vectors = passages.select(F.col("id").alias("chunk_id"), "embedding")
-        hits = retrieval.search(passages.drop("embedding", "token_est"), self.documents, questions, mode, min(limit or 10, 30), index=postings, vectors=vectors, asked=asked, **how)
+        hits = retrieval.search(passages.drop("embedding", "token_est"), self._all("documents"), questions, mode, min(limit or 10, 30), index=postings, vectors=vectors, asked=asked, **how)
         return hits.join(questions.select("question_id", "question"), "question_id").withColumn("excerpt", T.highlighted(F.col("text"), F.col("question"))).drop("question")
 
     def around(self, chunks: DataFrame, span: int = 1) -> DataFrame:

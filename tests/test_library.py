@@ -193,7 +193,7 @@ def test_library_life(spark, tmp_path):
     assert lib.passages.count() == n and lib.doctor()["width"] == 256
     later = Library(spark, lib.path)
     assert later.documents.count() == 3
-    later._write("config", spark.createDataFrame([("x", "y", 1, 99, 1)], library.TABLES["config"]))
+    later._write("config", spark.createDataFrame([("x", "y", 1, 99, 64, 1)], library.TABLES["config"]))
     with pytest.raises(ValueError):
         Library(spark, lib.path)
 
@@ -250,7 +250,9 @@ def test_equal_paths_and_equal_contents(spark, tmp_path):
 def test_an_added_file_is_read_twice_and_leaves_few_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_bytes(ONE)
+    assert Library(spark, f"{tmp_path}/lib", buckets=7).buckets == 7
     lib = Library(spark, f"{tmp_path}/lib")
+    assert lib.buckets == 7 and lib.config() is None
     here = lambda: {p for p in (tmp_path / "lib").rglob("part-*.parquet")}
     before, plans = here(), []
     stored_ = library.stored
