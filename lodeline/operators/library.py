@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,12 +137,14 @@ class Library:
     def _bucket(self, id_: Column) -> Column:
         return F.pmod(F.xxhash64(id_), F.lit(self.buckets)).cast("int")
 
+    def _place(self, name: str) -> tuple:
+        """A file or folder of the library's, and the file system it is in."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), place
+
     def _exists(self, name: str) -> bool:
-        try:
-            self.spark.read.format("text").load(f"{self.path}/{name}").isEmpty()
-            return True
-        except AnalysisException:
-            return False
+        fs, place = self._place(name)
+        return fs.exists(place)
 
     def _all(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
@@ -171,23 +172,21 @@ class Library:
         """Writers put their changes in place one after another: a folder's file
         can be created once. One that a broken writer left has to be removed by
         ``unlock``."""
-        jvm = self.spark._jvm
-        name = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_turn")
-        fs = name.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        fs, place = self._place("_turn")
         until = time.monotonic() + PATIENCE
-        while not fs.createNewFile(name):
+        while not fs.createNewFile(place):
             if time.monotonic() > until:
                 raise TimeoutError("Another writer has not ended its turn; if none is at work, call unlock().")
             time.sleep(0.2)
         try:
             yield
         finally:
-            fs.delete(name, False)
+            fs.delete(place, False)
 
     def unlock(self) -> None:
         """Ends the turn of a writer that broke off."""
-        name = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_turn")
-        name.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(name, False)
+        fs, place = self._place("_turn")
+        fs.delete(place, False)
 
     def _touched(self, ids: DataFrame) -> list[int]:
         """The buckets of some documents, as many as there are at most."""
@@ -211,8 +210,8 @@ class Library:
     def _clear(self, name: str, buckets: set[int]) -> None:
         """An overwrite leaves buckets alone for which it has no rows."""
         for b in buckets:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/bucket={b}")
-            folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+            fs, place = self._place(f"{name}/bucket={b}")
+            fs.delete(place, True)
 
     def _post(self, passages: DataFrame, buckets: list[int] | None = None) -> None:
         """Appends the postings of passages (id, text, heading, bucket), segments
@@ -263,23 +262,32 @@ class Library:
 
     def _migrate(self) -> None:
         """Tables of layout 3, where rows carried batches and commits made them
-        seen: the last committed version of each document is taken over."""
+        seen: the last committed version of each document is taken over. The
+        old tables are put aside and go at the end, so this can be repeated."""
+        def moved(name: str, to: str | None) -> None:
+            fs, place = self._place(name)
+            if to is None:
+                fs.delete(place, True)
+            elif not self._exists(to):
+                fs.rename(place, self._place(to)[1])
+
+        for name in ("documents", "passages", "terms"):
+            moved(name, f"layout3-{name}")
+        for name in ("documents", "texts", "passages", "postings", "config"):
+            moved(name, None)
         old = lambda name: self.spark.read.parquet(f"{self.path}/{name}")
-        light = old("documents").select("id", "batch", "gone").join(old("commits").select("batch", "at"), "batch")
+        light = old("layout3-documents").select("id", "batch", "gone").join(old("commits").select("batch", "at"), "batch")
         last = light.groupBy("id").agg(F.max_by(F.struct("batch", "gone"), F.struct("at", "batch")).alias("v")).filter("NOT v.gone").select("id", "v.batch")
-        documents = stored(old("documents").join(last, ["id", "batch"], "left_semi").withColumn("version", F.col("batch")).withColumn("bucket", self._bucket(F.col("id"))), "old-documents")
-        passages = stored(old("passages").join(last.withColumnRenamed("id", "document_id"), ["document_id", "batch"], "left_semi").withColumn("bucket", self._bucket(F.col("document_id"))), "old-passages")
-        model = old("commits").filter("model IS NOT NULL OR change = 'clear'").orderBy(F.desc("at")).limit(1).collect()
-        fs = (path := self.spark._jvm.org.apache.hadoop.fs.Path(self.path)).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        for name in ("documents", "passages", "terms"):
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, name), True)
+        documents = old("layout3-documents").join(last, ["id", "batch"], "left_semi").withColumn("version", F.col("batch")).withColumn("bucket", self._bucket(F.col("id")))
+        passages = old("layout3-passages").join(last.withColumnRenamed("id", "document_id"), ["document_id", "batch"], "left_semi").withColumn("bucket", self._bucket(F.col("document_id")))
         self._write("documents", documents)
         self._write("texts", documents)
         self._write("passages", passages)
-        self._post(passages)
-        for r in model:
+        self._post(self._all("passages"))
+        for r in old("commits").filter("model IS NOT NULL OR change = 'clear'").orderBy(F.desc("at")).limit(1).collect():
             self._write("config", self.spark.createDataFrame([(r.provider, r.model, r.dims, VERSION, self.buckets, time.time_ns())], TABLES["config"]))
-        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, "commits"), True)
+        for name in ("layout3-documents", "layout3-passages", "layout3-terms", "commits"):
+            moved(name, None)
 
     # -- documents --------------------------------------------------------------
 

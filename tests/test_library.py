@@ -274,10 +274,21 @@ def test_older_tables_are_taken_over(spark, tmp_path):
     put("passages", [(10, 1, 0, "honey of the hive", "", None, 0, 9, 4, [1.0] + [0.0] * 255, "b"), (20, 2, 0, "deleted honey", "", None, 0, 9, 4, [1.0] + [0.0] * 255, "a")], f"{library.PASSAGE}, batch string")
     put("terms", [(10, 1, ["honey"], [], "b")], "chunk_id bigint, document_id bigint, text_terms array<string>, heading_terms array<string>, batch string")
     put("commits", [("a", 1, "receive", None, None, None, 3), ("b", 2, "index", "hash", "hash-256", 256, 3), ("c", 3, "delete", None, None, None, 3)], "batch string, at bigint, change string, provider string, model string, dims int, version int")
+    post = Library._post
+
+    def broken(self, passages, buckets=None):
+        raise RuntimeError("lost")
+
+    Library._post = broken
+    try:
+        with pytest.raises(RuntimeError):
+            Library(spark, f"{tmp_path}/lib")
+    finally:
+        Library._post = post
     lib = Library(spark, f"{tmp_path}/lib")
     assert [(r.id, r.status, r.extracted_text) for r in lib.documents.collect()] == [(1, "ready", "text of 1")] and lib.config()["model"] == "hash-256"
     assert [r.chunk_id for r in lib.search(question(spark, "honey"), mode="keyword").collect()] == [10]
-    assert Library(spark, lib.path).documents.count() == 1
+    assert Library(spark, lib.path).documents.count() == 1 == lib.passages.count() and not (tmp_path / "lib" / "commits").exists()
 
 
 def test_progress_goes_on_while_vectors_are_made(spark, tmp_path, monkeypatch):
