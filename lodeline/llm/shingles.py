@@ -76,3 +76,27 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+#: Cells for parities at most.
+CELLS = 4096
+
+
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each of 64 to ``CELLS`` cells, twice as many as hashes or more up to
+    that: whether the cell holds an odd number of the set's hashes."""
+    cells = min(CELLS, max(64, 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(odd: bytes, size: int) -> bytes:
+    """The parities of the same set over fewer cells, in ``size`` bytes."""
+    if len(odd) == size:
+        return odd
+    return np.bitwise_xor.reduce(np.frombuffer(odd, np.uint8).reshape(-1, size), axis=0).tobytes()
+
+
+def differ_at_most(apart, sizes, percent: int):
+    """Whether two sets of ``sizes`` hashes together, of which at least ``apart`` are in
+    one set only, may be alike enough: 100 * (sizes - d) >= percent * (sizes + d)."""
+    return (100 + percent) * apart <= (100 - percent) * sizes

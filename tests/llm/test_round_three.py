@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.llm import crc, minhash, resampling, secret_scan, spelling
+from lodeline.llm import crc, minhash, resampling, secret_scan, shingles, spelling
 from lodeline.llm.common import stored
 
 from .cases import DOCUMENTS, ODD, clashing, rows
@@ -286,3 +286,53 @@ def test_sets_of_few_shingles(spark, words):
     got = {r.doc_id: r for r in minhash.grouped(rows(spark, many), words=words).collect()}
     assert [got[i].component_id for i in range(len(many))] == want and [got[i].n_shingles for i in range(len(many))] == sizes
     assert len(set(want)) < len(set(many)) - 20
+
+
+def test_full_sets_are_read_of_possible_links_only(spark, monkeypatch):
+    random.seed(5)
+    sizes = {}
+
+    def counted(df, label, **how):
+        out = stored(df, label, **how)
+        sizes[label] = out.count()
+        return out
+
+    def edited(words, n):
+        at = set(random.sample(range(len(words)), n))
+        return [f"e{random.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    many = []
+    for k in range(150):  # of about 0.6, which share buckets and are no links
+        w = [f"w{k}x{i}" for i in range(60 + 10 * k)]
+        many += [" ".join(w), " ".join(edited(w, len(w) // 8))]
+    for k in range(20):  # links
+        w = [f"y{k}x{i}" for i in range(60 + 40 * k)]
+        many += [" ".join(w), " ".join(edited(w, len(w) // 40))]
+    want, _ = brute_components(many, 2)
+    got = {r.doc_id: r.component_id for r in minhash.grouped(rows(spark, many), words=2).collect()}
+    assert [got[i] for i in range(len(many))] == want and len(set(want)) == len(many) - 20
+    assert sizes["candidates"] > 100  # they do meet
+    assert sizes["star-ids"] + sizes["small-ids"] <= 60
+    assert sizes["buckets"] <= 2 * 32 * 170 and sizes["placed"] == len(many)
+
+
+@pytest.mark.parametrize("n", [1, 3, 31, 32, 33, 100, 250, 520, 1030, 2050, 5000])
+def test_parities_rule_out_no_link(n):
+    rng = np.random.default_rng(n)
+    for more, fewer in ((0, 0), (n // 4, 0), (n // 9, n // 9), (n // 9 + 1, n // 9), (n, n // 2), (9 * n, n)):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.sort(np.concatenate((a[: n - fewer], rng.integers(0, 2**64, more, np.uint64))))
+        if not len(b):
+            continue
+        x, y = shingles.parities(a), shingles.parities(b)
+        size = min(len(x), len(y))
+        assert shingles.folded(shingles.folded(x, size), 8) == shingles.folded(x, 8)
+        apart = (int.from_bytes(shingles.folded(x, size)) ^ int.from_bytes(shingles.folded(y, size))).bit_count()
+        assert apart <= len(np.setxor1d(a, b))
+        possible = shingles.differ_at_most(apart, len(a) + len(b), 80)
+        assert possible or not shingles.jaccard_at_least(a, b, 80)
+        assert shingles.differ_at_most(len(np.setxor1d(a, b)), len(a) + len(b), 80) == shingles.jaccard_at_least(a, b, 80)
+    other = shingles.parities(rng.integers(0, 2**64, n, np.uint64))
+    apart = (int.from_bytes(other) ^ int.from_bytes(shingles.parities(a))).bit_count()
+    assert n < 31 or n > shingles.CELLS or not shingles.differ_at_most(apart, 2 * n, 80)
