@@ -32,7 +32,7 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Signed counts of hashed words, in expressions only."""
+    """Signed counts of hashed words."""
 
     provider, model, dims = "hash", "hash-256", retrieval.DIMS
 

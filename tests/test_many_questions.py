@@ -1,10 +1,15 @@
 """Large tables of questions: scored together, in few tasks, with the results of plain scans."""
 
+import hashlib
 import random
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from lodeline.functions.digest import md5_heads
 from lodeline.operators import index, ranks, retrieval
 from lodeline.operators.staging import stored
 
@@ -85,3 +90,47 @@ def test_ranks_over_many_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     best = sorted((float(i * 7 % 11), i) for i in range(60))[:13]
     assert got == sorted((q, i, s, k) for q in range(40) for k, (s, i) in enumerate(best, 1))
+
+
+def test_hashes_and_slots_are_those_of_the_library():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    start, length = rng.integers(0, 2000, 2000), np.concatenate([np.arange(130), rng.integers(0, 900, 1870)])
+    want = [int.from_bytes(hashlib.md5(data[a : a + n].tobytes()).digest()[:4], "little") for a, n in zip(start.tolist(), length.tolist())]
+    assert md5_heads(data, start, length).tolist() == want and len(md5_heads(data, start[:0], length[:0])) == 0
+    some = ["", None, "one", "Ümläut ÉTÉ x́y ß ñ", "a b a b a", "..", "İstanbul K 3.14", "w" * 80 + " " + "v" * 30, "C++ v1.2 ＡＢ"]
+    rows = retrieval._weights(pa.array(some))
+    for text, row in zip(some, rows):
+        bare = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if not "̀" <= c <= "ͯ")
+        words = [w for w in re.split("[^a-z0-9]+", bare) if w]
+        slots = np.zeros(256, np.int64)
+        for gram in [*words, *(" ".join(p) for p in zip(words, words[1:])), *words[-1:]]:
+            h = hashlib.md5(gram.encode()).hexdigest()
+            slots[int(h[2:4], 16)] += 1 if int(h[5], 16) % 2 == 0 else -1
+        assert row.tolist() == slots.tolist(), text
+    assert retrieval._weights(pa.array([], pa.string())).shape == (0, 256)
+
+
+def test_nearest_in_single_precision_first_is_exact(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(3000, 24))
+    vectors = (vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]).astype(np.float32)
+    vectors[1::3] = vectors[::3] + (1e-7 * rng.normal(size=(1000, 24))).astype(np.float32)  # hardly apart
+    vectors[2::30] = vectors[2]  # copies
+    vectors[50] = 0
+    for scale in (1.0, 300.0):
+        some = (vectors * scale).astype(np.float32)
+        apart = np.round(np.sqrt(np.maximum(((some[:100, None, :].astype(np.float64) - some[None].astype(np.float64)) ** 2).sum(axis=2), 0)), 6)
+        near = retrieval.Nearest(np.arange(100), some[:100], 12)
+        for a, b in ((0, 5), (5, 1300), (1300, 3000)):
+            near.see(np.arange(a, b), some[a:b])
+        got = pa.Table.from_batches(list(near.rows()))
+        assert got.num_rows == 1200  # as few as there can be, whatever is seen
+        at = got["chunk_id"].to_numpy().reshape(100, 12)
+        for q in range(100):
+            want = np.lexsort((np.arange(3000), apart[q]))[:12]
+            assert np.allclose(apart[q][at[q]], apart[q][want], atol=2e-6 * scale)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_id bigint, embedding array<float>").repartition(3)
+    asks = df.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "question_id")
+    key = lambda d: sorted(map(tuple, d.select("question_id", "chunk_id", "rank", F.round("distance", 5)).collect()))
+    assert key(retrieval.nearest(df, asks, 9)) == key(retrieval.nearest(df, asks, 9, few=25))
