@@ -91,8 +91,9 @@ def segment(ids: np.ndarray, texts: pa.ListArray, headings: pa.ListArray) -> pa.
     # A place is twice the token's number, and one more in a heading.
     place = np.concatenate([2 * (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)) + k for k, m in enumerate(many)]).astype(np.int32)
     coded = rank[tokens.indices.to_numpy()] if len(tokens) else np.zeros(0, np.int64)
-    turn = np.argsort(coded * n + passage, kind="stable")
+    turn = np.argsort(coded * n + passage, kind="stable").astype(np.int32)
     coded, passage, place = coded[turn], passage[turn], place[turn]
+    del turn, tokens
     first = np.flatnonzero(np.append(True, (coded[1:] != coded[:-1]) | (passage[1:] != passage[:-1]))) if len(coded) else np.zeros(0, np.int64)
     term, here = coded[first], passage[first]
     headed = np.add.reduceat(place & 1, first) if len(first) else np.zeros(0, np.int64)
@@ -172,8 +173,9 @@ def _whole_segments(batches) -> Iterator[pa.RecordBatch]:
             held.append(part)
             size += len(part.column(1).flatten()) + len(part.column(2).flatten())
             if size >= SEGMENT:
-                yield made()
-                held, size = [], 0
+                out, held, size = made(), [], 0
+                yield out
+                del out
     if held:
         yield made()
 
@@ -280,8 +282,8 @@ class Segment:
         order = np.argsort(ids[:n], kind="stable")
         self.ids, self.sizes = ids[:n][order], flat["sizes"][:n][order]
         self.term, self.ends, self._terms = terms, ends, None
-        self.passage = np.searchsorted(self.ids, ids)
-        self.weight = IN_TEXT * flat["in_text"].astype(np.int64) + IN_HEADING * flat["in_heading"]
+        self.passage = np.searchsorted(self.ids, ids).astype(np.int32)
+        self.weight = IN_TEXT * flat["in_text"] + IN_HEADING * flat["in_heading"]
         if "places" in rows.column_names:
             self.places = lists("places").flatten().to_numpy().astype(np.int64)
             self.placed = np.append(0, np.cumsum(flat["in_text"] + flat["in_heading"]))
@@ -316,7 +318,7 @@ class Segment:
     def spots(self, a: int, b: int, shift: int) -> np.ndarray:
         """Where in which passage a phrase would begin whose token ``shift`` is
         one of these hits; in order, once each."""
-        passage = np.repeat(self.passage[a:b], np.diff(self.placed[a : b + 1]))
+        passage = np.repeat(self.passage[a:b].astype(np.int64), np.diff(self.placed[a : b + 1]))
         return np.unique((passage << 32) + self.places[self.placed[a] : self.placed[b]] + (1 << 31) - 2 * shift)
 
     def phrase(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +340,7 @@ class Segment:
         n = len(self.ids)
         number, start, end = self.ranges(ones)
         size = end - start
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        out = [(np.zeros(0, np.int32),) * 3]
         # Prefixes of many hits have a cell for each passage; the hits of others are sorted.
         for some, cells in ((np.flatnonzero(size * 8 >= n), n), (np.flatnonzero(size * 8 < n), 0)):
             room = np.cumsum(size[some] + cells) // CELLS
@@ -355,7 +357,7 @@ class Segment:
                     key = key[order]
                     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                     found, f = key[first], np.add.reduceat(self.weight[at[order]], first)
-                out.append((number[part[found // n]], found % n, f))
+                out.append(tuple(x.astype(np.int32) for x in (number[part[found // n]], found % n, f)))
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -393,7 +395,7 @@ def _hits(asked: Asked, average: float | None, top: int):
         found = [here.singles(asked.ones)]
         for k in asked.longer:
             passage, f = here.phrase(asked.tokens[k])
-            found.append((np.full(len(passage), k), passage, f))
+            found.append(tuple(x.astype(np.int32) for x in (np.full(len(passage), k), passage, f)))
         owner, passage, f = (np.concatenate(x) for x in zip(*found))
         starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
         n = np.diff(np.append(starts, len(owner)))
@@ -599,7 +601,7 @@ class Scorer:
 
         later = [np.flatnonzero(could > STEPS)]
         live = np.flatnonzero((could <= STEPS) & ((could >= needed(np.arange(many))) | slight & (found.limit <= SLACK + (phrases_ + 1) * TINY)))
-        live = live[np.argsort(-(other_at[live + 1] - other_at[live]), kind="stable")]
+        live = live[np.argsort(other_at[live] - other_at[live + 1], kind="stable")]
         step = max(1, CELLS // 8 // n)
         room = [np.zeros((step, n), kind) for kind in (np.uint16, np.uint16, bool)]
         for k in range(0, len(live), step):
