@@ -39,6 +39,8 @@ from .staging import stored
 K1, B, IN_TEXT, IN_HEADING = 1.2, 0.75, 5, 3
 #: Passages in a block of a term; tokens in a segment; passages in a range that is skipped as a whole.
 BLOCK, SEGMENT, RANGE = 128, 2_000_000, 256
+#: Tokens of a segment that is asked as it is made, and so is held with all its hits.
+ASKED = 1_250_000
 #: Sums of hits that are held at once while a segment's are added up.
 CELLS = 2_000_000
 #: Questions of a round; distinct tokens up to which the files' reader is told them, and up to which blocks are ruled out before they meet.
@@ -158,7 +160,7 @@ def tokens(texts: pa.Array) -> pa.ListArray:
     return pa.concat_arrays([runs(texts.filter(pa.array(plain))), runs(stripped.filter(pa.array(now))), other]).take(pa.array(np.argsort(order)))
 
 
-def _whole_segments(batches) -> Iterator[pa.RecordBatch]:
+def _whole_segments(batches, most: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def made():
@@ -172,7 +174,7 @@ def _whole_segments(batches) -> Iterator[pa.RecordBatch]:
             part = pa.RecordBatch.from_arrays([part.column(0), tokens(part.column(1)), tokens(part.column(2))], names=["id", "text", "heading"])
             held.append(part)
             size += len(part.column(1).flatten()) + len(part.column(2).flatten())
-            if size >= SEGMENT:
+            if size >= most:
                 out, held, size = made(), [], 0
                 yield out
                 del out
@@ -181,7 +183,7 @@ def _whole_segments(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches) -> Iterator[pa.RecordBatch]:
-    for out in _whole_segments(batches):
+    for out in _whole_segments(batches, SEGMENT):
         for k in range(0, out.num_rows, 10_000):
             yield out.slice(k, 10_000)
 
@@ -343,7 +345,7 @@ class Segment:
         out = [(np.zeros(0, np.int32),) * 3]
         # Prefixes of many hits have a cell for each passage; the hits of others are sorted.
         for some, cells in ((np.flatnonzero(size * 8 >= n), n), (np.flatnonzero(size * 8 < n), 0)):
-            room = np.cumsum(size[some] + cells) // CELLS
+            room = np.cumsum(size[some] + cells) // (CELLS // 2)
             for part in np.split(some, np.flatnonzero(np.diff(room)) + 1) if len(some) else []:
                 s = size[part]
                 at = np.repeat(start[part] - (np.cumsum(s) - s), s) + np.arange(s.sum())
@@ -417,10 +419,11 @@ def _hits_of_texts(asked: Asked):
     """Hits without a stored index: segments are made and asked in one task."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         asks = _hits(asked, None, 0)
-        for made in _whole_segments(batches):
+        for made in _whole_segments(batches, ASKED):
             for batch in asks(pa.Table.from_batches([made])).to_batches():
                 for k in range(0, batch.num_rows, 10_000):
                     yield batch.slice(k, 10_000)
+            pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
